@@ -1,6 +1,6 @@
 """All registered queries: one per operator, each over whole tables."""
 
 from grainfold.plans.base import ORACLES, QUERIES
-from grainfold.plans import relational, scalars, cleaning_queries  # noqa: F401
+from grainfold.plans import relational, scalars, cleaning_queries, chart_queries  # noqa: F401
 
 __all__ = ["ORACLES", "QUERIES"]

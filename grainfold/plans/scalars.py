@@ -34,7 +34,7 @@ def _(t):
 
 @query("str_title", f"""
     SELECT c_custkey, list_aggregate(list_transform(regexp_extract_all(s, '[a-zA-Z]+|[^a-zA-Z]+'),
-      p -> upper(p[1]) || lower(p[2:])), 'string_agg', '') AS s FROM ({NOISY_SQL})""")
+      lambda p: upper(p[1]) || lower(p[2:])), 'string_agg', '') AS s FROM ({NOISY_SQL})""")
 def _(t):
     return noisy(t).withColumn("s", fc.title_case(F.col("s")))
 
@@ -167,7 +167,7 @@ def _(t):
 
 @query("name_humanize", """SELECT n_nationkey, array_to_string(list_transform(list_filter(string_split_regex(
       regexp_replace(regexp_replace('sale_Price-of.' || lower(n_name) || 'Total', '[_\\-.]+', ' ', 'g'), '([a-z0-9])([A-Z])', '\\1 \\2', 'g'),
-      '\\s+'), w -> w <> ''), w -> upper(w[1]) || lower(w[2:])), ' ') AS label FROM nation""")
+      '\\s+'), lambda w: w <> ''), lambda w: upper(w[1]) || lower(w[2:])), ' ') AS label FROM nation""")
 def _(t):
     name = F.concat(F.lit("sale_Price-of."), F.lower("n_name"), F.lit("Total"))
     return t.nation.select("n_nationkey", fc.humanize(name).alias("label"))
