@@ -1,6 +1,7 @@
 """All registered queries: one per operator, each over whole tables."""
 
 from grainfold.plans.base import ORACLES, QUERIES
-from grainfold.plans import relational, scalars, cleaning_queries, chart_queries  # noqa: F401
+from grainfold.plans import (  # noqa: F401
+    analyst_queries, chart_queries, cleaning_queries, relational, scalars, stream_queries)
 
 __all__ = ["ORACLES", "QUERIES"]
