@@ -20,7 +20,8 @@ def class_report(df: DataFrame, label: str = "label", prediction: str = "predict
     sides = confusion(df, label, prediction).select(F.inline(F.array(
         F.struct(F.col("label").alias("label"), F.col("n").alias("actual"), F.lit(0).cast("bigint").alias("predicted"),
                  F.when(F.col("label") == F.col("prediction"), F.col("n")).otherwise(0).alias("hit")),
-        F.struct(F.col("prediction"), F.lit(0).cast("bigint"), F.col("n"), F.lit(0).cast("bigint")),
+        F.struct(F.col("prediction").alias("label"), F.lit(0).cast("bigint").alias("actual"), F.col("n").alias("predicted"),
+                 F.lit(0).cast("bigint").alias("hit")),
     )))
     totals = sides.groupBy("label").agg(*[F.sum(c).alias(c) for c in ("actual", "predicted", "hit")])
     zero = F.lit(0.0)
@@ -117,7 +118,7 @@ def class_support(df: DataFrame, label: str = "label", prediction: str = "predic
     """(label, actual, predicted) counts of every class."""
     both = df.select(F.inline(F.array(
         F.struct(ref(label).alias("label"), F.lit(1).alias("a"), F.lit(0).alias("p")),
-        F.struct(ref(prediction), F.lit(0), F.lit(1)))))
+        F.struct(ref(prediction).alias("label"), F.lit(0).alias("a"), F.lit(1).alias("p")))))
     return both.groupBy("label").agg(F.sum("a").alias("actual"), F.sum("p").alias("predicted"))
 
 
