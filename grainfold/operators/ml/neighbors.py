@@ -85,7 +85,9 @@ def block_join(
         return df.withColumn("blk", F.pmod(F.xxhash64("id"), at[F.col("cell")]).cast("int"))
 
     left = cut(q, q_parts).join(tasks, (F.col("cell") == F.col("qc")) & (F.col("blk") == F.col("qb"))).drop("cell", "blk", "gap")
-    right = cut(p, p_parts).join(tasks, (F.col("cell") == F.col("pc")) & (F.col("blk") == F.col("pb"))).drop("cell", "blk", "gap")
+    # Own column names on the second side keep the two uses of the task table apart.
+    again = tasks.select(*[F.col(c).alias(f"{c}_") for c in tasks.columns])
+    right = cut(p, p_parts).join(again, (F.col("cell") == F.col("pc_")) & (F.col("blk") == F.col("pb_"))).drop("cell", "blk", "gap")
     keys = ["qc", "qb", "pc", "pb"]
 
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
@@ -93,7 +95,7 @@ def block_join(
             return kernel(a.reset_index(drop=True), b.reset_index(drop=True))
         return pd.DataFrame({n.strip().split()[0]: [] for n in schema.split(",")})
 
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(run, schema)
+    return left.groupBy(*keys).cogroup(right.groupBy(*[f"{c}_" for c in keys])).applyInPandas(run, schema)
 
 
 def _cell_pairs(q_cells, p_cells, between, reach, k) -> list[tuple[int, int]]:
