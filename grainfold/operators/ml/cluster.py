@@ -65,11 +65,11 @@ def separation(df: DataFrame, columns: dict, cluster: str = "cluster") -> DataFr
     """(feature, f, importance): ANOVA F of every feature over the clusters, scaled to 1."""
     rows = df.select(*stats.stacked(columns, [F.col(cluster).alias("g")])).where(F.col("v").isNotNull())
     per = rows.groupBy("c", "g").agg(F.count("*").alias("n"), F.avg("v").alias("m"), F.var_pop("v").alias("s"))
-    whole = per.groupBy("c").agg(F.sum("n").alias("N"), F.count("*").alias("k"), (F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("M"))
+    whole = per.groupBy("c").agg(F.sum("n").alias("rows"), F.count("*").alias("k"), (F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("mean"))
     parts = per.join(whole, "c").groupBy("c").agg(
-        F.sum(F.col("n") * F.pow(F.col("m") - F.col("M"), 2)).alias("between"), F.sum(F.col("n") * F.col("s")).alias("within"),
-        F.first("N").alias("N"), F.first("k").alias("k"))
-    f = F.coalesce(F.try_divide(F.col("between") / (F.col("k") - 1), F.col("within") / (F.col("N") - F.col("k"))), F.lit(0.0))
+        F.sum(F.col("n") * F.pow(F.col("m") - F.col("mean"), 2)).alias("between"), F.sum(F.col("n") * F.col("s")).alias("within"),
+        F.first("rows").alias("rows"), F.first("k").alias("k"))
+    f = F.coalesce(F.try_divide(F.col("between") / (F.col("k") - 1), F.col("within") / (F.col("rows") - F.col("k"))), F.lit(0.0))
     scored = parts.where("k > 1").select(F.col("c").alias("feature"), f.alias("f"))
     top = scored.agg(F.max("f").alias("_top"))
     return scored.join(top, F.lit(True)).select("feature", "f", F.coalesce(F.try_divide("f", "_top"), F.lit(0.0)).alias("importance"))  # one row

@@ -2,6 +2,6 @@
 
 from grainfold.plans.base import ORACLES, QUERIES
 from grainfold.plans import (  # noqa: F401
-    analyst_queries, chart_queries, cleaning_queries, relational, scalars, stream_queries)
+    analyst_queries, chart_queries, cleaning_queries, ml_queries, relational, scalars, stream_queries)
 
 __all__ = ["ORACLES", "QUERIES"]
