@@ -52,11 +52,11 @@ def pair_leaks(df: DataFrame, target: str, numeric: list[str]) -> DataFrame:
     x = {c: fc.number_of(df, c) for c in names}
     cells = []
     for a, b in combinations(names, 2):
-        cells += [F.struct(F.lit(f"{a} / {b}").alias("driver"), fc.finite(fc.ratio(x[a], x[b])).alias("x")),
-                  F.struct(F.lit(f"{a} × {b}").alias("driver"), fc.finite(x[a] * x[b]).alias("x"))]
+        cells += [F.struct(F.lit(f"{a} / {b}").alias("driver"), fc.ratio(x[a], x[b]).alias("x")),
+                  F.struct(F.lit(f"{a} × {b}").alias("driver"), (x[a] * x[b]).alias("x"))]
     if not cells:
         return df.sparkSession.createDataFrame([], "driver string, value double, verdict string")
-    rows = df.select(fc.number_of(df, target).alias("y"), F.inline(F.array(*cells))).na.drop()
+    rows = df.select(fc.number_of(df, target).alias("y"), F.inline(F.array(*cells))).where("y IS NOT NULL AND abs(x) < double('Infinity')")
     found = rows.groupBy("driver").agg(F.count("*").alias("n"), F.abs(stats.correlation_complete(F.col("x"), F.col("y"))).alias("value"))
     verdict = F.when(F.col("value") >= LEAK_CORRELATION, "leak").when(F.col("value") >= HINT_CORRELATION, "hint").otherwise("none")
     return found.where("n >= 10 AND value IS NOT NULL").select("driver", "value", verdict.alias("verdict"))

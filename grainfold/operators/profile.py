@@ -1,15 +1,17 @@
 """Data profile: per-column summaries, value counts, correlations, quality score.
 
 The numbers of all columns come from a fixed number of jobs, whatever the
-number of columns: one scan for counts and moments, one shuffle for the
-distinct values, one for quantiles, one scan for outliers. Only one row per
-column reaches the driver; it decides the semantic types, which every later
-step needs to know before it can be planned.
+number of columns: per kind of column (numbers, texts, times) one scan for
+counts and one shuffle of the distinct values, and one scan for outliers. Only
+one row per column reaches the driver; it decides the semantic types, which
+every later step needs to know before it can be planned. Parts that are not
+asked for are not computed.
 """
 
 from __future__ import annotations
 
-from functools import cached_property, reduce
+from concurrent.futures import ThreadPoolExecutor
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -55,51 +57,91 @@ class Profile:
 
     # --- one row per column -------------------------------------------------------
 
+    def _of_kind(self, kind: str) -> list[T.StructField]:
+        def kind_of(dtype: T.DataType) -> str:
+            return "number" if fc.is_numeric(dtype) else "time" if fc.is_temporal(dtype) else "text"
+
+        return [f for f in self.df.schema.fields if kind_of(f.dataType) == kind]
+
     @cached_property
-    def _scan(self) -> dict[str, T.Row]:
-        """Counts, sizes, date shares and moments: one pass over the columns of each kind."""
-        numbers, texts, times = {}, {}, {}
-        for f in self.df.schema.fields:
-            if fc.is_numeric(f.dataType):
-                numbers[f.name] = fc.to_number(ref(f.name), f.dataType)
-            elif fc.is_temporal(f.dataType):
-                times[f.name] = ref(f.name).cast("timestamp_ntz")
-            elif fc.is_atomic(f.dataType):
-                texts[f.name] = ref(f.name).cast("string")
-            else:
-                texts[f.name] = F.to_json(F.struct(ref(f.name)))
-        frames = []
-        v, null = F.col("v"), F.lit(None)
-        no_dates = [null.cast("bigint").alias("dates"), null.cast("timestamp_ntz").alias("min_date"),
-                    null.cast("timestamp_ntz").alias("max_date"), null.cast("bigint").alias("bytes")]
-        no_moments = [null.cast(t).alias(c) for c, t in (
-            ("min", "double"), ("max", "double"), ("mean", "double"), ("std", "double"), ("skew", "double"),
-            ("zeros", "bigint"), ("negatives", "bigint"))]
-        base = [F.count("*").alias("n"), F.count(v).alias("k")]
-        if numbers:
-            frames.append(self.df.select(*stats.stacked(numbers)).groupBy("c").agg(
-                *base, F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"),
-                F.when(F.count(v) > 1, F.stddev_samp(v)).alias("std"), stats.sample_skewness(v).alias("skew"),
-                F.count_if(v == 0).alias("zeros"), F.count_if(v < 0).alias("negatives"),
-            ).select("*", *no_dates))
-        for values, dtype in ((texts, T.StringType()), (times, T.TimestampNTZType())):
-            if values:
-                rows = self.df.select(*stats.stacked(values)).withColumn("d", fc.parse_date(v, dtype))
-                size = F.sum(F.octet_length(v)) if values is texts else F.lit(None)
-                frames.append(rows.groupBy("c").agg(
-                    *base, F.count("d").alias("dates"), F.min("d").alias("min_date"), F.max("d").alias("max_date"),
-                    size.cast("bigint").alias("bytes")).select("*", *no_moments))
-        return {r["c"]: r for r in reduce(DataFrame.unionByName, frames).collect()}
+    def _numbers(self) -> dict[str, T.Row]:
+        """Counts and moments of the numeric columns; one scan of just these columns."""
+        values, v = self.numbers(), F.col("v")
+        if not values:
+            return {}
+        rows = self.df.select(*stats.stacked(values)).groupBy("c").agg(
+            F.count("*").alias("n"), F.count(v).alias("k"), F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"),
+            F.when(F.count(v) > 1, F.stddev_samp(v)).alias("std"), stats.sample_skewness(v).alias("skew"),
+            F.count_if(v == 0).alias("zeros"), F.count_if(v < 0).alias("negatives"), F.approx_count_distinct(v).alias("about"))
+        return {r["c"]: r for r in rows.collect()}
+
+    def _dated(self, values: dict[str, Column], dtype: T.DataType) -> dict[str, T.Row]:
+        if not values:
+            return {}
+        v = F.col("v")
+        size = F.sum(F.octet_length(v)) if isinstance(dtype, T.StringType) else F.lit(None)
+        rows = self.df.select(*stats.stacked(values)).withColumn("d", fc.parse_date(v, dtype)).groupBy("c").agg(
+            F.count("*").alias("n"), F.count(v).alias("k"), F.count("d").alias("dates"), F.min("d").alias("min_date"),
+            F.max("d").alias("max_date"), size.cast("bigint").alias("bytes"))
+        return {r["c"]: r for r in rows.collect()}
+
+    @cached_property
+    def _texts(self) -> dict[str, T.Row]:
+        """Counts, sizes and date shares of text columns (nested values as their JSON text)."""
+        return self._dated({
+            f.name: ref(f.name).cast("string") if fc.is_atomic(f.dataType) else F.to_json(F.struct(ref(f.name)))
+            for f in self._of_kind("text")}, T.StringType())
+
+    @cached_property
+    def _times(self) -> dict[str, T.Row]:
+        return self._dated({f.name: ref(f.name).cast("timestamp_ntz") for f in self._of_kind("time")}, T.TimestampNTZType())
 
     @property
+    def _scan(self) -> dict[str, T.Row]:
+        return self._numbers | self._texts | self._times
+
+    @cached_property
     def n_rows(self) -> int:
-        return next(iter(self._scan.values()))["n"] if self._scan else 0
+        for known in ("_numbers", "_texts", "_times"):
+            if self.__dict__.get(known):
+                return next(iter(self.__dict__[known].values()))["n"]
+        return self.df.count()
 
     @cached_property
-    def _distinct(self) -> dict[str, int]:
-        names = stats.countable(self.df)
+    def _text_distinct(self) -> dict[str, int]:
+        names = [f.name for f in self._of_kind("text") if fc.is_atomic(f.dataType)]
+        return {r["c"]: r["u"] for r in stats.distinct_counts(self.df, names).collect()} if names else {}
+
+    @cached_property
+    def _number_values(self) -> tuple[dict[str, int], dict[str, dict]]:
+        """(distinct counts, fences) of the numeric columns, from one table of value counts where that is safe."""
+        values = self.numbers()
+        if not values:
+            return {}, {}
+        scan = self._numbers.values()
+        exact = all(max(abs(r["min"] or 0), abs(r["max"] or 0)) < 2 ** 53 for r in scan)  # doubles still tell them apart
+        if exact and max(r["about"] for r in scan) <= stats.DISTINCT_LIMIT:
+            rows = stats.values_and_quantiles(self.df, values, [0.25, 0.5, 0.75]).collect()
+            return {r["c"]: r["u"] for r in rows}, {r["c"]: stats.fence(*r["q"]) for r in rows if r["q"] is not None}
+        distinct = {r["c"]: r["u"] for r in stats.distinct_counts(self.df, list(values)).collect()}
+        return distinct, {c: f for c, f in stats.fences(self.df, values).items() if f["low"] is not None}
+
+    @cached_property
+    def _time_distinct(self) -> dict[str, int]:
+        names = [f.name for f in self._of_kind("time")]
         return {r["c"]: r["u"] for r in stats.distinct_counts(self.df, names).collect()} if names else {}
 
+    @property
+    def _distinct(self) -> dict[str, int]:
+        return self._number_values[0] | self._text_distinct | self._time_distinct
+
+    def _start_all(self) -> None:
+        """Run the jobs of the column kinds side by side; none needs another's result."""
+        with ThreadPoolExecutor(5) as pool:
+            wanted = ("_number_values", "_texts", "_times", "_text_distinct", "_time_distinct")
+            for done in [pool.submit(getattr, self, name) for name in wanted]:
+                done.result()
+
     @staticmethod
     def _bytes(f: T.StructField, scan) -> int:
         """Logical bytes: text length, or the width of the type times the present values."""
@@ -116,12 +158,12 @@ class Profile:
             return "datetime"
         if fc.is_numeric(f.dataType):
             return "numeric"
-        if f.name not in self._scan:
+        if f.name not in self._texts:
             return "text"
-        present = self._scan[f.name]["k"]
-        if isinstance(f.dataType, T.StringType) and present and self._scan[f.name]["dates"] / present >= DATE_SHARE:
+        present = self._texts[f.name]["k"]
+        if isinstance(f.dataType, T.StringType) and present and self._texts[f.name]["dates"] / present >= DATE_SHARE:
             return "datetime"
-        unique = self._distinct.get(f.name, 0)
+        unique = self._text_distinct.get(f.name, 0)
         if fc.is_atomic(f.dataType) and present and unique / present <= CATEGORY_RATIO and unique <= MAX_CATEGORIES:
             return "categorical"
         return "text"
@@ -134,26 +176,22 @@ class Profile:
         return [n for n, t in self.semantic_types.items() if t in types]
 
     def numbers(self) -> dict[str, Column]:
-        return {n: fc.number_of(self.df, n) for n in self.names("numeric")}
+        return {f.name: fc.number_of(self.df, f.name) for f in self._of_kind("number")}
 
     @cached_property
     def rows(self) -> list[dict]:
         """The column summaries as plain records, one per column."""
-        n, values = self.n_rows, self.numbers()
-        quartiles, outside = {}, {}
-        if values:
-            quartiles = stats.fences(self.df, values)
-            limits = {c: (f["low"], f["high"]) for c, f in quartiles.items() if f["low"] is not None}
-            low, high = F.col("c").isNull(), F.col("c").isNull()
-            for c, (lo, hi) in limits.items():
-                low = low | ((F.col("c") == c) & (F.col("v") < lo))
-                high = high | ((F.col("c") == c) & (F.col("v") > hi))
-            found = self.df.select(*stats.stacked(values)).where(low | high).groupBy("c").count().collect()
-            outside = {r["c"]: r["count"] for r in found}
+        self._start_all()
+        values, outside = self.numbers(), {}
+        quartiles = self._number_values[1]
+        if quartiles:
+            beyond = {c: F.when((values[c] < f["low"]) | (values[c] > f["high"]), 1) for c, f in quartiles.items()}
+            outside = self.df.agg(*[F.count(b).alias(c) for c, b in beyond.items()]).first().asDict()
+        all_columns, n, distinct = self._scan, self.n_rows, self._distinct
         out = []
         for i, f in enumerate(self.df.schema.fields):
-            scan = self._scan.get(f.name)
-            present, unique = scan["k"] if scan else 0, self._distinct.get(f.name, 0)
+            scan = all_columns.get(f.name)
+            present, unique = scan["k"] if scan else 0, distinct.get(f.name, 0)
             semantic, missing = self.semantic_types[f.name], n - present
             entry = {
                 "position": i, "name": f.name, "dtype": f.dataType.simpleString(), "semantic_type": semantic,

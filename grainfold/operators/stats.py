@@ -117,17 +117,27 @@ def quantile_row(df: DataFrame, values: dict[str, Column], probs: Sequence[float
     return {n: (row[n] if row is not None and row[n] is not None else [None] * len(probs)) for n in values}
 
 
+def values_and_quantiles(df: DataFrame, values: dict[str, Column], probs: Sequence[float]) -> DataFrame:
+    """(c, u, q): distinct count and quantiles of each column from one table of value counts.
+
+    For columns whose number of distinct values is known to be within bounds.
+    """
+    cells = F.array(*[F.struct(F.lit(i).alias("_c"), v.cast("double").alias("_v")) for i, v in enumerate(values.values())])
+    counted = df.select(F.inline(cells)).groupBy("_c", "_v").agg(F.count("_v").alias("_n"))
+    names = F.array(*[F.lit(n) for n in values])
+    return counted.groupBy("_c").agg(
+        F.count("_v").alias("u"), F.percentile("_v", F.array(*[F.lit(float(p)) for p in probs]), F.col("_n")).alias("q"),
+    ).select(names[F.col("_c")].alias("c"), "u", "q")
+
+
+def fence(q1: float, median: float, q3: float) -> dict[str, float]:
+    return {"q1": q1, "median": median, "q3": q3, "low": q1 - 1.5 * (q3 - q1), "high": q3 + 1.5 * (q3 - q1)}
+
+
 def fences(df: DataFrame, values: dict[str, Column]) -> dict[str, dict[str, float]]:
     """Quartiles and the 1.5 IQR fences of whole columns."""
-    out = {}
-    for name, (q1, med, q3) in quantile_row(df, values, [0.25, 0.5, 0.75]).items():
-        iqr = None if q1 is None else q3 - q1
-        out[name] = {
-            "q1": q1, "median": med, "q3": q3,
-            "low": None if iqr is None else q1 - 1.5 * iqr,
-            "high": None if iqr is None else q3 + 1.5 * iqr,
-        }
-    return out
+    none = dict.fromkeys(("q1", "median", "q3", "low", "high"))
+    return {n: none if q[0] is None else fence(*q) for n, q in quantile_row(df, values, [0.25, 0.5, 0.75]).items()}
 
 
 def sample_skewness(c: Column) -> Column:
