@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from grainfold.operators.ml import neighbors
+from grainfold.operators.ml.neighbors import distances, matrix
 from grainfold.session import cut_lineage
 
 
@@ -38,7 +39,7 @@ def dbscan(points: DataFrame, eps: float = 0.5, min_points: int = 5, **settings)
     blocks; only the group graph, which is far smaller than the points, is iterated.
     """
     def count(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        d = neighbors.distances(neighbors._matrix(a["v"]), neighbors._matrix(b["v"]))
+        d = distances(matrix(a["v"]), matrix(b["v"]))
         return pd.DataFrame({"id": a["id"], "n": (d <= eps).sum(1)})
 
     id_type = dict(points.dtypes)["id"]
@@ -50,7 +51,7 @@ def dbscan(points: DataFrame, eps: float = 0.5, min_points: int = 5, **settings)
 
     def contacts(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         """A spanning set of contacts: enough edges to join what touches, not all pairs."""
-        d = neighbors.distances(neighbors._matrix(a["v"]), neighbors._matrix(b["v"])) <= eps
+        d = distances(matrix(a["v"]), matrix(b["v"])) <= eps
         ia, ib = a["id"].to_numpy(), b["id"].to_numpy()
         names = {v: i for i, v in enumerate(pd.unique(np.concatenate([ia, ib])))}
         parent = list(range(len(names)))
@@ -75,7 +76,7 @@ def dbscan(points: DataFrame, eps: float = 0.5, min_points: int = 5, **settings)
     marked = core.join(groups, F.col("id") == F.col("node")).select("id", "v", F.col("component").alias("cluster"))
 
     def touch(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        d = neighbors.distances(neighbors._matrix(a["v"]), neighbors._matrix(b["v"])) <= eps
+        d = distances(matrix(a["v"]), matrix(b["v"])) <= eps
         label = np.where(d, b["cluster"].to_numpy(dtype=float)[None, :], np.inf).min(1)
         out = pd.DataFrame({"id": a["id"], "cluster": label})
         return out[np.isfinite(label)]

@@ -24,7 +24,7 @@ BLOCK = 2_048
 PIVOTS = 128
 
 
-def _matrix(column: pd.Series) -> np.ndarray:
+def matrix(column: pd.Series) -> np.ndarray:
     return np.array(column.tolist(), dtype=float)
 
 
@@ -58,13 +58,13 @@ def block_join(
 
         return queries.mapInPandas(whole, schema)
 
-    centres = _matrix(points.orderBy(stable_order(F.col("id")), "id").limit(pivots).toPandas()["v"])
+    centres = matrix(points.orderBy(stable_order(F.col("id")), "id").limit(pivots).toPandas()["v"])
     held = spark.sparkContext.broadcast(centres)
 
     def assign(batches):
         for batch in batches:
             if len(batch):
-                d = distances(_matrix(batch["v"]), held.value)
+                d = distances(matrix(batch["v"]), held.value)
                 yield batch.assign(cell=d.argmin(1).astype("int32"), gap=d.min(1))
 
     def placed(df: DataFrame) -> DataFrame:
@@ -125,7 +125,7 @@ def nearest(
 
     def kernel(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         b = b.sort_values("id").reset_index(drop=True)
-        d = np.round(distances(_matrix(a["v"]), _matrix(b["v"])), 9)
+        d = np.round(distances(matrix(a["v"]), matrix(b["v"])), 9)
         ids = b["id"].to_numpy()
         if exclude_self:
             d = np.where(a["id"].to_numpy()[:, None] == ids[None, :], np.inf, d)

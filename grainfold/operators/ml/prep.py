@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from grainfold.functions import columns as fc
 from grainfold.functions.columns import ref
 from grainfold.operators import frames, rules, stats
+from grainfold.operators.frames import select_once
 from grainfold.operators.profile import Profile
 
 MAX_CATEGORY_VALUES = 40
@@ -94,7 +95,7 @@ def make_plan(df: DataFrame, target: str, task: str | None = None, features: lis
     """Choose task and features for a target and drop leaking features."""
     if target not in df.columns:
         raise TrainingError(f"target column '{target}' not found")
-    profile = profile or Profile(df)
+    profile = profile or Profile(select_once(df, [*features, target]) if features else df)
     chosen = infer_task(profile, target).first()
     task = task or chosen["task"]
     usable = [r for r in feature_table(profile, target).orderBy("position").collect() if not features or r["feature"] in features]

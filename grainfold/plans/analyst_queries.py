@@ -43,7 +43,7 @@ def _(t):
     return rounded(analyst.aggregate(spiky(t), "v", "sum"), "value", digits=2)
 
 
-@query("ans_describe", f"""WITH g AS ({LABELLED_SQL}) SELECT count(*) AS rows, 4 AS columns, 2 AS numeric_columns, count(*) - count(q) AS total_missing_cells,
+@query("ans_describe", f"""WITH g AS ({LABELLED_SQL}) SELECT count(*) AS rows, CAST(4 AS BIGINT) AS columns, CAST(2 AS BIGINT) AS numeric_columns, count(*) - count(q) AS total_missing_cells,
     CAST(count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM g)) AS BIGINT) AS duplicate_rows FROM g""")
 def _(t):
     return analyst.describe(labelled_docs(t))
@@ -153,7 +153,7 @@ def _(t):
 
 
 SIGNALS_SQL = f"""WITH c AS ({LABELLED_KINDS_SQL}), m AS ({LABELLED_NUMERIC_SQL}), s AS ({quality_sql(LABELLED_KINDS_SQL, LABELLED_NUMERIC_SQL, LABELLED_SQL)})
-    SELECT 'quality' AS kind, 1 AS rank, grade AS subject, NULL AS other, score AS value FROM s UNION ALL
+    SELECT 'quality' AS kind, 1 AS rank, grade AS subject, CAST(NULL AS VARCHAR) AS other, score AS value FROM s UNION ALL
     SELECT 'missing', CAST(row_number() OVER (ORDER BY missing_pct DESC, position) AS INTEGER), name, NULL, missing_pct FROM c WHERE missing > 0 UNION ALL
     SELECT 'duplicates', 1, NULL, NULL, {DUP_PCT} WHERE {DUP_PCT} > 1 UNION ALL
     SELECT 'outliers', CAST(row_number() OVER (ORDER BY name DESC) AS INTEGER), name, NULL, outlier_pct FROM m WHERE outlier_pct >= 5"""

@@ -183,9 +183,9 @@ LABELLED_SQL = "SELECT lang, source, n_chars % 10 AS size, quality AS q FROM doc
 
 
 @query("prf_summary", f"""WITH g AS ({LABELLED_SQL}), d AS (SELECT count(*) AS n FROM (SELECT DISTINCT * FROM g))
-    SELECT count(*) AS rows, 4 AS columns, CAST(count(*) - max(d.n) AS BIGINT) AS duplicate_rows,
+    SELECT count(*) AS rows, CAST(4 AS BIGINT) AS columns, CAST(count(*) - max(d.n) AS BIGINT) AS duplicate_rows,
       round((count(*) - max(d.n)) / count(*) * 100, 2) AS duplicate_pct, count(*) - count(q) AS total_missing_cells,
-      2 AS numeric_columns FROM g, d""")
+      CAST(2 AS BIGINT) AS numeric_columns FROM g, d""")
 def _(t):
     return Profile(labelled_docs(t)).summary().drop("bytes")
 

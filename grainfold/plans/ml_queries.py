@@ -522,7 +522,7 @@ def _(t):
     return semi.label_graph(half_labelled(t), "doc_id", 2, spreading=True, rounds=8)
 
 
-@query("ssl_pseudo", """SELECT CAST(b AS INTEGER) AS bin, round(0.5 + b * 0.05, 4) AS lower, count(c) AS n FROM (SELECT unnest(range(0, 10)) AS b)
+@query("ssl_pseudo", """SELECT CAST(b AS INTEGER) AS bin, CAST(round(0.5 + b * 0.05, 4) AS DOUBLE) AS lower, count(c) AS n FROM (SELECT unnest(range(0, 10)) AS b)
     LEFT JOIN (SELECT least(floor(((0.5 + n_chars % 500 / 998.0) - 0.5) / 0.05), 9) AS c FROM documents) ON b = c GROUP BY b""")
 def _(t):
     scored = t.documents.select((F.col("n_chars") % 2).alias("prediction"), (0.5 + F.col("n_chars") % 500 / 998.0).alias("confidence"))

@@ -216,7 +216,7 @@ same_sql("join_natural", """
 same_sql("join_using", "SELECT doc_id, lang, toxic FROM documents LEFT JOIN labels USING (doc_id)",
          "documents", "labels")
 same_sql("join_self", """
-    SELECT a.conv_id, a.turn, length(b.text) - length(a.text) AS growth FROM conversations a
+    SELECT a.conv_id, a.turn, CAST(length(b.text) - length(a.text) AS BIGINT) AS growth FROM conversations a
     JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1""", "conversations")
 same_sql("join_correlated", """
     SELECT o_orderkey, round(o_totalprice, 2) AS price FROM orders o
@@ -462,7 +462,8 @@ def _(t):
 
 same_sql("win_sql", """
     SELECT o_orderkey, o_custkey,
-      row_number() OVER w AS rn, rank() OVER w AS rk, dense_rank() OVER w AS dr, ntile(4) OVER w AS quarter,
+      CAST(row_number() OVER w AS BIGINT) AS rn, CAST(rank() OVER w AS BIGINT) AS rk,
+      CAST(dense_rank() OVER w AS BIGINT) AS dr, CAST(ntile(4) OVER w AS BIGINT) AS quarter,
       round(percent_rank() OVER w, 6) AS pr, round(cume_dist() OVER w, 6) AS cd,
       lag(o_totalprice, 1) OVER w AS before, lead(o_totalprice, 1) OVER w AS after,
       first_value(o_orderkey) OVER w AS first_key,

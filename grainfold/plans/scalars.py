@@ -185,9 +185,9 @@ def _(t):
 
 same_sql("sql_scalar", """
     SELECT c_custkey, abs(c_acctbal) AS a, round(c_acctbal, 1) AS r, coalesce(nullif(c_mktsegment, 'BUILDING'), 'none') AS c,
-      ifnull(nullif(c_nationkey, 3), -1) AS i, substr(c_name, 10, 4) AS s, instr(c_name, '#') AS p, length(c_name) AS n,
+      ifnull(nullif(c_nationkey, 3), -1) AS i, substr(c_name, 10, 4) AS s, CAST(instr(c_name, '#') AS BIGINT) AS p, CAST(length(c_name) AS BIGINT) AS n,
       upper(c_name) || lower(c_mktsegment) AS u, trim('  x ') AS t, replace(c_name, '0', '') AS z
     FROM customer""", "customer", check="""
     SELECT c_custkey, abs(c_acctbal) AS a, round(c_acctbal, 1) AS r, coalesce(nullif(c_mktsegment, 'BUILDING'), 'none') AS c,
-      ifnull(nullif(c_nationkey, 3), -1) AS i, substr(c_name, 10, 4) AS s, instr(c_name, '#') AS p, length(c_name) AS n,
+      ifnull(nullif(c_nationkey, 3), -1) AS i, substr(c_name, 10, 4) AS s, CAST(instr(c_name, '#') AS BIGINT) AS p, CAST(length(c_name) AS BIGINT) AS n,
       upper(c_name) || lower(c_mktsegment) AS u, trim('  x ') AS t, replace(c_name, '0', '') AS z FROM customer""")
