@@ -46,6 +46,11 @@ def to_number(c: Column, dtype: T.DataType | None = None) -> Column:
     return finite(c.try_cast("double"))
 
 
+def present(df: DataFrame, name: str) -> Column:
+    """The column with NaN read as missing."""
+    return finite(ref(name)) if is_fractional(df.schema[name].dataType) else ref(name)
+
+
 def number_of(df: DataFrame, name: str) -> Column:
     return to_number(ref(name), df.schema[name].dataType)
 

@@ -71,7 +71,7 @@ def correlation(df: DataFrame, numeric: Sequence[str] | None = None, k: int = 8)
 def missing(df: DataFrame) -> DataFrame:
     """Columns with missing values, most first."""
     total = F.count("*")
-    row = df.agg(total.alias("n"), *[(total - F.count(ref(c))).alias(f"m{i}") for i, c in enumerate(df.columns)])
+    row = df.agg(total.alias("n"), *[(total - F.count(fc.present(df, c))).alias(f"m{i}") for i, c in enumerate(df.columns)])
     cells = [F.struct(F.lit(c).alias("column"), F.col(f"m{i}").alias("missing"), F.lit(i).alias("position"))
              for i, c in enumerate(df.columns)]
     return row.select("n", F.inline(F.array(*cells))).where("missing > 0").select(

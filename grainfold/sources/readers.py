@@ -41,7 +41,9 @@ def load(spark: SparkSession, path: str, kind: str | None = None, **options) ->
     readers = {"csv": read_csv, "json": read_json, "parquet": read_parquet}
     if kind not in readers:
         raise ReadError(f"source type '{kind}' is not supported")
-    return normalize(readers[kind](spark, path, **options))
+    # Parquet keeps its columns as they are, so that filters reach the files; the
+    # operators read NaN as missing wherever they use a number.
+    return normalize(readers[kind](spark, path, **options), nan_to_null=kind != "parquet")
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
@@ -138,7 +140,7 @@ def expand_json(df: DataFrame, column: str, schema: str) -> DataFrame:
     return flatten(df.withColumn(column, F.from_json(ref(column), schema)))
 
 
-def normalize(df: DataFrame, check_empty: bool = True) -> DataFrame:
+def normalize(df: DataFrame, check_empty: bool = True, nan_to_null: bool = True) -> DataFrame:
     """Strip headers, keep them apart, turn NaN into null, refuse an empty table."""
     names, used = [], set()
     for c in df.columns:
@@ -148,9 +150,10 @@ def normalize(df: DataFrame, check_empty: bool = True) -> DataFrame:
         used.add(name.lower())
         names.append(name)
     out = df.toDF(*names)
-    out = out.select(*[
-        finite(ref(f.name)).alias(f.name) if is_fractional(f.dataType) else ref(f.name) for f in out.schema.fields
-    ])
+    if nan_to_null:
+        out = out.select(*[
+            finite(ref(f.name)).alias(f.name) if is_fractional(f.dataType) else ref(f.name) for f in out.schema.fields
+        ])
     if check_empty and out.isEmpty():
         raise ReadError("the table contains no rows")
     return out
