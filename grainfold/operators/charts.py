@@ -49,7 +49,7 @@ def box(df: DataFrame, y: str, x: str | None = None, color: str | None = None) -
     held = df.select(fc.number_of(df, y).alias("_y"), *[_text(df, c) for c in by]).where(F.col("_y").isNotNull())
     q = stats.quantiles(held, {"_q": F.col("_y")}, [0.25, 0.5, 0.75], by)
     ends = held.groupBy(*[ref(c) for c in by]).agg(F.min("_y").alias("_lo"), F.max("_y").alias("_hi"), F.count("*").alias("count"))
-    both = ends.alias("e").join(q.alias("q"), _same(by), "inner") if by else ends.crossJoin(q)  # one row each
+    both = ends.alias("e").join(q.alias("q"), _same(by))  # without groups one row on each side
     q1, q3 = F.col("_q")[0], F.col("_q")[2]
     low, high = q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)
     return both.select(
@@ -92,7 +92,7 @@ def kde(df: DataFrame, x: str, color: str | None = None, points: int = 50, cells
     whole = held.groupBy(*by).agg(F.count("*").alias("_N"), F.stddev_samp("_x").alias("_s"))
     width = F.col("_s") * F.pow(F.col("_N").cast("double"), F.lit(-0.2))
     per = binned.groupBy(*by).agg(F.collect_list(F.struct("_m", "_n")).alias("_cells"))  # at most `cells` entries
-    joined = per.alias("e").join(whole.alias("q"), _same(by)) if by else per.crossJoin(whole)
+    joined = per.alias("e").join(whole.alias("q"), _same(by))
     reach = 3 * std_all * n_all ** -0.2
     step = (high - low + 2 * reach) / (points - 1)
     grid = F.explode(F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: F.lit(low - reach) + i * F.lit(step)))

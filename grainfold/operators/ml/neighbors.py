@@ -74,20 +74,17 @@ def block_join(
     q, p = placed(queries), placed(points)
     q_cells, p_cells = (df.groupBy("cell").agg(F.count("*").alias("n"), F.max("gap").alias("r")).toPandas() for df in (q, p))
     pairs = _cell_pairs(q_cells, p_cells, distances(centres, centres), reach, k)
-    p_parts = {int(c): max(1, math.ceil(n / block)) for c, n in zip(p_cells["cell"], p_cells["n"])}
-    q_parts = {int(c): max(1, math.ceil(n / block)) for c, n in zip(q_cells["cell"], q_cells["n"])}
-    # Cells number at most `pivots` on each side, so these tables are small by construction.
-    rows = [(i, a, j, b) for i, j in pairs for a in range(q_parts[i]) for b in range(p_parts[j])]
-    tasks = spark.createDataFrame(rows, "qc int, qb int, pc int, pb int")
-
-    def cut(df: DataFrame, parts: dict[int, int]) -> DataFrame:
-        at = F.create_map(*[F.lit(x) for c, n in parts.items() for x in (c, n)])
-        return df.withColumn("blk", F.pmod(F.xxhash64("id"), at[F.col("cell")]).cast("int"))
-
-    left = cut(q, q_parts).join(tasks, (F.col("cell") == F.col("qc")) & (F.col("blk") == F.col("qb"))).drop("cell", "blk", "gap")
-    # Own column names on the second side keep the two uses of the task table apart.
-    again = tasks.select(*[F.col(c).alias(f"{c}_") for c in tasks.columns])
-    right = cut(p, p_parts).join(again, (F.col("cell") == F.col("pc_")) & (F.col("blk") == F.col("pb_"))).drop("cell", "blk", "gap")
+    blocks = lambda cells: {int(c): max(1, math.ceil(n / block)) for c, n in zip(cells["cell"], cells["n"])}
+    q_parts, p_parts = blocks(q_cells), blocks(p_cells)
+    # At most `pivots` squared rows; the far more numerous block pairs are made next to the rows.
+    near = spark.createDataFrame([(i, j, q_parts[i], p_parts[j]) for i, j in pairs], "qc int, pc int, qn int, pn int")
+    part = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = q.join(F.broadcast(near), F.col("cell") == F.col("qc")).withColumn("qb", part("qn")).withColumn("pb", every("pn"))
+    right = p.join(F.broadcast(near), F.col("cell") == F.col("pc")).withColumn("pb", part("pn")).withColumn("qb", every("qn"))
+    left, right = left.drop("cell", "gap", "qn", "pn"), right.drop("cell", "gap", "qn", "pn")
+    # Own key names on the second side keep two uses of the same table apart.
+    right = right.withColumnsRenamed({c: f"{c}_" for c in ("qc", "qb", "pc", "pb")})
     keys = ["qc", "qb", "pc", "pb"]
 
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
