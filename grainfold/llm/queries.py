@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from grainfold.llm import decontaminate
+from grainfold.llm import decontaminate, quality
 from grainfold.llm.registry import ORACLES, QUERIES, query
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -33,3 +33,26 @@ def op2_decontaminate(read):
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         decontaminate.is_contaminated(F.col("n_words"), F.col("n_hit")).alias("contaminated"))
+
+
+_BLANKLESS = "'[^\\x20\\x09-\\x0D]+'"
+
+
+@query("op3_quality_rules", f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), {_BLANKLESS}) AS w,
+           list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM documents),
+g AS (SELECT doc_id, p, list_aggregate(w[p : p + 7], 'string_agg', ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS p FROM d)),
+again AS (SELECT doc_id, p FROM (SELECT doc_id, p, count(*) OVER (PARTITION BY doc_id, g) AS c FROM g) WHERE c > 1),
+cover AS (SELECT doc_id, count(DISTINCT q) AS n FROM (SELECT doc_id, unnest(range(p, p + 8)) AS q FROM again) GROUP BY doc_id),
+m AS (SELECT doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+      length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
+      coalesce(n, 0) AS n_repeat_words, len(lines) AS n_lines, len(list_filter(w, lambda x: NOT regexp_matches(x, '[A-Za-z\\x{{80}}-\\x{{10FFFF}}]'))) AS bare
+      FROM d LEFT JOIN cover USING (doc_id)),
+b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT (base_failed OR 5 * n_symbols > n_words OR word_chars < 2 * n_words OR word_chars > 20 * n_words
+            OR 2 * n_dup_lines > n_lines OR 10 * bare > 4 * n_words) AS kept
+FROM b
+""")
+def op3_quality_rules(read):
+    return quality.judge(read("documents")).drop("rejected_by")
