@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from grainfold.llm import decontaminate, quality
+from grainfold.llm import decontaminate, quality, urls
 from grainfold.llm.registry import ORACLES, QUERIES, query
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -56,3 +56,33 @@ FROM b
 """)
 def op3_quality_rules(read):
     return quality.judge(read("documents")).drop("rejected_by")
+
+
+_URL_RULES = (
+    urls.HostRule("block", "net", "/"), urls.HostRule("allow", "example.net", "/en/"),
+    urls.HostRule("block", "example.com", "/de/"), urls.HostRule("allow", "org", "/fr/"),
+)
+_HOST = "CASE WHEN contains(url, '://') THEN translate(regexp_extract(url[strpos(url, '://') + 3 :], '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END"
+_PATH = "CASE WHEN contains(url, '://') THEN regexp_extract(url[strpos(url, '://') + 3 :], '^[^/?#]*([^?#]*)', 1) ELSE '' END"
+#: words that hosts of spam farms carry in the table; the list is made of the URLs that lie on such hosts
+_SPAM_HOST = "(^|[.])(spam|cheap)-"
+
+
+@query("op6_url_filter", f"""
+WITH p AS (SELECT page_id, {_HOST} AS host, {_PATH} AS path FROM pages),
+k AS (SELECT *, CASE WHEN host <> '' THEN concat(regexp_replace(regexp_replace(host, '^www\\.', ''), ':(80|443)$', ''), '/', regexp_replace(path, '^/+|/+$', '', 'g')) END AS key FROM p),
+l AS (SELECT DISTINCT key FROM k WHERE regexp_matches(host, '{_SPAM_HOST}')),
+r AS (SELECT page_id, host, path, key,
+      CASE WHEN (host = 'example.net' OR host LIKE '%.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/'
+           WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'
+           WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/fr/') THEN 'org/fr/'
+           WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/') THEN 'net/' END AS rule FROM k)
+SELECT page_id, host, path, rule,
+       CASE rule WHEN 'example.net/en/' THEN 'allow' WHEN 'org/fr/' THEN 'allow' WHEN 'net/' THEN 'block' WHEN 'example.com/de/' THEN 'block'
+            ELSE CASE WHEN key IN (SELECT key FROM l WHERE key IS NOT NULL) THEN 'block' ELSE 'allow' END END AS verdict
+FROM r
+""")
+def op6_url_filter(read):
+    pages = read("pages").select("page_id", "url")
+    listed = pages.where(urls.host_of(F.col("url")).rlike(_SPAM_HOST))
+    return urls.judge(pages, listed, _URL_RULES).drop("listed")
