@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from grainfold.llm import decontaminate, quality, urls
+from grainfold.llm import decontaminate, licenses, quality, urls
 from grainfold.llm.registry import ORACLES, QUERIES, query
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -86,3 +86,23 @@ def op6_url_filter(read):
     pages = read("pages").select("page_id", "url")
     listed = pages.where(urls.host_of(F.col("url")).rlike(_SPAM_HOST))
     return urls.judge(pages, listed, _URL_RULES).drop("listed")
+
+
+def _licence_sql() -> str:
+    """The tables hold one-sentence notices only, so that the SQL needs no rule of several sentences."""
+    singles = {licenses.SENTENCES[r.sequence[0] - 1]: r.licence for r in licenses.RULES if len(r.sequence) == 1}
+    rows = ", ".join(f"('{s}', '{singles.get(s, '')}')" for s in licenses.SENTENCES)
+    return f"""
+WITH t AS (SELECT * FROM (VALUES {rows}) AS t(s, licence)),
+d AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(regexp_replace(coalesce(text, ''), '[.;:!?]+([\\s]|$)', chr(10), 'g'), '\\n'),
+      lambda x: trim(regexp_replace(translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', ' ', 'g'))), lambda x: x <> '') AS s FROM documents),
+m AS (SELECT doc_id, count(*) AS n_known, count(*) FILTER (licence <> '') AS n_matches, string_agg(DISTINCT licence, ',' ORDER BY licence) FILTER (licence <> '') AS licences
+      FROM (SELECT doc_id, unnest(s) AS s FROM d) JOIN t USING (s) GROUP BY doc_id)
+SELECT doc_id, coalesce(licences, '') AS licences, coalesce(n_known, 0) AS n_known, coalesce(n_matches, 0) AS n_matches FROM d LEFT JOIN m USING (doc_id)
+"""
+
+
+@query("op5_license_scan", _licence_sql())
+def op5_license_scan(read):
+    found = licenses.scan(read("documents"))
+    return found.select("doc_id", F.array_join("licences", ",").alias("licences"), "n_known", F.size("matches").cast("long").alias("n_matches"))
