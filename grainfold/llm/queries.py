@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from grainfold.llm import decontaminate, licenses, quality, urls
+from grainfold.llm import decontaminate, langid, licenses, quality, urls
+from grainfold.llm.frames import held_out
 from grainfold.llm.registry import ORACLES, QUERIES, query
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -106,3 +107,10 @@ SELECT doc_id, coalesce(licences, '') AS licences, coalesce(n_known, 0) AS n_kno
 def op5_license_scan(read):
     found = licenses.scan(read("documents"))
     return found.select("doc_id", F.array_join("licences", ",").alias("licences"), "n_known", F.size("matches").cast("long").alias("n_matches"))
+
+
+@query("op7_language_id")
+def op7_language_id(read):
+    docs = read("documents")
+    model = langid.fit(docs, ~held_out("doc_id"))
+    return langid.predict(docs, model).select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")
