@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from grainfold.llm import decontaminate, langid, licenses, quality, urls
+from grainfold.llm import decontaminate, langid, licenses, quality, toxicity, urls
 from grainfold.llm.frames import held_out
 from grainfold.llm.registry import ORACLES, QUERIES, query
 
@@ -114,3 +114,10 @@ def op7_language_id(read):
     docs = read("documents")
     model = langid.fit(docs, ~held_out("doc_id"))
     return langid.predict(docs, model).select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")
+
+
+@query("op1_toxicity")
+def op1_toxicity(read):
+    docs = read("documents")
+    model = toxicity.fit(docs, read("labels"), ~held_out("doc_id"))
+    return toxicity.score(docs, model).select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
