@@ -82,12 +82,11 @@ def measure(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", carr
         "n_symbols", "n_dup_lines", F.col("m.again").cast("long").alias("n_repeat_words"))
 
 
-def order_rules(measured: DataFrame, rules: tuple[Rule, ...], sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
-    """The rules by falling rejections per second on a bounded sample (the first rows that Spark gives).
-
-    The sample sets the order only, so that it need not be a fair one.
-    """
-    sample = keep_in_folder(measured.limit(sample_rows), "quality-sample")
+def order_rules(texts: DataFrame, rules: tuple[Rule, ...], sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
+    """The rules by falling rejections per second on a random sample of about ``sample_rows`` texts. It sets the order only."""
+    there = texts.count()
+    sampled = texts.select("text").sample(min(1.0, sample_rows / max(there, 1)), seed=7)
+    sample = keep_in_folder(measure(sampled, doc_id="text", carry_text=True).drop("doc_id"), "quality-sample")
     rejected = sample.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.expr(r.rejects)).alias(r.name) for r in rules]).first()
     if not rejected["n"]:
         return list(rules)
@@ -117,7 +116,7 @@ def judge(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", rules:
           base_rules: tuple[Rule, ...] = BASE_RULES, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """Per document: doc_id, the base measures, base_failed, rejected_by (the rule that stopped the cascade) and kept."""
     measured = measure(docs, doc_id=doc_id, text=text, carry_text=True)
-    ordered = order_rules(measured, rules, sample_rows)
+    ordered = order_rules(pick(docs, text=text), rules, sample_rows)
     base = F.expr(" OR ".join(f"({r.rejects})" for r in base_rules) or "false")
     return (
         measured.withColumn("base_failed", base)
@@ -135,5 +134,5 @@ def keep_good(docs: DataFrame, *, text: str = "text", rules: tuple[Rule, ...] =
     on counts come before the windows, which only the survivors reach.
     """
     measured = measure(docs.select(F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("row"), F.col(quoted(text)).alias("text")), doc_id="row", carry_text=True)
-    ordered = order_rules(measured.drop("doc_id"), tuple(base_rules) + tuple(rules), sample_rows)
+    ordered = order_rules(pick(docs, text=text), tuple(base_rules) + tuple(rules), sample_rows)
     return measured.where(first_rejecting(ordered).isNull()).select("doc_id.*")
