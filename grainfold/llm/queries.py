@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from grainfold.llm import decontaminate, langid, licenses, quality, toxicity, urls
+from grainfold.llm import decontaminate, langid, licenses, packing, quality, toxicity, urls
 from grainfold.llm.frames import held_out
 from grainfold.llm.registry import ORACLES, QUERIES, query
 
@@ -121,3 +121,14 @@ def op1_toxicity(read):
     docs = read("documents")
     model = toxicity.fit(docs, read("labels"), ~held_out("doc_id"))
     return toxicity.score(docs, model).select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query("op4_best_fit_packing")
+def op4_best_fit_packing(read):
+    return packing.pack(read("documents"), tokenizer_path())
