@@ -106,7 +106,7 @@ def document_frequencies(docs: DataFrame, *, text: str = "text") -> tuple[int, n
         at = np.flatnonzero(found)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(found[at], n))], names=["bucket", "n"])
 
-    rows = pick(docs, text=text).mapInArrow(count, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    rows = pick(docs, text=text).mapInArrow(count, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow().to_pandas()
     at, n = rows["bucket"].to_numpy(), rows["n"].to_numpy()
     out = np.zeros(BUCKETS, np.int64)
     out[at[at >= 0]] = n[at >= 0]
@@ -174,7 +174,7 @@ def fit(docs: DataFrame, may_learn: Column, *, doc_id: str = "doc_id", text: str
         states = train.groupBy("shard").applyInArrow(learn, "z binary, n binary").collect()  # at most ``shards`` rows of fixed size
         z, n = (np.mean([np.frombuffer(s[k], np.float32).reshape(shape) for s in states], axis=0) for k in ("z", "n"))
     model.weights = _weights(z, n).astype(np.float32)
-    held = sample.where(F.col("pace") % CALIBRATE == 0).toPandas()
+    held = sample.where(F.col("pace") % CALIBRATE == 0).toArrow().to_pandas()
     logits = np.array([model.logits(np.frombuffer(a, np.uint16).astype(np.int64), np.frombuffer(c, np.uint32)) for a, c in zip(held["at"], held["counts"])])
     model.temperature = temperature(logits, np.array([number[v] for v in held["lang"]], int))
     return model

@@ -38,7 +38,7 @@ from grainfold.llm.frames import keep_in_folder, pick
 from grainfold.llm.words import mix, tokenise
 
 MAX_LABELLED = 60_000  # labelled documents that the classifier is fitted on, at most
-MAX_ENTRIES = 1_500_000  # words, and word pairs, that a model holds at most
+MAX_ENTRIES = 400_000  # words, and word pairs, that a model holds at most
 CALIBRATE = 4  # one of so many labelled documents fits the curve instead of the models
 DISCOUNT, MARGIN = 2.5, 1.5
 _WORD, _PAIR = 0, 1
@@ -164,10 +164,10 @@ def _model(counts: DataFrame, max_entries: int) -> Model:
     totals = counts.where(F.col("kind") == _WORD).agg(F.sum(both).alias("n"), F.sum(F.least(F.col("ordinary"), d) + F.least(F.col("toxic"), d)).alias("held")).first()
 
     def gather(df: DataFrame, size: Column, *columns: Column | str):
-        spread = df.groupBy(F.least(size.cast("int"), F.lit(1000)).alias("s")).count().toPandas().sort_values("s", ascending=False)
+        spread = df.groupBy(F.least(size.cast("int"), F.lit(1000)).alias("s")).count().toArrow().to_pandas().sort_values("s", ascending=False)
         fits = spread[spread["count"].cumsum() <= max_entries]["s"]
         least = int(fits.min()) if len(fits) else 1001
-        return df.where(size >= least).select(*columns).toPandas()
+        return df.where(size >= least).select(*columns).toArrow().to_pandas()
 
     # Shared backoff: how many different words were seen before a word, in either class.
     met = counts.where(F.col("kind") == _PAIR)
@@ -233,7 +233,7 @@ def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, *, doc_id: str =
             f = shared.value.features(batch.column(0))
             yield pa.RecordBatch.from_arrays([pa.array(f[:, i]) for i in range(4)] + [batch.column(1)], names=["f0", "f1", "f2", "f3", "toxic"])
 
-    held = sample.where("fold = 0").select("text", "toxic").mapInArrow(features, "f0 double, f1 double, f2 double, f3 double, toxic int").toPandas()
+    held = sample.where("fold = 0").select("text", "toxic").mapInArrow(features, "f0 double, f1 double, f2 double, f3 double, toxic int").toArrow().to_pandas()
     y = held["toxic"].to_numpy(np.float64)
     if len(model.words) and 0 < y.sum() < len(y):
         model.curve = _curve(held[["f0", "f1", "f2", "f3"]].to_numpy(), y)
