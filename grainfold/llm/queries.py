@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from grainfold.llm import decontaminate, langid, licenses, packing, quality, toxicity, urls
+from grainfold.llm import decontaminate, langid, licenses, minhash, packing, quality, toxicity, urls
 from grainfold.llm.frames import held_out
 from grainfold.llm.registry import ORACLES, QUERIES, query
 
@@ -132,3 +132,8 @@ def tokenizer_path() -> str:
 @query("op4_best_fit_packing")
 def op4_best_fit_packing(read):
     return packing.pack(read("documents"), tokenizer_path())
+
+
+@query("op9_minhash_near_dedup")
+def op9_minhash_near_dedup(read):
+    return minhash.near_duplicates(read("documents"))
