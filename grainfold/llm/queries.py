@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from grainfold.llm import decontaminate, langid, licenses, minhash, packing, quality, toxicity, urls
+from grainfold.llm import decontaminate, langid, licenses, minhash, packing, quality, suffix_dedup, toxicity, urls
 from grainfold.llm.frames import held_out
 from grainfold.llm.registry import ORACLES, QUERIES, query
 
@@ -137,3 +137,8 @@ def op4_best_fit_packing(read):
 @query("op9_minhash_near_dedup")
 def op9_minhash_near_dedup(read):
     return minhash.near_duplicates(read("documents"))
+
+
+@query("op8_suffix_array_dedup")
+def op8_suffix_array_dedup(read):
+    return suffix_dedup.measure(read("documents"))
