@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from grainfold.llm import decontaminate, langid, licenses, minhash, packing, quality, suffix_dedup, toxicity, urls
+from grainfold.llm import decontaminate, html_text, langid, licenses, minhash, packing, quality, suffix_dedup, toxicity, urls
 from grainfold.llm.frames import held_out
 from grainfold.llm.registry import ORACLES, QUERIES, query
 
@@ -142,3 +142,8 @@ def op9_minhash_near_dedup(read):
 @query("op8_suffix_array_dedup")
 def op8_suffix_array_dedup(read):
     return suffix_dedup.measure(read("documents"))
+
+
+@query("op10_html_extraction")
+def op10_html_extraction(read):
+    return html_text.extract(read("pages"))
