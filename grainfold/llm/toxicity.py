@@ -143,7 +143,7 @@ def _count_task(batches):
                 take = take[np.unique(own, return_index=True)[1]]
                 held.append((np.full(len(take), kind, np.int8), key[take], h[np.maximum(take - 1, 0)], h[take], labels[lo + words.doc[take]]))
                 rows += len(take)
-            if rows > 3_000_000:
+            if rows > 800_000:
                 yield flush()
                 rows = 0
     if held:
