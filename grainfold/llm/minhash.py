@@ -8,11 +8,12 @@ arrival comes later than all registers hold. Two signatures agree in a register
 with the probability Jaccard similarity of the texts.
 
 Equal texts are one node, so copies cost one aggregation. Bands of registers
-make buckets. In a bucket every member is compared with one centre only, chosen
-by a hash, which makes as many pairs as members. Buckets that then still hold
-several components go on: small ones compare the members of different components,
-large ones are cut by further registers into smaller buckets, level by level.
-Pairs whose signatures could reach the threshold are verified on the shingles
+make buckets. In a bucket every member is compared with one centre only, first one
+chosen by a hash, then the member with most links so far (the middle of its
+group), which makes as many pairs as members. Buckets that then still hold
+several components go on: small ones compare all members of different components;
+the members of larger ones go on to a level of more and longer bands, which keep
+apart what differs from the middle in the same way. Pairs whose signatures could reach the threshold are verified on the shingles
 themselves: a link needs 0.8 of probability Jaccard, or of plain Jaccard over the
 different shingles. Classes are the connected components of the links.
 
@@ -34,10 +35,11 @@ from grainfold.llm.graph import components
 from grainfold.llm.words import mix, tokenise, windows
 
 SHINGLE, THRESHOLD = 5, 0.8
-REGISTERS, ROWS = 80, 4  # 20 bands: a pair at the threshold is missed by all of them once in 28,000
+REGISTERS = 80
+#: (registers of a band, bands) of each level: at the threshold all bands of a level miss a pair with chance 3e-5, 6e-4 and 1e-3
+LEVELS = ((4, 20), (8, 40), (12, 100))
 MARGIN = 0.25  # a pair whose signatures agree in less than threshold - margin of the registers is not verified
-SMALL = 64  # members of a bucket up to which all pairs of different components are compared
-LEVELS = 3  # cuts of large buckets by further registers; what is left after them is compared in full
+SMALL = 16  # members of a bucket up to which all pairs of different components are compared
 BROADCAST_IDS = 1_000_000
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -107,111 +109,127 @@ def _sign(kept: DataFrame) -> DataFrame:
     return kept.select("id", "text", F.md5("text").alias("same")).mapInArrow(run, schema)
 
 
-def _bands(rows: DataFrame, level: int, first_key: bool) -> DataFrame:
-    """(key, id) of the bands; at a later level the key of the larger bucket goes into those of the smaller ones."""
+def _bands(signed: DataFrame, level: int) -> DataFrame:
+    """(key, id) of the bands of a level. The first cuts the registers into disjoint bands, the others draw them."""
+    rows, count = LEVELS[level]
     rng = np.random.default_rng(level)
-    order = np.arange(REGISTERS) if level == 0 else rng.permutation(REGISTERS)
-    bands = [order[i : i + ROWS] for i in range(0, REGISTERS, ROWS)]
+    bands = np.arange(REGISTERS).reshape(-1, rows) if level == 0 else np.array([rng.choice(REGISTERS, rows, replace=False) for _ in range(count)])
 
     def run(batches):
         for batch in batches:
             if not len(batch):
                 continue
             sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(-1, REGISTERS).astype(np.uint64)
-            before = np.zeros(len(sig), np.uint64) if first_key else batch.column(2).to_numpy().view(np.uint64)
             keys = []
             for n, band in enumerate(bands):
-                h = before + np.uint64((n + 1) * int(_GOLD) & 0xFFFFFFFFFFFFFFFF)
+                h = np.full(len(sig), (n + 1) * int(_GOLD) & 0xFFFFFFFFFFFFFFFF, np.uint64)
                 for r in band:
                     h = mix(h ^ sig[:, r]) * _GOLD
                 keys.append(h.view(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.concat_arrays([batch.column(0)] * len(bands))], names=["key", "id"])
 
-    schema = rows.select(F.lit(0).cast("long").alias("key"), "id").schema
-    return rows.select("id", "sig", *([] if first_key else ["key"])).mapInArrow(run, schema)
-
-
-def _verify(pairs: DataFrame, signed: DataFrame, kept: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose similarity reaches the threshold."""
-    id_type = pairs.schema["a"].dataType.simpleString()
-    agree = int((threshold - MARGIN) * REGISTERS)
-
-    def could(batches):
-        for batch in batches:
-            if len(batch):
-                a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint32).reshape(-1, REGISTERS) for i in (2, 3))
-                near = (a == b).sum(axis=1) >= agree
-                yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(near))
-
-    sig = lambda end: signed.select(F.col("id").alias(end), F.col("sig").alias(f"sig_{end}"))
-    near = pairs.join(sig("b"), "b").join(sig("a"), "a").select("a", "b", "sig_a", "sig_b").mapInArrow(could, f"a {id_type}, b {id_type}")
-    near = keep_in_folder(near, "near-pairs")
-    ids = near.select(F.col("a").alias("id")).unionByName(near.select(F.col("b").alias("id"))).distinct()
-    ids = keep_in_folder(ids, "near-ids")
-    wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-
-    def sets(batches):
-        for batch in batches:
-            out = []
-            for lo, hi, doc, key, weight in shingles(batch.column(1)):
-                name = np.repeat((key >> np.uint64(32)).astype(np.uint32), weight)
-                doc = np.repeat(doc, weight)
-                order = np.lexsort((name, doc))
-                ends = np.searchsorted(doc[order], np.arange(hi - lo + 1))
-                out += [name[order[x:y]].tobytes() for x, y in zip(ends, ends[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["id", "names"])
-
-    names = keep_in_folder(kept.join(wanted, "id", "left_semi").select("id", "text").mapInArrow(sets, f"id {id_type}, names binary"), "shingle-sets")
-    centres = near.select(F.col("a").alias("id")).distinct()
-
-    def meet(batches):
-        for batch in batches:
-            a, b = (batch.column(i).to_pylist() for i in (2, 3))
-            good = [max(similarity(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32))) >= threshold - 1e-12 for x, y in zip(a, b)]
-            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
-
-    of = lambda rows, end: rows.select(F.col("id").alias(end), F.col("names").alias(f"names_{end}"))
-    met = near.join(of(names, "b"), "b").join(of(names.join(centres, "id", "left_semi"), "a"), "a")
-    return met.select("a", "b", "names_a", "names_b").mapInArrow(meet, f"a {id_type}, b {id_type}")
+    return signed.select("id", "sig").mapInArrow(run, signed.select(F.lit(0).cast("long").alias("key"), "id").schema)
+
+
+class _Proof:
+    """Verifies pairs; the shingles of a document are made once, when a pair first needs them."""
+
+    def __init__(self, kept: DataFrame, signed: DataFrame, threshold: float):
+        self.kept, self.signed, self.threshold = kept, signed, threshold
+        self.id_type = signed.schema["id"].dataType.simpleString()
+        self.names: DataFrame | None = None
+
+    def _make(self, ids: DataFrame) -> None:
+        """Shingle names of the documents that have none yet."""
+        missing = keep_in_folder(ids if self.names is None else ids.join(self.names.select("id"), "id", "left_anti"), "shingle-ids")
+        count = missing.count()
+        if self.names is not None and not count:
+            return
+
+        def sets(batches):
+            for batch in batches:
+                out = []
+                for lo, hi, doc, key, weight in shingles(batch.column(1)):
+                    name = np.repeat((key >> np.uint64(32)).astype(np.uint32), weight)
+                    doc = np.repeat(doc, weight)
+                    order = np.lexsort((name, doc))
+                    ends = np.searchsorted(doc[order], np.arange(hi - lo + 1))
+                    out += [name[order[x:y]].tobytes() for x, y in zip(ends, ends[1:])]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["id", "names"])
+
+        wanted = F.broadcast(missing) if count <= BROADCAST_IDS else missing
+        texts = self.kept.join(wanted, "id", "left_semi").select("id", "text")
+        made = keep_in_folder(texts.mapInArrow(sets, f"id {self.id_type}, names binary").dropDuplicates(["id"]), "shingle-sets")
+        self.names = made if self.names is None else self.names.unionByName(made)
+
+    def __call__(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) whose similarity reaches the threshold, as a table."""
+        agree, threshold = int((self.threshold - MARGIN) * REGISTERS), self.threshold
+
+        def could(batches):
+            for batch in batches:
+                if len(batch):
+                    a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint32).reshape(-1, REGISTERS) for i in (2, 3))
+                    yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array((a == b).sum(axis=1) >= agree))
+
+        def meet(batches):
+            for batch in batches:
+                a, b = (batch.column(i).to_pylist() for i in (2, 3))
+                good = [max(similarity(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32))) >= threshold - 1e-12 for x, y in zip(a, b)]
+                yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+        def beside(rows: DataFrame, side: DataFrame, what: str) -> DataFrame:
+            of = lambda end: side.select(F.col("id").alias(end), F.col(what).alias(f"{what}_{end}"))
+            return rows.join(of("b"), "b").join(of("a"), "a").select("a", "b", f"{what}_a", f"{what}_b")
+
+        schema = f"a {self.id_type}, b {self.id_type}"
+        near = keep_in_folder(beside(pairs, self.signed, "sig").mapInArrow(could, schema), "near-pairs")
+        self._make(near.select(F.col("a").alias("id")).unionByName(near.select(F.col("b").alias("id"))).distinct())
+        return keep_in_folder(beside(near, self.names, "names").mapInArrow(meet, schema), "links")
 
 
 def links(kept: DataFrame, signed: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Verified links (a, b) between different texts that join all components; signed: id and sig of one row for every text."""
-    buckets_of = keep_in_folder(_bands(signed, 0, True), "bands")
-    found, roots = None, None
-    for level in range(LEVELS + 1):
-        # One centre a bucket, by a hash, so that the bands of a group do not all take the same.
-        buckets = buckets_of.groupBy("key").agg(F.min_by("id", F.xxhash64("id", "key")).alias("centre"), F.count(F.lit(1)).alias("n")).where("n > 1")
-        members = keep_in_folder(buckets_of.join(buckets, "key"), "buckets")
-        star = members.where("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
-        if roots is not None:  # what is known to belong together needs no further proof
-            star = _apart(star, roots)
-        new = keep_in_folder(_verify(star, signed, kept, threshold), "links")
+    proof, found, roots = _Proof(kept, signed, threshold), None, None
+
+    def add(pairs: DataFrame) -> bool:
+        nonlocal found, roots
+        new = proof(pairs)
+        if found is not None and new.isEmpty():
+            return False
         found = new if found is None else keep_in_folder(found.unionByName(new), "links")
         roots = keep_in_folder(components(found), "roots")
-        owned = members.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").select("key", "id", "n", "centre", F.coalesce("root", "id").alias("root"))
-        mixed = owned.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
-        open_ = keep_in_folder(owned.join(mixed, "key"), "open-buckets")
-        small = open_.where(F.col("n") <= SMALL) if level < LEVELS else open_
+        return True
+
+    def opened(members: DataFrame) -> DataFrame:
+        """Members of the buckets that hold several components, with their root and their number of links."""
+        degree = found.select(F.col("a").alias("id")).unionByName(found.select(F.col("b").alias("id"))).groupBy("id").agg(F.count(F.lit(1)).alias("degree"))
+        known = roots.select(F.col("node").alias("id"), "root").join(degree, "id", "left")
+        owned = members.join(known, "id", "left").select("key", "id", "n", F.coalesce("root", "id").alias("root"), F.coalesce("degree", F.lit(0)).alias("degree"))
+        mixed = owned.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.max_by(F.struct("id", "root"), F.struct("degree", F.xxhash64("id", "key"))).alias("centre")).where("x <> y")
+        return keep_in_folder(owned.join(mixed.select("key", "centre"), "key"), "open-buckets")
+
+    level, part = 0, signed
+    while True:
+        keys = keep_in_folder(_bands(part, level), "bands")
+        buckets = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min_by("id", F.xxhash64("id", "key")).alias("first")).where("n > 1")
+        members = keep_in_folder(keys.join(buckets, "key"), "buckets")
+        if level == 0:  # one centre a bucket, by a hash, so that the bands of a group do not all take the same
+            add(members.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct())
+        # Then the member with most links so far, which is in the middle of its group.
+        open_ = opened(members)
+        if add(open_.where("root <> centre.root").select(F.col("centre.id").alias("a"), F.col("id").alias("b")).distinct()):
+            open_ = opened(members)
+        small = open_.where(F.col("n") <= SMALL)
         other = small.select("key", F.col("id").alias("b"), F.col("root").alias("root_b"))
-        rest = (small.select("key", F.col("id").alias("a"), "root", "centre").join(other, "key")
-                .where((F.col("a") < F.col("b")) & (F.col("root") != F.col("root_b")) & (F.col("a") != F.col("centre")) & (F.col("b") != F.col("centre")))
-                .select("a", "b").distinct())
-        new = keep_in_folder(_verify(rest, signed, kept, threshold), "links")
-        if not new.isEmpty():
-            found = keep_in_folder(found.unionByName(new), "links")
-            roots = keep_in_folder(components(found), "roots")
-        large = open_.where(F.col("n") > SMALL)
-        if level == LEVELS or large.isEmpty():
+        add(small.select("key", F.col("id").alias("a"), "root").join(other, "key").where("a < b AND root <> root_b").select("a", "b").distinct())
+        level += 1
+        if level == len(LEVELS):
             return found
-        buckets_of = keep_in_folder(_bands(large.select("id", "key").join(signed, "id"), level + 1, False), "bands")
-    return found
-
-
-def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    root = lambda end: roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
-    both = pairs.join(root("a"), "a", "left").join(root("b"), "b", "left")
-    return both.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+        large = keep_in_folder(open_.where(F.col("n") > SMALL).select("id").distinct(), "open-ids")
+        if large.isEmpty():
+            return found
+        part = large.join(signed, "id")
 
 
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
