@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grainfold.llm.frames import keep_in_folder, pick
+from grainfold.llm.frames import keep_in_folder, numbered, pick
 from grainfold.llm.words import LOWER_BYTES, Words, buffers, slices, tokenise, words_of
 
 WINDOW, BLOCK_WORDS = 13, 100_000
@@ -291,8 +291,8 @@ def clean(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", coverage
 
     A cut is closed with a line break. Uncontaminated rows and all other columns stay as they are.
     """
-    found = _over_blocks(docs, text, benchmark, item_id, item_text, window, block_words)
     place, names = docs.columns.index(text), docs.columns
+    found = _over_blocks(numbered(docs), f"c{place}", benchmark, item_id, item_text, window, block_words)
 
     def cut(batches):
         for batch in batches:

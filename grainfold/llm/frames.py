@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,8 +24,9 @@ def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def arrow(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    return df.mapInArrow(work, schema)
+def numbered(df: DataFrame) -> DataFrame:
+    """The same columns under the names c0, c1, ..., so that working columns beside them cannot clash."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
 
 
 def quoted(name: str) -> str:
