@@ -29,15 +29,37 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from grainfold.llm.frames import keep_in_folder, pick
-from grainfold.llm.words import buffers, slices, words_of
+from grainfold.llm.words import LOWER, Rolling, Words, buffers, slices
 from grainfold.operators.ordering import add_position
 
 SEQUENCE, END_ID = 2048, 0
 MAX_NODES, MAX_FILLINGS, MAX_STEPS = 400, 24, 4_000  # limits of the search, not of the pieces
 _CACHED_CHUNKS = 1_500_000
-#: The tokenizer drops white space, and none of its words spans any, so that runs of other characters are coded one by one.
-IS_CHUNK = ~np.isin(np.arange(256), [0x20, 0x09, 0x0A, 0x0D])
-_SEPARATOR = "<|endoftext|>"
+#: Strings that the tokenizer takes as one id wherever they stand; texts that hold one are coded whole.
+_SPECIAL = ("<|startoftext|>", "<|endoftext|>")
+_BLANK, _ALNUM, _PUNCT, _OTHER = range(4)
+_KIND = np.full(256, _OTHER, np.uint8)
+_KIND[[0x20, 0x09, 0x0A, 0x0D]] = _BLANK
+_KIND[[c for c in range(128) if chr(c).isalnum()]] = _ALNUM
+_KIND[[c for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'"]] = _PUNCT
+
+
+def chunks_of(data: np.ndarray, offsets: np.ndarray) -> Words:
+    """Runs of bytes that the tokenizer codes by themselves, with A-Z read as a-z, as its normaliser does.
+
+    None of its words spans white space, nor goes from an ASCII letter or digit on to ASCII punctuation or back
+    (an apostrophe, which may begin a short form, and characters outside ASCII are not parted from their neighbours).
+    """
+    kind = _KIND[data]
+    inside = kind != _BLANK
+    begins = np.ones(len(data) + 1, bool)  # nothing goes on from the byte before
+    begins[1:-1] = ~inside[:-1] | (np.minimum(kind[1:], kind[:-1]) == _ALNUM) & (np.maximum(kind[1:], kind[:-1]) == _PUNCT)
+    begins[offsets] = True
+    start = np.flatnonzero(inside & begins[:-1])
+    after = begins[1:].copy()
+    after[:-1] |= ~inside[1:]
+    end = np.flatnonzero(inside & after) + 1
+    return Words(data, offsets, start, end, np.searchsorted(offsets, start, side="right") - 1, Rolling(LOWER[data]).of(start, end))
 
 
 class Encoder:
@@ -50,7 +72,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cut = self.tokenizer.token_to_id(_SEPARATOR)
+        self.cut = self.tokenizer.token_to_id(_SPECIAL[1])
         self._forget()
 
     def _forget(self) -> None:
@@ -59,18 +81,21 @@ class Encoder:
         self.size = np.zeros(0, np.int64)
         self.pool = np.zeros(0, np.uint32)
 
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+
     def _encode(self, chunks: list[str]) -> list[np.ndarray]:
-        """One call for many chunks, with a token between them that none of them holds."""
-        if self.cut is None or any(_SEPARATOR in c for c in chunks):
-            return [np.array(self.tokenizer.encode(c, add_special_tokens=False).ids, np.uint32) for c in chunks]
-        ids = np.array(self.tokenizer.encode(_SEPARATOR.join(chunks), add_special_tokens=False).ids, np.uint32)
-        return np.split(ids, np.flatnonzero(ids == self.cut))
+        """One call for many chunks, with an id between them that none of them holds."""
+        if self.cut is None:
+            return [self._ids(c) for c in chunks]
+        ids = self._ids(_SPECIAL[1].join(chunks))
+        ends = np.append(np.flatnonzero(ids == self.cut), len(ids))
+        return [ids[a:b] for a, b in zip(np.append(0, ends[:-1] + 1), ends)]
 
     def _learn(self, hashes: np.ndarray, chunks: list[str]) -> None:
         coded = []
         for i in range(0, len(chunks), 10_000):
-            part = self._encode(chunks[i : i + 10_000])
-            coded += [c[1:] if n and len(c) and c[0] == self.cut else c for n, c in enumerate(part)]
+            coded += self._encode(chunks[i : i + 10_000])
         size = np.array([len(c) for c in coded], np.int64)
         start = len(self.pool) + np.cumsum(size) - size
         self.pool = np.concatenate([self.pool, *coded])
@@ -84,14 +109,15 @@ class Encoder:
         for lo, hi in slices(offsets):
             a, b = offsets[lo], offsets[hi]
             part = data[a:b]
-            chunks = words_of(part, offsets[lo : hi + 1] - a, IS_CHUNK, lower=False)
+            chunks = chunks_of(part, offsets[lo : hi + 1] - a)
+            raw = part.tobytes()
+            special = any(s.encode() in raw for s in _SPECIAL)
             different, first, which = np.unique(chunks.hash, return_index=True, return_inverse=True)
             if len(self.hashes) > _CACHED_CHUNKS:
                 self._forget()
             at = np.minimum(np.searchsorted(self.hashes, different), max(len(self.hashes) - 1, 0))
             new = np.ones(len(different), bool) if not len(self.hashes) else self.hashes[at] != different
             if new.any():
-                raw = part.tobytes()
                 self._learn(different[new], [raw[chunks.start[i] : chunks.end[i]].decode("utf-8", "replace") for i in first[new].tolist()])
             place = np.searchsorted(self.hashes, different)
             size, start = self.size[place][which], self.start[place][which]
@@ -99,7 +125,8 @@ class Encoder:
             ids = self.pool[np.repeat(start - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
             bounds = np.append(0, ends)[chunks.bounds]
             for d in range(hi - lo):
-                yield ids[bounds[d] : bounds[d + 1]]
+                own = raw[chunks.offsets[d] : chunks.offsets[d + 1]] if special else b""
+                yield self._ids(own.decode("utf-8", "replace")) if any(s.encode() in own for s in _SPECIAL) else ids[bounds[d] : bounds[d + 1]]
 
 
 def pieces_of(docs: DataFrame, tokenizer: str, *, doc_id: str = "doc_id", text: str = "text", sequence: int = SEQUENCE, end_id: int = END_ID) -> DataFrame:
