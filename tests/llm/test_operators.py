@@ -330,7 +330,7 @@ def test_transform_and_prefixes_equal_a_sort(seed):
     for a, b, p in zip(order, order[1:], prefix[1:]):
         common = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
         assert p == min(common, 4)
-    assert [t - 1 for t in transform] == [strings[s][o - 1] if o else -1 for s, o in zip(string, offset)]
+    assert [int(t) - 1 for t in transform] == [strings[s][o - 1] if o else -1 for s, o in zip(string, offset)]
 
 
 def test_equal_windows_have_one_anchor():
