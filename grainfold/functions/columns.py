@@ -43,7 +43,12 @@ def to_number(c: Column, dtype: T.DataType | None = None) -> Column:
         return c.cast("double")
     if dtype is not None and is_fractional(dtype):
         return finite(c.cast("double"))
-    return finite(c.try_cast("double"))
+    return finite(decimal_text(c).try_cast("double"))
+
+
+def decimal_text(c: Column) -> Column:
+    """The text of a plain decimal number; null for anything else, such as ``1d`` or ``0x1p3``, which a cast would take."""
+    return F.when(c.cast("string").rlike(r"^\s*[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"), c.cast("string"))
 
 
 def present(df: DataFrame, name: str) -> Column:

@@ -24,15 +24,14 @@ def top_n(
     """Groups ranked by an aggregate; for sums also the share of the total in percent."""
     if metric is None and number is None:
         agg = "count"
-    groups = stats.aggregate(df, [group_by], metric, agg, number=number, drop_null_groups=True)
+    every = stats.aggregate(df, [group_by], metric, agg, number=number)
     order = F.asc("value") if ascending else F.desc("value")
-    if agg == "sum":
-        v = number if number is not None else fc.number_of(df, metric)
-        total = df.agg(F.sum(v)).first()[0]
-        share = F.try_divide(F.col("value"), F.lit(total)) * 100
-    else:
-        share = F.lit(None).cast("double")
-    return groups.withColumn("share_pct", share).orderBy(order, ref(group_by)).limit(n)
+    if agg != "sum":
+        return every.where(ref(group_by).isNotNull()).withColumn("share_pct", F.lit(None).cast("double")).orderBy(order, ref(group_by)).limit(n)
+    # The groups are added up in the same run that ranks them: one struct for the total, one sorted top list, both bounded by n.
+    total = every.agg(F.sum("value").alias("_total"))
+    ranked = every.where(ref(group_by).isNotNull()).orderBy(order, ref(group_by)).limit(n)
+    return ranked.join(F.broadcast(total), F.lit(True)).withColumn("share_pct", F.try_divide(F.col("value"), F.col("_total")) * 100).drop("_total").orderBy(order, ref(group_by))
 
 
 def number_summary(df: DataFrame, metric: str) -> DataFrame:
@@ -113,14 +112,18 @@ def stat(df: DataFrame, metric: str) -> DataFrame:
         stats.sample_skewness(F.col("v")).alias("skew")).withColumn("median", F.lit(median))
 
 
-def diagnose(profile: Profile) -> DataFrame:
-    """(finding, subject, value): missing cells, duplicates, outliers, imbalance of a likely target."""
+def _first(df: DataFrame, k: int | None) -> DataFrame:
+    return df if k is None else df.limit(k)
+
+
+def diagnose(profile: Profile, k: int | None = None) -> DataFrame:
+    """(finding, subject, value): missing cells, duplicates, outliers (of the first ``k`` columns if given), imbalance of a likely target."""
     s = profile.summary()
     found = [
         s.where("total_missing_cells > 0").select(F.lit("missing").alias("finding"), F.lit(None).cast("string").alias("subject"),
                                                   F.col("total_missing_cells").cast("double").alias("value")),
         s.where("duplicate_pct > 1").select(F.lit("duplicates"), F.lit(None).cast("string"), F.col("duplicate_pct")),
-        profile.columns.where("outlier_pct >= 5").orderBy("position").limit(3).select(
+        _first(profile.columns.where("outlier_pct >= 5").orderBy("position"), k).select(
             F.lit("outliers"), F.col("name"), F.col("outlier_pct")),
         imbalanced_targets(profile, None).select(F.lit("imbalance"), F.col("column"), F.col("pct")),
     ]
@@ -169,8 +172,8 @@ def derived_features(df: DataFrame, profile: Profile | None = None) -> DataFrame
     return out
 
 
-def cleaning_plan(profile: Profile) -> DataFrame:
-    """(step, subject, value): cleaning steps in the order they should be made."""
+def cleaning_plan(profile: Profile, k: int | None = None) -> DataFrame:
+    """(step, subject, value): cleaning steps in the order they should be made, for all columns or the first ``k`` of each kind."""
     s = profile.summary()
     cols = profile.columns
     worst = cols.where("missing > 0").orderBy(F.desc("missing"), "position").limit(1)
@@ -178,8 +181,8 @@ def cleaning_plan(profile: Profile) -> DataFrame:
         worst.select(F.lit(1).alias("step"), F.lit("missing").alias("action"), F.col("name").alias("subject"),
                      F.col("missing_pct").alias("value")),
         s.where("duplicate_rows > 0").select(F.lit(2), F.lit("duplicates"), F.lit(None).cast("string"), F.col("duplicate_pct")),
-        cols.where("outlier_pct >= 5").orderBy("position").limit(3).select(F.lit(3), F.lit("outliers"), F.col("name"), F.col("outlier_pct")),
-        cols.where(F.col("semantic_type").isin("categorical", "text")).orderBy("position").limit(3).select(
+        _first(cols.where("outlier_pct >= 5").orderBy("position"), k).select(F.lit(3), F.lit("outliers"), F.col("name"), F.col("outlier_pct")),
+        _first(cols.where(F.col("semantic_type").isin("categorical", "text")).orderBy("position"), k).select(
             F.lit(4), F.lit("text"), F.col("name"), F.lit(None).cast("double")),
     ]
     out = steps[0]

@@ -20,8 +20,6 @@ from grainfold.operators.profile import Profile
 CATEGORY_LIMIT = 30
 PIE_LIMIT = 10
 VIOLIN_CATEGORIES = 8
-HEATMAP_COLUMNS = 20
-PAIR_COLUMNS = 6
 
 
 class ChartError(ValueError):
@@ -105,8 +103,10 @@ def kde(df: DataFrame, x: str, color: str | None = None, points: int = 50, cells
 
 
 def distribution(df: DataFrame, x: str, color: str | None = None, bins: int = 30) -> tuple[DataFrame, DataFrame]:
-    """Histogram (5 to 100 bins) and density curve."""
-    return histogram(df, x, color, max(5, min(bins, 100))), kde(df, x, color)
+    """Histogram and density curve."""
+    if bins < 1:
+        raise ChartError("a histogram needs at least one bin")
+    return histogram(df, x, color, bins), kde(df, x, color)
 
 
 # --- comparison and trends --------------------------------------------------------------
@@ -178,7 +178,7 @@ def density(df: DataFrame, x: str, y: str, bins: int = 20) -> DataFrame:
 
 
 def heatmap(df: DataFrame, columns: Sequence[str] | None = None, digits: int = 2) -> DataFrame:
-    names = list(columns or Profile(df).names("numeric"))[:HEATMAP_COLUMNS]
+    names = list(columns or Profile(df).names("numeric"))
     if len(names) < 2:
         raise ChartError("a correlation heat map needs two numeric columns")
     return stats.correlation_cells(df, {n: fc.number_of(df, n) for n in names}, digits)
@@ -186,7 +186,7 @@ def heatmap(df: DataFrame, columns: Sequence[str] | None = None, digits: int = 2
 
 def pair_plot(df: DataFrame, columns: Sequence[str] | None = None, color: str | None = None, bins: int = 20) -> DataFrame:
     """(a, b, hue, a_bin, b_bin, count): a small two-dimensional histogram for every pair of columns."""
-    names = list(columns or Profile(df).names("numeric"))[:PAIR_COLUMNS]
+    names = list(columns or Profile(df).names("numeric"))
     held = df.select(*[fc.number_of(df, n).alias(n) for n in names],
                      (ref(color).cast("string") if color else F.lit(None).cast("string")).alias("_hue")).na.drop(subset=names)
     ends = held.agg(*[f(ref(n)) for n in names for f in (F.min, F.max)]).first()
@@ -265,14 +265,12 @@ def cluster_map(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
 def pie(df: DataFrame, names: str, values: str | None = None, aggregation: str | None = None, limit: int = PIE_LIMIT) -> DataFrame:
     """Largest ``limit - 1`` categories and one "Other" for the rest."""
     slices = stats.aggregate(df, [names], values, aggregation or ("sum" if values else "count"))
-    n = slices.count()
-    if n <= limit:
-        return slices
-    head = slices.orderBy(F.desc("value"), ref(names)).limit(limit - 1)
-    kept = [r[names] for r in head.collect()]
+    head = slices.orderBy(F.desc("value"), ref(names)).take(limit + 1)  # the one run of the aggregate that decides
+    if len(head) <= limit:
+        return df.sparkSession.createDataFrame(head, slices.schema)
     known = F.lit(False)
-    for k in kept:
-        known = known | ref(names).eqNullSafe(F.lit(k))
+    for r in head[: limit - 1]:
+        known = known | ref(names).eqNullSafe(F.lit(r[names]))
     return slices.groupBy(F.when(known, ref(names)).otherwise("Other").alias(names)).agg(F.sum("value").alias("value"))
 
 
@@ -293,8 +291,8 @@ def hierarchy(df: DataFrame, path: Sequence[str], values: str | None = None, agg
 
 # --- catalog --------------------------------------------------------------------------------
 
-# Required fields per chart, as column kinds any of which will do.
 _CATEGORY = ("categorical", "boolean")
+# Required fields per chart, as column kinds any of which will do.
 CHARTS = {
     "histogram": [("numeric",)], "box": [("numeric",)], "violin": [("numeric",)],
     "bar": [(*_CATEGORY, "datetime")], "line": [("datetime", "numeric", "categorical"), ("numeric",)],
@@ -306,7 +304,7 @@ CHARTS = {
     "scatter_map": [("numeric",), ("numeric",)], "bubble_map": [("numeric",), ("numeric",), ("numeric",)],
     "density_map": [("numeric",), ("numeric",)], "heat_map": [("numeric",), ("numeric",)],
     "hexbin_map": [("numeric",), ("numeric",)], "cluster_map": [("numeric",), ("numeric",)],
-    "choropleth": [("categorical", "text")],
+    "choropleth": [_CATEGORY],
 }
 _TWO_NUMBERS = ("heatmap", "pairplot", "clustermap")
 
@@ -328,7 +326,7 @@ BUILDERS = {
     "histogram": histogram, "box": box, "violin": violin, "bar": bar, "line": line, "area": line,
     "scatter": scatter, "bubble": bubble, "density_heatmap": density, "heatmap": heatmap, "pie": pie,
     "treemap": hierarchy, "sunburst": hierarchy, "pairplot": pair_plot, "jointplot": joint_plot, "kde": kde,
-    "regression": polynomial_fit, "clustermap": cluster_map,
+    "regression": polynomial_fit, "clustermap": cluster_map, "distribution": distribution,
 }
 
 

@@ -11,7 +11,6 @@ from grainfold.operators import charts, frames, stats
 from grainfold.operators.profile import Profile
 
 HIST_BINS = 12
-MAX_CHARTS = 24
 
 
 def histogram(df: DataFrame, column: str) -> DataFrame:
@@ -88,26 +87,26 @@ def heatmap(df: DataFrame, columns: list[str]) -> DataFrame:
     return stats.correlation_cells(df, {c: fc.number_of(df, c) for c in columns}, 2)
 
 
-def plan(df: DataFrame, profile: Profile | None = None) -> list[dict]:
-    """Which charts to make for a table, in order; at most 24."""
+def plan(df: DataFrame, profile: Profile | None = None, limit: int | None = None) -> list[dict]:
+    """Which charts to make for a table, in order: every number and every category has its own; the first ``limit`` if given."""
     profile = profile or Profile(df)
     numeric, dates = profile.names("numeric"), profile.names("datetime")
     categories = profile.names("categorical", "boolean")
     out: list[dict] = []
     if len(numeric) >= 2:
         out.append({"chart": "heatmap", "columns": numeric})
-    for c in numeric[:3]:
+    for c in numeric:
         out += [{"chart": "histogram", "columns": [c]}, {"chart": "box", "columns": [c]}]
     pair = strongest_pair(df, numeric) if len(numeric) >= 2 else None
     if pair:
         out.append({"chart": "scatter", "columns": list(pair)})
-    for c in categories[:2]:
+    for c in categories:
         out += [{"chart": "bar", "columns": [c]}, {"chart": "pie", "columns": [c]}]
     if numeric and categories:
         out += [{"chart": k, "columns": [numeric[0], categories[0]]} for k in ("grouped_mean", "violin")]
     if dates and numeric:
         out.append({"chart": "time_series", "columns": [dates[0], numeric[0]]})
-    return out[:MAX_CHARTS]
+    return out[:limit]
 
 
 MAKERS = {

@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 from grainfold.functions import columns as fc
 from grainfold.functions.columns import ref
 
-MIN_GRID, MAX_GRID = 6, 80
-REGION_LIMIT = 500
 
 
 class MapError(ValueError):
@@ -55,7 +53,9 @@ def density_map(df: DataFrame, lat: str, lon: str, z: str | None = None) -> Data
 
 def grid_map(df: DataFrame, lat: str, lon: str, grid_size: int = 30) -> DataFrame:
     """Mean position and count of every cell of an even grid."""
-    grid = max(MIN_GRID, min(int(grid_size), MAX_GRID))
+    grid = int(grid_size)
+    if grid < 1:
+        raise MapError("a grid needs at least one cell a side")
     points = coordinates(df, lat, lon)
     a0, a1, o0, o1 = points.agg(F.min(ref(lat)), F.max(ref(lat)), F.min(ref(lon)), F.max(ref(lon))).first()
     step_a, step_o = max((a1 - a0) / grid, 1e-9), max((o1 - o0) / grid, 1e-9)
@@ -72,7 +72,9 @@ def cluster_map(df: DataFrame, lat: str, lon: str, n_clusters: int = 5, extra: S
     from pyspark.ml.feature import StandardScaler, VectorAssembler
 
     points = coordinates(df, lat, lon, extra)
-    k = max(2, min(int(n_clusters), 10))
+    k = int(n_clusters)
+    if k < 2:
+        raise MapError("give at least two clusters")
     model = Pipeline(stages=[
         VectorAssembler(inputCols=[lat, lon], outputCol="_raw"),
         StandardScaler(inputCol="_raw", outputCol="_v", withMean=True),
@@ -81,14 +83,14 @@ def cluster_map(df: DataFrame, lat: str, lon: str, n_clusters: int = 5, extra: S
     return model.transform(points).withColumn("cluster", F.concat(F.lit("Cluster "), F.col("_p") + 1)).drop("_raw", "_v", "_p")
 
 
-def choropleth(df: DataFrame, location: str, value: str | None = None, limit: int = REGION_LIMIT) -> DataFrame:
-    """Mean value, or count, per region: the first ``limit`` regions by name."""
+def choropleth(df: DataFrame, location: str, value: str | None = None, limit: int | None = None) -> DataFrame:
+    """Mean value, or count, per region; with ``limit`` the first regions by name only."""
     held = df.select(ref(location).cast("string").alias(location), *([fc.number_of(df, value).alias("_v")] if value else []))
     if value:
         out = held.na.drop(subset=["_v"]).groupBy(ref(location)).agg(F.avg("_v").alias("value"))
     else:
         out = held.groupBy(ref(location)).agg(F.count("*").alias("value"))
-    return out.orderBy(ref(location)).limit(limit)
+    return out if limit is None else out.orderBy(ref(location)).limit(limit)
 
 
 BUILDERS = {

@@ -8,9 +8,11 @@ from pyspark.ml.clustering import BisectingKMeans, KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from grainfold.functions import columns as fc
+from grainfold.functions.columns import ref
 from grainfold.operators import stats
 from grainfold.operators.ml import graph
 
@@ -18,7 +20,9 @@ SEED = 42
 
 
 def kmeans(df: DataFrame, k: int, features: str = "features"):
-    return KMeans(k=max(2, min(k, 20)), seed=SEED, featuresCol=features, predictionCol="cluster").fit(df)
+    if k < 2:
+        raise ValueError("give at least two clusters")
+    return KMeans(k=k, seed=SEED, featuresCol=features, predictionCol="cluster").fit(df)
 
 
 def silhouette(df: DataFrame, features: str = "features", cluster: str = "cluster") -> float:
@@ -27,10 +31,12 @@ def silhouette(df: DataFrame, features: str = "features", cluster: str = "cluste
 
 
 def scan_k(df: DataFrame, features: str = "features", k_max: int | None = None) -> DataFrame:
-    """(k, silhouette, best) for k = 2 .. min(10, root of the rows)."""
-    n = df.count()
+    """(k, silhouette, best) for k = 2 .. ``k_max``, by default the smaller of 10 and the root of the rows."""
+    held = df.persist()
+    n = held.count()
     top = k_max or min(10, int(math.sqrt(n)))
-    rows = [(k, float(silhouette(kmeans(df, k, features).transform(df), features))) for k in range(2, top + 1)]
+    rows = [(k, float(silhouette(kmeans(held, k, features).transform(held), features))) for k in range(2, top + 1)]
+    held.unpersist()
     best = max(rows, key=lambda r: r[1])[0]
     return df.sparkSession.createDataFrame([(k, s, k == best) for k, s in rows], "k int, silhouette double, best boolean")
 
@@ -80,3 +86,33 @@ def projection(df: DataFrame, features: str = "features", components: int = 2) -
     model = PCA(k=components, inputCol=features, outputCol="_pca").fit(df)
     xy = vector_to_array("_pca")
     return model.transform(df).withColumns({"x": xy[0], "y": xy[1]}).drop("_pca"), [float(v) for v in model.explainedVariance]
+
+
+def board(df: DataFrame, key: str, numeric: list[str], k: int | None = None, eps: float = 0.5, min_points: int = 5) -> DataFrame:
+    """(rank, algorithm, n_clusters, silhouette, davies_bouldin): clusterings of standardised columns, the best silhouette first.
+
+    Missing values take the median of their column. Noise of the density clusters is not scored.
+    """
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
+
+    raw = df.select(ref(key).alias("id"), *[fc.number_of(df, c).alias(f"n{i}") for i, c in enumerate(numeric)])
+    names = [f"n{i}" for i in range(len(numeric))]
+    ready = Pipeline(stages=[Imputer(inputCols=names, outputCols=names, strategy="median"), VectorAssembler(inputCols=names, outputCol="_raw"),
+                             StandardScaler(inputCol="_raw", outputCol="features", withMean=True)]).fit(raw).transform(raw).select("id", "features").persist()
+    best = k or scan_k(ready).where("best").first()["k"]
+    runs = {"kmeans": kmeans(ready, best).transform(ready), "hierarchical": hierarchical(ready, best),
+            "dbscan": dbscan(ready, "id", eps, min_points).where("cluster >= 0")}
+    rows = []
+    for name, clustered in runs.items():
+        held = clustered.select(F.col("cluster").cast("string").alias("_name"), "features", vector_to_array("features").alias("v"))
+        codes = held.select("_name").distinct().select("_name", (F.dense_rank().over(Window.orderBy("_name")) - 1).alias("cluster"))  # a row for each cluster
+        held = held.join(F.broadcast(codes), "_name").persist()
+        n = codes.count()
+        score = silhouette(held) if n > 1 else None
+        spread = davies_bouldin(held).first()["davies_bouldin"] if n > 1 else None
+        rows.append((name, n, score, spread))
+        held.unpersist()
+    ready.unpersist()
+    rows.sort(key=lambda r: -(r[2] if r[2] is not None else -2.0))
+    return df.sparkSession.createDataFrame([(i + 1, *r) for i, r in enumerate(rows)], "rank int, algorithm string, n_clusters long, silhouette double, davies_bouldin double")

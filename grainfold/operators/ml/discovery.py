@@ -17,17 +17,15 @@ from grainfold.operators.profile import Profile
 LEAK_CORRELATION, HINT_CORRELATION = 0.9, 0.8
 LEAK_PURITY = 0.97
 LEAK_TREE_R2 = 0.95
-MAX_TARGETS = 12
-PAIR_COLUMNS = 8
+PAIR_BLOCK = 64  # pairs of columns in one pass
 
 
-def viable_targets(profile: Profile, max_targets: int = MAX_TARGETS) -> DataFrame:
+def viable_targets(profile: Profile, max_targets: int | None = None) -> DataFrame:
     """Columns worth predicting: no text, dates, constants, mostly empty columns or near-unique categories."""
     kind, unique = F.col("semantic_type"), F.col("unique")
     near_unique = (kind == "categorical") & (unique >= 0.95 * profile.n_rows) & (unique > 20)
-    return profile.columns.where(
-        ~kind.isin("text", "datetime") & (unique > 1) & (F.col("missing_pct") <= 40) & ~near_unique
-    ).orderBy("position").limit(max_targets).select("position", F.col("name").alias("target"))
+    found = profile.columns.where(~kind.isin("text", "datetime") & (unique > 1) & (F.col("missing_pct") <= 40) & ~near_unique).orderBy("position")
+    return (found if max_targets is None else found.limit(max_targets)).select("position", F.col("name").alias("target"))
 
 
 def single_leak(df: DataFrame, target: str, task: str, numeric: list[str], categorical: list[str]) -> DataFrame:
@@ -47,15 +45,24 @@ def single_leak(df: DataFrame, target: str, task: str, numeric: list[str], categ
 
 
 def pair_leaks(df: DataFrame, target: str, numeric: list[str]) -> DataFrame:
-    """(driver, value, verdict): correlation of the target with ratios and products of two columns, in one pass."""
-    names = numeric[:PAIR_COLUMNS]
-    x = {c: fc.number_of(df, c) for c in names}
+    """(driver, value, verdict): correlation of the target with ratios and products of all pairs of columns.
+
+    Pairs are worked on in blocks of ``PAIR_BLOCK``, one pass over the table each, so that a row is not blown up without bound.
+    """
+    pairs = list(combinations(numeric, 2))
+    out = None
+    for i in range(0, len(pairs), PAIR_BLOCK):
+        part = _pair_block(df, target, pairs[i : i + PAIR_BLOCK])
+        out = part if out is None else out.unionByName(part)
+    return out if out is not None else df.sparkSession.createDataFrame([], "driver string, value double, verdict string")
+
+
+def _pair_block(df: DataFrame, target: str, pairs: list[tuple[str, str]]) -> DataFrame:
+    x = {c: fc.number_of(df, c) for pair in pairs for c in pair}
     cells = []
-    for a, b in combinations(names, 2):
+    for a, b in pairs:
         cells += [F.struct(F.lit(f"{a} / {b}").alias("driver"), fc.ratio(x[a], x[b]).alias("x")),
                   F.struct(F.lit(f"{a} × {b}").alias("driver"), (x[a] * x[b]).alias("x"))]
-    if not cells:
-        return df.sparkSession.createDataFrame([], "driver string, value double, verdict string")
     rows = df.select(fc.number_of(df, target).alias("y"), F.inline(F.array(*cells))).where("y IS NOT NULL AND abs(x) < double('Infinity')")
     found = rows.groupBy("driver").agg(F.count("*").alias("n"), F.abs(stats.correlation_complete(F.col("x"), F.col("y"))).alias("value"))
     verdict = F.when(F.col("value") >= LEAK_CORRELATION, "leak").when(F.col("value") >= HINT_CORRELATION, "hint").otherwise("none")
@@ -96,7 +103,7 @@ SCAN_SCHEMA = ("target string, task string, primary_metric string, test_score do
                "n_features int, leaky boolean, driver string, error string")
 
 
-def scan(df: DataFrame, key: list[str], max_targets: int = MAX_TARGETS, cv_folds: int = 3, params: dict[str, dict] | None = None) -> DataFrame:
+def scan(df: DataFrame, key: list[str], max_targets: int | None = None, cv_folds: int = 3, params: dict[str, dict] | None = None) -> DataFrame:
     """One row per viable target with its reachable score and leak check; best first, failures last."""
     held = df.persist()
     profile = Profile(held)

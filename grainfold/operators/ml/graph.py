@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Sequence
 
 import numpy as np
@@ -43,33 +44,31 @@ def dbscan(points: DataFrame, eps: float = 0.5, min_points: int = 5, **settings)
         return pd.DataFrame({"id": a["id"], "n": (d <= eps).sum(1)})
 
     id_type = dict(points.dtypes)["id"]
+    noise = id_type if id_type == "string" else "bigint"
     near = neighbors.block_join(points, points, count, f"id {id_type}, n bigint", reach=eps, **settings)
     core_ids = near.groupBy("id").agg(F.sum("n").alias("n")).where(F.col("n") >= min_points).select("id")
     core = cut_lineage(points.join(core_ids, "id"))
     if core.isEmpty():
-        return points.select("id", F.lit(-1).cast("bigint").alias("cluster"))
+        return points.select("id", F.lit(-1).cast(noise).alias("cluster"))
 
     def contacts(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         """A spanning set of contacts: enough edges to join what touches, not all pairs."""
         d = distances(matrix(a["v"]), matrix(b["v"])) <= eps
-        ia, ib = a["id"].to_numpy(), b["id"].to_numpy()
-        names = {v: i for i, v in enumerate(pd.unique(np.concatenate([ia, ib])))}
-        parent = list(range(len(names)))
-
-        def root(x: int) -> int:
-            while parent[x] != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
-
-        edges = []
-        for r in range(len(ia)):
-            for c in np.flatnonzero(d[r]):
-                x, y = root(names[ia[r]]), root(names[ib[c]])
-                if x != y:
-                    parent[x] = y
-                    edges.append((ia[r], ib[c]))
-        return pd.DataFrame(edges, columns=["a", "b"])
+        names, which = np.unique(np.concatenate([a["id"].to_numpy(), b["id"].to_numpy()]), return_inverse=True)
+        r, c = np.nonzero(d)
+        x, y = which[r], which[len(a) + c]
+        root = np.arange(len(names))
+        while True:  # the least name of each group, for all contacts at once
+            low = np.minimum(root[x], root[y])
+            after = root.copy()
+            np.minimum.at(after, root[x], low)
+            np.minimum.at(after, root[y], low)
+            after = after[after]
+            if (after == root).all():
+                break
+            root = after
+        other = np.flatnonzero(root != np.arange(len(names)))
+        return pd.DataFrame({"a": names[other], "b": names[root[other]]})
 
     edges = neighbors.block_join(core, core, contacts, f"a {id_type}, b {id_type}", reach=eps, **settings)
     groups = cut_lineage(connected_components(edges, core.select(F.col("id").alias("node"))))
@@ -77,15 +76,15 @@ def dbscan(points: DataFrame, eps: float = 0.5, min_points: int = 5, **settings)
 
     def touch(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         d = distances(matrix(a["v"]), matrix(b["v"])) <= eps
-        label = np.where(d, b["cluster"].to_numpy(dtype=float)[None, :], np.inf).min(1)
-        out = pd.DataFrame({"id": a["id"], "cluster": label})
-        return out[np.isfinite(label)]
+        order = np.argsort(b["cluster"].to_numpy(), kind="stable")  # ids keep their type: the first of the sorted clusters that touches
+        held = d[:, order]
+        return pd.DataFrame({"id": a["id"], "cluster": b["cluster"].to_numpy()[order][held.argmax(1)]})[held.any(1)]
 
     edge = points.join(core_ids, "id", "left_anti")
-    border = neighbors.block_join(edge, marked, touch, f"id {id_type}, cluster double", reach=eps, **settings)
-    border = border.groupBy("id").agg(F.min("cluster").cast("bigint").alias("cluster"))
-    known = marked.select("id", F.col("cluster").cast("bigint").alias("cluster")).unionByName(border)
-    return points.select("id").join(known, "id", "left").select("id", F.coalesce("cluster", F.lit(-1)).alias("cluster"))
+    border = neighbors.block_join(edge, marked, touch, f"id {id_type}, cluster {id_type}", reach=eps, **settings)
+    border = border.groupBy("id").agg(F.min("cluster").alias("cluster"))
+    known = marked.select("id", "cluster").unionByName(border)
+    return points.select("id").join(known, "id", "left").select("id", F.coalesce("cluster", F.lit(-1).cast(noise)).alias("cluster"))
 
 
 def propagate(
@@ -103,6 +102,7 @@ def propagate(
     start = cut_lineage(points.select("id", F.col(labelled).isNotNull().alias("known"), *share))
     names = [f"s{i}" for i in range(len(classes))]
     now = start.select("id", *names)
+    gap = None
     for _ in range(rounds):
         moved = edges.join(now, edges["other"] == now["id"]).groupBy(edges["id"].alias("_id")).agg(*[F.avg(n).alias(f"_{n}") for n in names])
         both = start.join(moved, F.col("id") == F.col("_id"), "left")
@@ -120,6 +120,9 @@ def propagate(
         now = after
         if gap is not None and gap < tolerance:
             break
+    else:
+        if gap is not None and gap >= tolerance:
+            warnings.warn(f"labels still moved by {gap:.3g} after {rounds} rounds", stacklevel=2)
     total = sum((F.col(n) for n in names), F.lit(0.0))
     shares = F.array(*[F.col(n) for n in names])
     best = F.array_position(shares, F.array_max(shares))

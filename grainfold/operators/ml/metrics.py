@@ -114,6 +114,12 @@ def residuals(df: DataFrame, label: str = "label", prediction: str = "prediction
     return df.agg(F.avg(e).alias("mean"), F.stddev_pop(e).alias("std"))
 
 
+def residual_points(df: DataFrame, label: str = "label", prediction: str = "prediction", key: list[str] | None = None) -> DataFrame:
+    """(key..., label, prediction, residual) of every row: the residual series and the points of actual against predicted."""
+    y, p = ref(label).cast("double"), ref(prediction).cast("double")
+    return df.select(*[ref(k) for k in key or []], y.alias("label"), p.alias("prediction"), (y - p).alias("residual")).where("residual IS NOT NULL")
+
+
 def class_support(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
     """(label, actual, predicted) counts of every class."""
     both = df.select(F.inline(F.array(

@@ -170,7 +170,7 @@ class Stack:
     folds: int = 3
 
     def fit(self, df: DataFrame) -> StackModel:
-        held = cut_lineage(df.select("features", "label").withColumn("_fold", F.pmod(F.monotonically_increasing_id(), F.lit(self.folds))))
+        held = cut_lineage(df.select("features", "label").withColumn("_fold", F.pmod(_mark("features", "label"), F.lit(self.folds))))
         parts = []
         for f in range(self.folds):
             rest = held.where(F.col("_fold") != f).drop("_fold")
@@ -182,6 +182,22 @@ class Stack:
         return StackModel([b.fit(held.drop("_fold")) for b in self.bases], meta, self.classes)
 
 
+def _mark(*columns: str):
+    """A hash of the content of a row: the same whatever the partitions."""
+    return F.xxhash64(*[vector_to_array(c) if c == "features" else F.col(c) for c in columns])
+
+
+def _bootstrap(df: DataFrame, seed: int) -> DataFrame:
+    """Every row as often as a Poisson number of mean 1 says that its hash and the seed draw."""
+    u = F.pmod(F.xxhash64("_mark", F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    times, share, total = F.lit(0), math.exp(-1), 0.0
+    for k in range(8):
+        total += share
+        times = times + (u >= total).cast("int")
+        share /= k + 1
+    return df.withColumn("_times", times).where("_times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).drop("_times", "_copy")
+
+
 def _meta_features(members: list, df: DataFrame, classes: int) -> DataFrame:
     out = apply_all(members, df)
     cells = []
@@ -214,8 +230,8 @@ class Bag:
     rounds: int = 10
 
     def fit(self, df: DataFrame):
-        held = cut_lineage(df.select("features", "label"))
-        members = [self.base().fit(held.sample(True, 1.0, SEED + i)) for i in range(self.rounds)]
+        held = cut_lineage(df.select("features", "label").withColumn("_mark", _mark("features", "label")))
+        members = [self.base().fit(_bootstrap(held, SEED + i).drop("_mark")) for i in range(self.rounds)]
         return SoftVotes(members, [1.0] * len(members), self.classes)
 
 

@@ -34,14 +34,20 @@ def infer_task(profile: Profile, target: str) -> DataFrame:
         F.col("name").alias("target"), rules.task_of(F.col("semantic_type"), F.col("unique"), share).alias("task"))
 
 
-def feature_table(profile: Profile, target: str) -> DataFrame:
-    """(feature, kind): usable numeric and categorical columns."""
+def feature_table(profile: Profile, target: str, max_values: int = MAX_CATEGORY_VALUES) -> DataFrame:
+    """(feature, kind): usable numeric columns, and categorical ones of at most ``max_values`` values; ``dropped_features`` names the others."""
     kind = F.col("semantic_type")
-    few = kind.isin("categorical", "boolean") & (F.col("unique") <= MAX_CATEGORY_VALUES)
+    few = kind.isin("categorical", "boolean") & (F.col("unique") <= max_values)
     return profile.columns.where((F.col("name") != target) & (F.col("unique") > 1) & ((kind == "numeric") | few)).select(
         "position", F.col("name").alias("feature"), F.when(kind == "numeric", "numeric").otherwise("categorical").alias("kind"))
 
 
+def dropped_features(profile: Profile, target: str, max_values: int = MAX_CATEGORY_VALUES) -> DataFrame:
+    """(feature, unique): categorical columns that ``feature_table`` leaves out because they hold more than ``max_values`` values."""
+    return profile.columns.where((F.col("name") != target) & F.col("semantic_type").isin("categorical", "boolean") & (F.col("unique") > max_values)).select(
+        F.col("name").alias("feature"), "unique")
+
+
 def purity_table(df: DataFrame, target: str, features: list[str]) -> DataFrame:
     """(feature, purity, groups): how far each category alone decides the target."""
     cells = F.array(*[F.struct(F.lit(c).alias("feature"), ref(c).cast("string").alias("value")) for c in features])
@@ -190,8 +196,8 @@ def split(df: DataFrame, key: list[str], share: float = 0.8, stratify: str | Non
     cuts = cuts.select(ref(stratify).alias("_s"), F.col("_q")[0].alias("_cut"))
     sizes = held.groupBy(ref(stratify).alias("_s2")).agg(F.count("*").alias("_n"))
     cuts = cuts.join(sizes, F.col("_s").eqNullSafe(F.col("_s2"))).drop("_s2")
-    # Classes are few; a class of one row stays in training.
-    out = held.join(cuts, ref(stratify).eqNullSafe(F.col("_s")))
+    # A row for each class, at most 1000 in a plan: sent to the rows, which stay where they are. A class of one row stays in training.
+    out = held.join(F.broadcast(cuts), ref(stratify).eqNullSafe(F.col("_s")))
     return out.withColumn("is_train", (F.col("_h") < F.col("_cut")) | (F.col("_n") < 2)).drop("_h", "_s", "_cut", "_n")
 
 

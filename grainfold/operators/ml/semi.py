@@ -6,8 +6,9 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from grainfold.functions.columns import ref
 from grainfold.operators import stats
-from grainfold.operators.ml import graph, models
+from grainfold.operators.ml import graph, metrics, models, prep
 from grainfold.session import cut_lineage
 
 THRESHOLD = 0.75
@@ -53,3 +54,22 @@ def pseudo_labels(predicted: DataFrame, label: str = "prediction", confidence: s
     grid = predicted.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
     lower = F.round(0.5 + F.col("bin") * F.lit(0.5 / bins), 4)
     return counts, grid.join(slots, "bin", "left").select("bin", lower.alias("lower"), F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def board(rows: DataFrame, key: str, classes: int, base: str = "logistic_regression", share: float = 0.2, **settings) -> DataFrame:
+    """(rank, algorithm, accuracy, f1_weighted): self-training, propagation and spreading on held-back labels, the best first.
+
+    A slice of every class, by a hash of the key, hides its labels from all of them.
+    """
+    held = cut_lineage(prep.split(rows.where("label IS NOT NULL"), [key], 1 - share, "label"))
+    hidden = held.where("NOT is_train").select(ref(key).alias("_k"), F.col("label").alias("_truth"))
+    shown = cut_lineage(rows.join(hidden, ref(key) == F.col("_k"), "left").withColumn("label", F.when(F.col("_k").isNull(), F.col("label"))).drop("_k", "_truth"))
+    model, _ = self_train(shown, base, classes)
+    tests = rows.join(hidden, ref(key) == F.col("_k")).drop("label", "_k")
+    found = {"self_training": model.transform(tests).select(F.col("_truth").alias("label"), "prediction")}
+    for name, spreading in (("label_propagation", False), ("label_spreading", True)):
+        out = label_graph(shown, key, classes, spreading, **settings)
+        found[name] = out.join(hidden, ref(key) == F.col("_k")).select(F.col("_truth").alias("label"), "prediction")
+    scored = [(name, *metrics.classification(df).select("accuracy", "f1_weighted").first()) for name, df in found.items()]
+    scored.sort(key=lambda r: -(r[2] or 0.0))
+    return rows.sparkSession.createDataFrame([(i + 1, *r) for i, r in enumerate(scored)], "rank int, algorithm string, accuracy double, f1_weighted double")

@@ -4,13 +4,12 @@ from __future__ import annotations
 
 import random
 import time
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from itertools import product
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,7 +20,6 @@ from grainfold.operators.ml.prep import Plan, TrainingError
 
 TOP = 3
 GRID_LIMIT = 48
-HISTORY = 12
 LEARNING_SHARES = (0.1, 0.325, 0.55, 0.775, 1.0)
 BOARD_SCHEMA = (
     "rank int, model string, task string, test_score double, train_score double, cv_mean double, cv_std double, "
@@ -154,7 +152,7 @@ def _balanced(data: Prepared, balance: str | None) -> DataFrame:
         return prep.undersample(data.train, "label", data.key)
     if balance == "weights":
         weights = prep.class_weights(data.train, "label").select(F.col("label").alias("_l"), "weight")
-        return data.train.join(weights, F.col("label") == F.col("_l")).drop("_l")
+        return data.train.join(F.broadcast(weights), F.col("label") == F.col("_l")).drop("_l")  # a row for each class
     if balance == "smote":
         from pyspark.ml.functions import array_to_vector
 
@@ -184,22 +182,33 @@ GRIDS = {
 
 
 def tune(data: Prepared, key: str, grid: dict[str, list] | None = None, n_trials: int = 20, folds: int = 3, parallelism: int = 4) -> DataFrame:
-    """(position, score, settings, method): the best settings first.
+    """(position, score, settings, method): all tried settings, the best first.
 
-    All combinations are tried up to a limit; beyond it a seeded sample of ``n_trials``.
+    Folds go by a hash of the key, and the preparation is fitted again in every fold. All
+    combinations are tried up to a limit; beyond it a seeded sample of ``n_trials``.
     """
     grid = grid or GRIDS.get(key) or {}
     combos = [dict(zip(grid, values)) for values in product(*grid.values())]
     method = "grid"
     if len(combos) > GRID_LIMIT:
         combos, method = random.Random(models.SEED).sample(combos, n_trials), "random"
-    estimator = models.build(key, data.n_train, data.classes)
-    maps = [ParamGridBuilder().baseOn(*[(estimator.getParam(n), v) for n, v in c.items()]).build()[0] for c in combos]
-    evaluator = (MulticlassClassificationEvaluator(metricName="f1") if data.plan.task == "classification"
-                 else RegressionEvaluator(metricName="r2"))
-    found = CrossValidator(estimator=estimator, estimatorParamMaps=maps, evaluator=evaluator, numFolds=folds,
-                           seed=models.SEED, parallelism=parallelism).fit(data.train)
-    ranked = sorted(zip(found.avgMetrics, combos), key=lambda p: -p[0])[:HISTORY]
+    fold = F.floor(prep.hash_share(*[ref(k) for k in data.key], F.lit("tune")) * folds)
+    rows = data.rows.where("is_train").withColumn("_fold", fold)
+    scores = [0.0] * len(combos)
+    for f in range(folds):
+        inside, outside = rows.where(F.col("_fold") != f), rows.where(F.col("_fold") == f)
+        pipeline = prep.preprocessor(inside, data.plan).fit(inside)
+        ready, held = pipeline.transform(inside).persist(), pipeline.transform(outside).persist()
+
+        def tried(settings: dict, ready=ready, held=held) -> float:
+            model = models.build(key, data.n_train, data.classes, settings).fit(ready)
+            return evaluate(model.transform(held), data.plan, area=False).get(data.plan.primary) or 0.0
+
+        with ThreadPoolExecutor(parallelism) as pool:  # independent Spark jobs
+            scores = [s + t / folds for s, t in zip(scores, pool.map(tried, combos))]
+        ready.unpersist()
+        held.unpersist()
+    ranked = sorted(zip(scores, combos), key=lambda p: -p[0])
     rows = [(i + 1, float(s), {k: str(v) for k, v in c.items()}, method) for i, (s, c) in enumerate(ranked)]
     return data.train.sparkSession.createDataFrame(rows, "position int, score double, settings map<string,string>, method string")
 
@@ -299,3 +308,20 @@ def load(path: str) -> PipelineModel:
     return PipelineModel.load(path)
 
 
+
+
+def report_tables(result: Trained) -> DataFrame:
+    """(section, name, value): leaderboard, metrics of the best model, its classes and importances, as one long table."""
+    def rows(df: DataFrame, section: str, name: str, values: list[str]) -> DataFrame:
+        cells = F.array(*[F.struct(F.concat_ws(".", ref(name).cast("string"), F.lit(v)).alias("name"), ref(v).cast("double").alias("value")) for v in values])
+        return df.select(F.lit(section).alias("section"), F.inline(cells)).where("value IS NOT NULL")
+
+    best = result.entries[0]
+    spark = result.board.sparkSession
+    numbers = spark.createDataFrame([("metrics", f"{best['model']}.{k}", float(v)) for k, v in sorted(best["metrics"].items())], "section string, name string, value double")
+    out = rows(result.board, "leaderboard", "model", ["test_score", "train_score", "cv_mean", "gap", "confidence"]).unionByName(numbers)
+    if result.data.plan.task == "classification":
+        labels = F.array(*[F.lit(c) for c in result.data.plan.classes])
+        report = metrics.class_report(result.predictions()).withColumn("label", labels[F.col("label").cast("int")])
+        out = out.unionByName(rows(report, "classes", "label", ["precision", "recall", "f1", "support"]))
+    return out.unionByName(rows(permutation_importance(result), "importance", "feature", ["importance"]))

@@ -34,6 +34,7 @@ INTENTS = (
     ("aggregate", r"average|avg|mean|sum|total|count|how many|how much|per |by "),
     ("describe", r"describe|summary|summarise|summarize|overview|profile|statistics|stats|tell me about"),
 )
+# Fixed value: words that point back to an earlier turn.
 FOLLOW_UP = (r"\b(them|they|it|its|that|those|these|this one|the same|the model|"
              r"the result|the results|the chart|the plot|the feature)\b")
 
@@ -61,6 +62,7 @@ STOP_WORDS = (
     "per", "each", "group", "with", "that", "this", "it", "do", "does", "can",
     "you", "please", "about", "from", "get", "find", "all", "any",
 )
+# The similarity from which a word is repaired, and what a word is.
 SIMILARITY = 0.82
 _TOKEN = r"[A-Za-z][A-Za-z0-9_]*"
 
@@ -135,5 +137,5 @@ def correct_spelling(texts: DataFrame, key: str, text: str, columns: Sequence[st
     piece = F.when(F.col("target").isNull(), F.col("_p")).when(upper, F.initcap("target")).otherwise(F.col("target"))
     parts = joined.groupBy("_k").agg(F.array_sort(F.collect_list(F.struct("_i", piece.alias("t")))).alias("_a"))
     built = parts.select("_k", F.array_join(F.transform("_a", lambda s: s["t"]), "").alias("corrected"))
-    return texts.select(ref(key)).join(built, ref(key) == F.col("_k"), "left").select(
-        ref(key), F.coalesce("corrected", F.lit("")).alias("corrected"))
+    return texts.select(ref(key), ref(text).alias("_text")).join(built, ref(key) == F.col("_k"), "left").select(
+        ref(key), F.when(F.col("_text").isNotNull(), F.coalesce("corrected", F.lit(""))).alias("corrected"))

@@ -6,7 +6,9 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from grainfold.functions import columns as fc
 from grainfold.functions.columns import ref
+from grainfold.operators import cleaning
 from grainfold.operators.ml import cluster, discovery, graph, metrics, models, neighbors, policy, prep, semi, series
 from grainfold.operators.ml import train as tr
 from grainfold.operators.profile import Profile
@@ -14,7 +16,8 @@ from grainfold.plans.base import Tables, query
 from grainfold.plans.chart_queries import rounded
 from grainfold.plans.cleaning_queries import ORDER_CP_SQL
 from grainfold.plans.relational import ROC_SQL, scored_labels
-from grainfold.session import cut_lineage, scratch_path
+from grainfold.session import scratch_path
+from grainfold.streaming import admission
 
 # --- tables to learn from -------------------------------------------------------------
 
@@ -123,13 +126,6 @@ def _(t):
 
 # --- models --------------------------------------------------------------------------------
 
-# Fewer trees and rounds than the defaults keep a check run short; all rows are used.
-_QUICK = {
-    "random_forest_clf": {"numTrees": 20}, "random_forest_reg": {"numTrees": 20}, "gradient_boosting_clf": {"maxIter": 10},
-    "gradient_boosting_reg": {"maxIter": 10}, "adaboost_clf": {"rounds": 5}, "svm_clf": {"maxIter": 10}, "logistic_regression": {"maxIter": 30},
-}
-
-
 def fit_one(name: str, key: str, table: str):
     """One query per model: fit on the training part and score the rest."""
 
@@ -137,7 +133,7 @@ def fit_one(name: str, key: str, table: str):
         df, id_, target, chosen = (docs(t), "doc_id", "quality", FEATURES) if table == "docs" else (
             parts(t), "p_partkey", "sales", ["p_type", "p_size", "p_retailprice", "units"])
         data = tr.prepare(df, prep.make_plan(df, target, features=chosen), [id_])
-        model = models.build(key, data.n_train, data.classes, _QUICK.get(key)).fit(data.train)
+        model = models.build(key, data.n_train, data.classes).fit(data.train)
         return model.transform(data.test).select(id_, "label", "prediction")
 
     query(name)(run)
@@ -175,35 +171,35 @@ def _(t):
     return neighbors.nearest(rows, rows, 5, exclude_self=True, broadcast_points=0, block=128, pivots=8).select("id", "other", "rank")
 
 
-def quick(key: str, data: tr.Prepared):
-    return models.build(key, data.n_train, data.classes, _QUICK.get(key))
+def base_model(key: str, data: tr.Prepared):
+    return models.build(key, data.n_train, data.classes)
 
 
 @query("ml_vote")
 def _(t):
     data = tr.prepare(docs(t), doc_plan(docs(t)), ["doc_id"])
-    base = [quick(k, data) for k in ("logistic_regression", "decision_tree_clf", "naive_bayes")]
+    base = [base_model(k, data) for k in ("logistic_regression", "decision_tree_clf", "naive_bayes")]
     return models.Vote(base, 2, [2.0, 1.0, 1.0]).fit(data.train).transform(data.test).select("doc_id", "label", "prediction")
 
 
 @query("ml_stack")
 def _(t):
     data = tr.prepare(docs(t), doc_plan(docs(t)), ["doc_id"])
-    base = [quick(k, data) for k in ("decision_tree_clf", "naive_bayes")]
-    return models.Stack(base, quick("logistic_regression", data), 2).fit(data.train).transform(data.test).select("doc_id", "label", "prediction")
+    base = [base_model(k, data) for k in ("decision_tree_clf", "naive_bayes")]
+    return models.Stack(base, base_model("logistic_regression", data), 2).fit(data.train).transform(data.test).select("doc_id", "label", "prediction")
 
 
 @query("ml_bag")
 def _(t):
     data = tr.prepare(docs(t), doc_plan(docs(t)), ["doc_id"])
-    bag = models.Bag(lambda: quick("decision_tree_clf", data), 2, rounds=4)
+    bag = models.Bag(lambda: base_model("decision_tree_clf", data), 2)
     return bag.fit(data.train).transform(data.test).select("doc_id", "label", "prediction")
 
 
 @query("ml_tune")
 def _(t):
     data = tr.prepare(docs(t), doc_plan(docs(t)), ["doc_id"])
-    return tr.tune(data, "decision_tree_clf", {"maxDepth": [2, 4], "minInstancesPerNode": [1, 5]}, folds=2).select("position", "score", "method")
+    return tr.tune(data, "decision_tree_clf").select("position", "score", "method")
 
 
 @query("ml_cv")
@@ -216,13 +212,13 @@ def _(t):
 @query("ml_params")
 def _(t):
     data = tr.prepare(docs(t), doc_plan(docs(t)), ["doc_id"])
-    values = models.settings_of(quick("decision_tree_clf", data).fit(data.train))
+    values = models.settings_of(base_model("decision_tree_clf", data).fit(data.train))
     return t.spark.createDataFrame([(k, str(v)) for k, v in sorted(values.items())], "name string, value string")
 
 
 def doc_run(t: Tables) -> tr.Trained:
     df = docs(t)
-    return tr.train(df, doc_plan(df), ["doc_id"], ["decision_tree_clf", "logistic_regression", "naive_bayes"], _QUICK, cv_folds=2, cv_top=2)
+    return tr.train(df, doc_plan(df), ["doc_id"], ["decision_tree_clf", "logistic_regression", "naive_bayes"])
 
 
 @query("ml_leaderboard")
@@ -235,7 +231,7 @@ def _(t):
     df = docs(t, "left")
     plan = doc_plan(df.where("quality IS NOT NULL"))
     data = tr.prepare(df, plan, ["doc_id"])
-    model = quick("logistic_regression", data).fit(data.train)
+    model = base_model("logistic_regression", data).fit(data.train)
     schema = prep.input_schema(df, plan.numeric, plan.categorical)
     return tr.score(model, data.pipeline, plan, df, ["doc_id"], schema).select("doc_id", "prediction", "confidence")
 
@@ -246,7 +242,7 @@ def _(t):
     plan = doc_plan(df)
     data = tr.prepare(df, plan, ["doc_id"])
     path = scratch_path(t.spark, "model")
-    tr.save(quick("decision_tree_clf", data).fit(data.train), data.pipeline, path)
+    tr.save(base_model("decision_tree_clf", data).fit(data.train), data.pipeline, path)
     return tr.load(path).transform(prep.typed(df, plan, ["doc_id"])).select("doc_id", "label", "prediction")
 
 
@@ -256,7 +252,7 @@ def _(t):
     sizes = prep.class_sizes(run.data.rows, "label")
     from grainfold.operators import rules
 
-    return rules.advice(run.board, tr.permutation_importance(run, repeats=2), sizes)
+    return rules.advice(run.board, tr.permutation_importance(run), sizes)
 
 
 # --- metrics ---------------------------------------------------------------------------------
@@ -326,7 +322,7 @@ def _(t):
 
 @query("dia_perm")
 def _(t):
-    return tr.permutation_importance(doc_run(t), repeats=3)
+    return tr.permutation_importance(doc_run(t))
 
 
 @query("dia_learning")
@@ -367,6 +363,18 @@ def _(t):
     return metrics.confidence(metrics.overfit(scores(t))).select("model", "confidence")
 
 
+@query("dia_resid_points", f"SELECT o_orderkey, label, prediction, label - prediction AS residual FROM ({REG_SQL.replace('SELECT', 'SELECT o_orderkey,')})")
+def _(t):
+    y = F.col("o_totalprice")
+    rows = t.orders.select("o_orderkey", y.alias("label"), (y * (0.9 + (F.col("o_orderkey") % 7) / 30.0)).alias("prediction"))
+    return metrics.residual_points(rows, key=["o_orderkey"])
+
+
+@query("rep_model_tables")
+def _(t):
+    return tr.report_tables(doc_run(t))
+
+
 # --- discovery ---------------------------------------------------------------------------------
 
 @query("sig_targets", f"""SELECT position, name AS target FROM ({ORDER_CP_SQL}) WHERE semantic_type NOT IN ('text', 'datetime') AND "unique" > 1 AND missing_pct <= 40""")
@@ -401,8 +409,7 @@ def _(t):
 
 @query("sig_scan")
 def _(t):
-    df = docs(t).drop("lines")
-    return discovery.scan(df, ["doc_id"], cv_folds=2, params={"random_forest_clf": {"numTrees": 10}, "gradient_boosting_reg": {"maxIter": 8}})
+    return discovery.scan(docs(t), ["doc_id"])
 
 
 # --- clustering -----------------------------------------------------------------------------------
@@ -413,14 +420,14 @@ def clustered(t: Tables) -> DataFrame:
 
 @query("clu_kmeans")
 def _(t):
-    df = clustered(t).drop("cluster").persist()
-    best = cluster.scan_k(df, k_max=6).where("best").first()["k"]
+    df = clustered(t).drop("cluster")
+    best = cluster.scan_k(df).where("best").first()["k"]
     return cluster.kmeans(df, best).transform(df).select("id", "cluster", F.lit(best).alias("k"))
 
 
 @query("clu_scan")
 def _(t):
-    return cluster.scan_k(clustered(t).drop("cluster").persist(), k_max=6)
+    return cluster.scan_k(clustered(t).drop("cluster"))
 
 
 @query("clu_dbscan")
@@ -462,6 +469,11 @@ def _(t):
     return rows.select("id", "x", "y", F.lit(sum(shares)).alias("explained"))
 
 
+@query("clu_board")
+def _(t):
+    return cluster.board(t.customer, "c_custkey", ["c_acctbal", "c_nationkey"])
+
+
 # --- time series --------------------------------------------------------------------------------------
 
 @query("ts_column", """SELECT 'o_orderdate' AS "column" """)
@@ -508,18 +520,18 @@ def half_labelled(t: Tables) -> DataFrame:
 
 @query("ssl_self")
 def _(t):
-    _, rows = semi.self_train(half_labelled(t), "logistic_regression", 2, rounds=4, params={"maxIter": 20})
+    _, rows = semi.self_train(half_labelled(t), "logistic_regression", 2)
     return rows.select("doc_id", "label", "round")
 
 
 @query("ssl_propagate")
 def _(t):
-    return semi.label_graph(half_labelled(t), "doc_id", 2, rounds=8)
+    return semi.label_graph(half_labelled(t), "doc_id", 2)
 
 
 @query("ssl_spread")
 def _(t):
-    return semi.label_graph(half_labelled(t), "doc_id", 2, spreading=True, rounds=8)
+    return semi.label_graph(half_labelled(t), "doc_id", 2, spreading=True)
 
 
 @query("ssl_pseudo", """SELECT CAST(b AS INTEGER) AS bin, CAST(round(0.5 + b * 0.05, 4) AS DOUBLE) AS lower, count(c) AS n FROM (SELECT unnest(range(0, 10)) AS b)
@@ -530,6 +542,32 @@ def _(t):
     return bins
 
 
+@query("ssl_board")
+def _(t):
+    return semi.board(half_labelled(t), "doc_id", 2)
+
+
+# Values with no plain decimal reading are null; NaN has no code; a border point keeps an id above 2^53; an event without a moment comes back.
+@query("num_decimal_only", """SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 3 THEN CAST(o_custkey AS DOUBLE) END AS number FROM orders""")
+def _(t):
+    text = F.when(F.col("o_orderkey") % 4 == 0, F.concat(F.col("o_custkey"), F.lit("d"))).when(F.col("o_orderkey") % 4 == 1, F.concat(F.lit("0x"), F.col("o_custkey"), F.lit("p3"))).when(
+        F.col("o_orderkey") % 4 == 2, F.concat(F.col("o_custkey"), F.lit("f"))).otherwise(F.concat(F.lit(" "), F.col("o_custkey"), F.lit(".0 ")))
+    df = t.orders.select("o_orderkey", text.alias("text"))
+    return df.select("o_orderkey", fc.number_of(df, "text").alias("number"))
+
+
+@query("cln_label_nan", """SELECT event_id, CASE WHEN event_id % 3 <> 0 THEN dense_rank() OVER (PARTITION BY event_id % 3 <> 0 ORDER BY round(value, 1)) - 1 END AS value FROM events""")
+def _(t):
+    df = t.events.select("event_id", F.when(F.col("event_id") % 3 == 0, F.lit(float("nan"))).otherwise(F.round("value", 1)).alias("value"))
+    return cleaning.label_encode(df, "value", {})
+
+
+@query("stm_admission_untimed", "SELECT event_id, user_id FROM events")
+def _(t):
+    held = t.events.select("event_id", "user_id", F.when(F.col("event_id") % 5 != 0, F.col("ts")).alias("ts"))
+    return admission.admit(held, "user_id", "ts", "event_id", 3, 86_400).select("event_id", "user_id")
+
+
 # --- policies ----------------------------------------------------------------------------------------------
 
 _EDGE = "quantile_cont(o_totalprice, {})"
@@ -562,7 +600,7 @@ def _(t):
 @query("pol_eval", POLICY_SQL + """SELECT count(*) AS rows, round(avg((g.action IS NOT NULL)::INT), 6) AS known,
     round(avg(coalesce((g.action = o_orderstatus)::INT, 0)), 6) AS accuracy FROM s LEFT JOIN g ON s.state = g.state WHERE NOT is_train""")
 def _(t):
-    held = cut_lineage(order_states(t))
+    held = order_states(t)
     table = policy.greedy(policy.rewards(held.where("is_train"), "o_orderstatus"))
     return rounded(policy.evaluate(held.where("NOT is_train"), "o_orderstatus", table), "known", "accuracy", digits=6)
 

@@ -8,6 +8,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from grainfold.session import cut_lineage
+
 MAX_ROWS = 10_000
 DEFAULT_ROWS = 1_000
 
@@ -60,8 +62,13 @@ class SqlResult:
 
 
 def run_sql(spark: SparkSession, text: str, limit: int = DEFAULT_ROWS, count: bool = False) -> SqlResult:
-    """Run one statement; only ``limit`` rows (1 to 10 000) are handed out."""
+    """Run one statement; only ``limit`` rows (1 to 10 000) are handed out.
+
+    The statement is run once for the rows and the flag: one row more than asked for is written to the shared folder.
+    """
     limit = max(1, min(int(limit), MAX_ROWS))
     full = spark.sql(text)
-    truncated = len(full.limit(limit + 1).take(limit + 1)) > limit
-    return SqlResult(full.limit(limit), truncated, full.count() if count else None)
+    held = cut_lineage(full.limit(limit + 1))
+    found = held.count()
+    total = (found if found <= limit else full.count()) if count else None
+    return SqlResult(held.limit(limit), found > limit, total)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from grainfold.functions import columns as fc
 from grainfold.functions.columns import finite, is_fractional, ref
 
 
@@ -84,8 +85,8 @@ def infer_types(df: DataFrame) -> DataFrame:
         v = ref(c)
         checks += [
             F.count(v).alias(f"n{i}"),
-            F.count(v.try_cast("bigint")).alias(f"i{i}"),
-            F.count(v.try_cast("double")).alias(f"d{i}"),
+            F.count(fc.decimal_text(v).try_cast("bigint")).alias(f"i{i}"),
+            F.count(fc.decimal_text(v).try_cast("double")).alias(f"d{i}"),
             F.count_if(F.lower(v).isin("true", "false")).alias(f"b{i}"),
         ]
     seen = df.agg(*checks).first()

@@ -76,7 +76,8 @@ def admit(
     """
     width = window_seconds * 1_000_000
     bucket = F.floor(F.col("_u") / (width * SPANS))
-    keyed = events.withColumns({"_k": ref(key), "_u": _micros(ref(ts))}).withColumn("_b", bucket)
+    untimed = events.where(ref(ts).isNull())  # no moment, no verdict: these come back with null results
+    keyed = events.where(ref(ts).isNotNull()).withColumns({"_k": ref(key), "_u": _micros(ref(ts))}).withColumn("_b", bucket)
     cuts, marks = _spells(keyed, max_requests, width)
     marks = marks.select(F.col("_k").alias("_mk"), F.col("_b").alias("_mb"), "_cut", "_before")
     own = keyed.join(marks, F.col("_k").eqNullSafe(F.col("_mk")) & (F.col("_b") == F.col("_mb")))
@@ -109,7 +110,9 @@ def admit(
                 yield out
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in events.schema.fields)
-    return ordered.mapInPandas(run, f"{fields}, {_OUT}")
+    timed = ordered.mapInPandas(run, f"{fields}, {_OUT}")
+    nothing = [F.lit(None).cast(t).alias(n) for n, t in (part.split() for part in _OUT.split(", "))]
+    return timed.unionByName(untimed.select("*", *nothing))
 
 
 def _spells(keyed: DataFrame, max_requests: int, width: int) -> tuple[DataFrame, DataFrame]:
