@@ -20,6 +20,19 @@ def keep_in_folder(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def keep_narrow(df: DataFrame, name: str) -> DataFrame:
+    """The same for a table of few bytes a row: at most two parts for each core of the cluster, so that small ones cost few tasks."""
+    return keep_in_folder(df.coalesce(2 * df.sparkSession.sparkContext.defaultParallelism), name)
+
+
+BROADCAST_ROWS = 1_000_000  # counted rows of ids up to which a table is sent to the others instead of dealt by its key
+
+
+def sent(df: DataFrame, rows: int) -> DataFrame:
+    """The table marked for broadcast where its counted rows allow it."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grainfold.llm.frames import keep_in_folder, pick
+from grainfold.llm.frames import keep_in_folder, keep_narrow, pick, sent
 from grainfold.llm.graph import components
 from grainfold.llm.words import mix, tokenise, windows
 
@@ -40,7 +40,6 @@ REGISTERS = 80
 LEVELS = ((4, 20), (8, 40), (12, 100))
 MARGIN = 0.25  # a pair whose signatures agree in less than threshold - margin of the registers is not verified
 SMALL = 16  # members of a bucket up to which all pairs of different components are compared
-BROADCAST_IDS = 1_000_000
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -141,7 +140,7 @@ class _Proof:
 
     def _make(self, ids: DataFrame) -> None:
         """Shingle names of the documents that have none yet."""
-        missing = keep_in_folder(ids if self.names is None else ids.join(self.names.select("id"), "id", "left_anti"), "shingle-ids")
+        missing = keep_narrow(ids if self.names is None else ids.join(self.names.select("id"), "id", "left_anti"), "shingle-ids")
         count = missing.count()
         if self.names is not None and not count:
             return
@@ -157,8 +156,7 @@ class _Proof:
                     out += [name[order[x:y]].tobytes() for x, y in zip(ends, ends[1:])]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["id", "names"])
 
-        wanted = F.broadcast(missing) if count <= BROADCAST_IDS else missing
-        texts = self.kept.join(wanted, "id", "left_semi").select("id", "text")
+        texts = self.kept.join(sent(missing, count), "id", "left_semi").select("id", "text")
         made = keep_in_folder(texts.mapInArrow(sets, f"id {self.id_type}, names binary").dropDuplicates(["id"]), "shingle-sets")
         self.names = made if self.names is None else self.names.unionByName(made)
 
@@ -183,37 +181,41 @@ class _Proof:
             return rows.join(of("b"), "b").join(of("a"), "a").select("a", "b", f"{what}_a", f"{what}_b")
 
         schema = f"a {self.id_type}, b {self.id_type}"
-        near = keep_in_folder(beside(pairs, self.signed, "sig").mapInArrow(could, schema), "near-pairs")
+        near = keep_narrow(beside(pairs, self.signed, "sig").mapInArrow(could, schema), "near-pairs")
         self._make(near.select(F.col("a").alias("id")).unionByName(near.select(F.col("b").alias("id"))).distinct())
-        return keep_in_folder(beside(near, self.names, "names").mapInArrow(meet, schema), "links")
+        return keep_narrow(beside(near, self.names, "names").mapInArrow(meet, schema), "links")
 
 
-def links(kept: DataFrame, signed: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Verified links (a, b) between different texts that join all components; signed: id and sig of one row for every text."""
-    proof, found, roots = _Proof(kept, signed, threshold), None, None
+def linked(kept: DataFrame, signed: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
+    """Verified links (a, b) between different texts that join all components, and (node, root) of their ends.
+
+    ``signed`` holds id and sig of one row for every text.
+    """
+    proof, found, roots, rooted = _Proof(kept, signed, threshold), None, None, 0
 
     def add(pairs: DataFrame) -> bool:
-        nonlocal found, roots
+        nonlocal found, roots, rooted
         new = proof(pairs)
         if found is not None and new.isEmpty():
             return False
-        found = new if found is None else keep_in_folder(found.unionByName(new), "links")
-        roots = keep_in_folder(components(found), "roots")
+        found = new if found is None else keep_narrow(found.unionByName(new), "links")
+        roots = keep_narrow(components(found), "roots")
+        rooted = roots.count()
         return True
 
     def opened(members: DataFrame) -> DataFrame:
         """Members of the buckets that hold several components, with their root and their number of links."""
         degree = found.select(F.col("a").alias("id")).unionByName(found.select(F.col("b").alias("id"))).groupBy("id").agg(F.count(F.lit(1)).alias("degree"))
         known = roots.select(F.col("node").alias("id"), "root").join(degree, "id", "left")
-        owned = members.join(known, "id", "left").select("key", "id", "n", F.coalesce("root", "id").alias("root"), F.coalesce("degree", F.lit(0)).alias("degree"))
+        owned = members.join(sent(known, rooted), "id", "left").select("key", "id", "n", F.coalesce("root", "id").alias("root"), F.coalesce("degree", F.lit(0)).alias("degree"))
         mixed = owned.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.max_by(F.struct("id", "root"), F.struct("degree", F.xxhash64("id", "key"))).alias("centre")).where("x <> y")
-        return keep_in_folder(owned.join(mixed.select("key", "centre"), "key"), "open-buckets")
+        return keep_narrow(owned.join(mixed.select("key", "centre"), "key"), "open-buckets")
 
     level, part = 0, signed
     while True:
-        keys = keep_in_folder(_bands(part, level), "bands")
+        keys = keep_narrow(_bands(part, level), "bands")
         buckets = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min_by("id", F.xxhash64("id", "key")).alias("first")).where("n > 1")
-        members = keep_in_folder(keys.join(buckets, "key"), "buckets")
+        members = keep_narrow(keys.join(buckets, "key"), "buckets")
         if level == 0:  # one centre a bucket, by a hash, so that the bands of a group do not all take the same
             add(members.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct())
         # Then the member with most links so far, which is in the middle of its group.
@@ -225,10 +227,10 @@ def links(kept: DataFrame, signed: DataFrame, threshold: float = THRESHOLD) -> D
         add(small.select("key", F.col("id").alias("a"), "root").join(other, "key").where("a < b AND root <> root_b").select("a", "b").distinct())
         level += 1
         if level == len(LEVELS):
-            return found
-        large = keep_in_folder(open_.where(F.col("n") > SMALL).select("id").distinct(), "open-ids")
+            return found, roots
+        large = keep_narrow(open_.where(F.col("n") > SMALL).select("id").distinct(), "open-ids")
         if large.isEmpty():
-            return found
+            return found, roots
         part = large.join(signed, "id")
 
 
@@ -239,7 +241,7 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     worded = all_rows.where("sig IS NOT NULL AND id IS NOT NULL")
     first = worded.groupBy("same").agg(F.min(F.struct("id", "sig")).alias("r"))
     signed = keep_in_folder(first.select(F.col("r.id").alias("id"), F.col("r.sig").alias("sig"), "same"), "texts")
-    roots = components(links(kept, signed.drop("same"), threshold))
+    _, roots = linked(kept, signed.drop("same"), threshold)
     classes = signed.select("same", F.col("id").alias("rep")).join(roots.withColumnRenamed("node", "rep"), "rep", "left")
     keyed = all_rows.select("id", F.when(F.col("sig").isNotNull() & F.col("id").isNotNull(), F.col("same")).alias("same"))
     # Rows without a word keep a key of their own in the join, so that they do not meet in one task.
@@ -251,6 +253,6 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
 def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The documents whose id is the least of their class, with all columns; rows without an id stay."""
     found = near_duplicates(docs, doc_id=doc_id, text=text, threshold=threshold).where("doc_id <> class_id").select(F.col("doc_id").alias("_gone")).distinct()
-    gone = keep_in_folder(found, "near-copies")
-    side = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    gone = keep_narrow(found, "near-copies")
+    side = sent(gone, gone.count())
     return docs.join(side, docs[doc_id] == side["_gone"], "left_anti")
