@@ -16,7 +16,7 @@ def held_out(id_column: str) -> F.Column:
 def keep_in_folder(df: DataFrame, name: str) -> DataFrame:
     """Write a table below the shared folder and go on from its files, so lost executors cost no recomputation."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

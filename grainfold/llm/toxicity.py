@@ -41,14 +41,12 @@ MAX_LABELLED = 60_000  # labelled documents that the classifier is fitted on, at
 MAX_ENTRIES = 400_000  # words, and word pairs, that a model holds at most
 CALIBRATE = 4  # one of so many labelled documents fits the curve instead of the models
 DISCOUNT, MARGIN = 2.5, 1.5
-_WORD, _PAIR = 0, 1
 _EPS = 3e-3
 
 
-def _pairs(hashes: np.ndarray) -> np.ndarray:
-    """A hash of every word with the word before it; a text's first word is paired with the word before in the array."""
-    before = np.concatenate([hashes[:1], hashes[:-1]])
-    return mix(before * np.uint64(0x9E3779B97F4A7C15) ^ hashes)
+def _pair(prior: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """A hash of a word with the word before it."""
+    return mix(prior * np.uint64(0x9E3779B97F4A7C15) ^ word)
 
 
 def _ratio(part: np.ndarray, whole: np.ndarray) -> np.ndarray:
@@ -85,7 +83,7 @@ class Model:
             place = np.minimum(np.searchsorted(self.histories, prior), len(self.histories) - 1)
             follows = self.histories[place] == prior
             inner, place = inner[follows], place[follows]
-            pair = mix(h[inner - 1] * np.uint64(0x9E3779B97F4A7C15) ^ h[inner])
+            pair = _pair(h[inner - 1], h[inner])
             where = np.minimum(np.searchsorted(self.pairs, pair), max(len(self.pairs) - 1, 0))
             met = self.pairs[where] == pair
             weight = self.backoff[place]
@@ -114,34 +112,35 @@ class Model:
 
 
 def _count_task(batches):
-    """(kind, hash, hash of the word before, of the word, documents of class 0, of class 1), summed within the task now and then."""
+    """(word before, word, documents of class 0, of class 1) of pairs, and of words with no word before; summed within the task now and then."""
     held: list[tuple] = []
 
     def flush():
-        kind, key, prior, word, label = (np.concatenate(c) for c in zip(*held))
+        pair, prior, word, label = (np.concatenate(c) for c in zip(*held))
         held.clear()
-        order = np.lexsort((key, kind))
-        kind, key, prior, word, label = kind[order], key[order], prior[order], word[order], label[order]
-        first = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (kind[1:] != kind[:-1])))
+        order = np.lexsort((word, prior, pair))
+        pair, prior, word, label = pair[order], prior[order], word[order], label[order]
+        first = np.flatnonzero(np.append(True, (word[1:] != word[:-1]) | (prior[1:] != prior[:-1]) | (pair[1:] != pair[:-1])))
         ones = np.add.reduceat(label, first)
-        sizes = np.diff(np.append(first, len(key)))
-        return pa.RecordBatch.from_arrays([pa.array(kind[first].astype(np.int32)), pa.array(key[first].view(np.int64)), pa.array(prior[first].view(np.int64)),
-                                           pa.array(word[first].view(np.int64)), pa.array(sizes - ones), pa.array(ones)], names=["kind", "key", "prior", "word", "ordinary", "toxic"])
+        sizes = np.diff(np.append(first, len(word)))
+        return pa.RecordBatch.from_arrays([
+            pa.array(prior[first].view(np.int64), mask=~pair[first]), pa.array(word[first].view(np.int64)),
+            pa.array((sizes - ones).astype(np.int32)), pa.array(ones.astype(np.int32))], names=["prior", "word", "ordinary", "toxic"])
 
     rows = 0
     for batch in batches:
-        labels = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
+        labels = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int32)
         for lo, _, words in tokenise(batch.column(0)):
             h = words.hash
             if not len(h):
                 continue
-            inner = np.append(False, words.doc[1:] == words.doc[:-1])
-            for kind, key in ((_WORD, h), (_PAIR, _pairs(h))):
-                take = np.flatnonzero(inner) if kind == _PAIR else np.arange(len(h))
-                # once for every document
-                own = mix(key[take] + words.doc[take].astype(np.uint64) * np.uint64(0xD1B54A32D192ED03))
-                take = take[np.unique(own, return_index=True)[1]]
-                held.append((np.full(len(take), kind, np.int8), key[take], h[np.maximum(take - 1, 0)], h[take], labels[lo + words.doc[take]]))
+            inner = np.flatnonzero(np.append(False, words.doc[1:] == words.doc[:-1]))
+            for pair, take in ((False, np.arange(len(h))), (True, inner)):
+                key = _pair(h[take - 1], h[take]) if pair else h
+                own = mix(key + words.doc[take].astype(np.uint64) * np.uint64(0xD1B54A32D192ED03))
+                take = take[np.unique(own, return_index=True)[1]]  # once for every document
+                prior = h[take - 1] if pair else np.zeros(len(take), np.uint64)
+                held.append((np.full(len(take), pair), prior, h[take], labels[lo + words.doc[take]]))
                 rows += len(take)
             if rows > 800_000:
                 yield flush()
@@ -151,9 +150,9 @@ def _count_task(batches):
 
 
 def count(labelled: DataFrame) -> DataFrame:
-    """Document counts of words and pairs by class, from columns text and toxic."""
-    rows = labelled.select("text", "toxic").mapInArrow(_count_task, "kind int, key bigint, prior bigint, word bigint, ordinary bigint, toxic bigint")
-    return rows.groupBy("kind", "key").agg(F.first("prior").alias("prior"), F.first("word").alias("word"), F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
+    """Document counts of words (prior is null) and of pairs, by class, from columns text and toxic."""
+    rows = labelled.select("text", "toxic").mapInArrow(_count_task, "prior bigint, word bigint, ordinary int, toxic int")
+    return rows.groupBy("prior", "word").agg(F.sum("ordinary").cast("int").alias("ordinary"), F.sum("toxic").cast("int").alias("toxic"))
 
 
 def _model(counts: DataFrame, max_entries: int) -> Model:
@@ -161,7 +160,7 @@ def _model(counts: DataFrame, max_entries: int) -> Model:
     d = F.lit(DISCOUNT)
     both = F.col("ordinary") + F.col("toxic")
     strong = (F.col("ordinary") > d) | (F.col("toxic") > d)
-    totals = counts.where(F.col("kind") == _WORD).agg(F.sum(both).alias("n"), F.sum(F.least(F.col("ordinary"), d) + F.least(F.col("toxic"), d)).alias("held")).first()
+    totals = counts.where("prior IS NULL").agg(F.sum(both).alias("n"), F.sum(F.least(F.col("ordinary"), d) + F.least(F.col("toxic"), d)).alias("held")).first()
 
     def gather(df: DataFrame, size: Column, *columns: Column | str):
         spread = df.groupBy(F.least(size.cast("int"), F.lit(1000)).alias("s")).count().toArrow().to_pandas().sort_values("s", ascending=False)
@@ -170,12 +169,12 @@ def _model(counts: DataFrame, max_entries: int) -> Model:
         return df.where(size >= least).select(*columns).toArrow().to_pandas()
 
     # Shared backoff: how many different words were seen before a word, in either class.
-    met = counts.where(F.col("kind") == _PAIR)
+    met = counts.where("prior IS NOT NULL")
     before = met.groupBy("word").agg(F.count(F.lit(1)).alias("before"))
-    words = counts.where((F.col("kind") == _WORD) & strong).drop("word").join(before.withColumnRenamed("word", "key"), "key", "left")
-    table = gather(words, F.greatest("ordinary", "toxic"), "key", "ordinary", "toxic", F.coalesce("before", F.lit(1)).alias("before")).set_index("key")
+    words = counts.where(F.col("prior").isNull() & strong).drop("prior").join(before, "word", "left")
+    table = gather(words, F.greatest("ordinary", "toxic"), "word", "ordinary", "toxic", F.coalesce("before", F.lit(1)).alias("before")).set_index("word")
     after = met.groupBy("prior").agg(F.sum(both).alias("total"))
-    pairs = gather(met.where(strong).join(after, "prior"), F.greatest("ordinary", "toxic"), "key", "prior", "ordinary", "toxic", "total")
+    pairs = gather(met.where(strong).join(after, "prior"), F.greatest("ordinary", "toxic"), "prior", "word", "ordinary", "toxic", "total")
     empty = np.zeros(0)
     none = np.zeros(0, np.uint64)
     if not len(table) or not (table["toxic"] > DISCOUNT).any() or not (table["ordinary"] > DISCOUNT).any():
@@ -196,7 +195,7 @@ def _model(counts: DataFrame, max_entries: int) -> Model:
     good = (mass["toxic"] > 0) & (mass["ordinary"] > 0)
     backoff = np.where(good, 1 - kept, 1.0)
     share = {c: np.where(good[at], (1 - backoff[at]) * left[c] / np.maximum(mass[c][at], 1e-12), 0) for c in left}
-    pair_keys = pairs["key"].to_numpy(np.int64).view(np.uint64)
+    pair_keys = _pair(*(pairs[c].to_numpy(np.int64).view(np.uint64) for c in ("prior", "word")))
     po = np.argsort(pair_keys)
     return Model(keys[order], prob[0][order], prob[1][order], pair_keys[po], share["toxic"][po], share["ordinary"][po], h[good], backoff[good])
 
@@ -221,10 +220,9 @@ def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, *, doc_id: str =
     share = min(1.0, max_labelled / max(there, 1))
     known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < int(share * 1_000_003)).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     # At most max_labelled small rows, counted above, hence a broadcast.
-    found = pick(docs, doc_id=doc_id, text=text).join(F.broadcast(known), "doc_id").withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(CALIBRATE)))
-    sample = keep_in_folder(found, "toxicity-sample")
+    sample = pick(docs, doc_id=doc_id, text=text).join(F.broadcast(known), "doc_id").withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(CALIBRATE)))
     model = _model(keep_in_folder(count(sample.where("fold <> 0")), "toxicity-counts"), max_entries)
-    rates = sample.agg(F.avg("toxic").alias("r")).first()["r"]
+    rates = known.agg(F.avg("toxic").alias("r")).first()["r"]
     model.rate = float(rates or 0.0)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
