@@ -104,7 +104,7 @@ def _sign(kept: DataFrame) -> DataFrame:
                 out += [r.tobytes() if t else None for r, t in zip(rows, there)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out, pa.binary())], names=["id", "same", "sig"])
 
-    schema = kept.select("id", F.lit("").alias("same"), F.lit(b"").alias("sig")).schema
+    schema = kept.select("id", F.lit(None).cast("string").alias("same"), F.lit(None).cast("binary").alias("sig")).schema
     return kept.select("id", "text", F.md5("text").alias("same")).mapInArrow(run, schema)
 
 
