@@ -283,12 +283,20 @@ def _families(df: DataFrame, columns: Sequence[str]) -> list[dict[str, Column]]:
     return list(groups.values())
 
 
+def _hashes(*values: Column) -> list[Column]:
+    """A 128-bit hash as two numbers: what is shuffled in place of long values. Where a null stands is part of it."""
+    marks = [v.isNull() for v in values]
+    return [F.xxhash64(*values, *marks).alias("_h0"), F.xxhash64(F.lit("second"), *values, *marks).alias("_h1")]
+
+
 def distinct_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(c, u): number of distinct non-null values of each column."""
-    parts = [
-        df.select(*stacked(group)).where(F.col("v").isNotNull()).distinct().groupBy("c").agg(F.count("*").alias("u"))
-        for group in _families(df, columns)
-    ]
+    """(c, u): number of distinct non-null values of each column; texts are told apart by a 128-bit hash."""
+    parts = []
+    for group in _families(df, columns):
+        cells = df.select(*stacked(group)).where(F.col("v").isNotNull())
+        if isinstance(cells.schema["v"].dataType, T.StringType):
+            cells = cells.select("c", *_hashes(F.col("v")))
+        parts.append(cells.distinct().groupBy("c").agg(F.count("*").alias("u")))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -338,9 +346,8 @@ def aggregate(
 
 
 def duplicate_rows(df: DataFrame) -> DataFrame:
-    """One row: how many rows repeat an earlier one (null equals null)."""
-    keys = [ref(c) for c in df.columns]
-    return df.groupBy(*keys).agg(F.count("*").alias("_n")).agg(
+    """One row: how many rows repeat an earlier one (null equals null); rows are told apart by a 128-bit hash."""
+    return df.select(*_hashes(*[ref(c) for c in df.columns])).groupBy("_h0", "_h1").agg(F.count("*").alias("_n")).agg(
         F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).cast("bigint").alias("duplicate_rows")
     )
 
