@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from grainfold.llm.frames import keep_in_folder, numbered, pick
-from grainfold.llm.words import LOWER_BYTES, Words, buffers, slices, tokenise, words_of
+from grainfold.llm.words import LOWER_BYTES, Words, buffers, tokenise, words_of
 
 WINDOW, BLOCK_WORDS = 13, 100_000
 

@@ -17,7 +17,19 @@ def keep_in_folder(df: DataFrame, name: str) -> DataFrame:
     """Write a table below the shared folder and go on from its files, so lost executors cost no recomputation."""
     path = scratch_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    kept = df.sparkSession.read.schema(df.schema).parquet(path)
+    kept._folder = path  # for discard
+    return kept
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete the files of tables that ``keep_in_folder`` wrote, once everything that reads them is written itself."""
+    for table in tables:
+        folder = getattr(table, "_folder", None)
+        if folder:
+            spark = table.sparkSession
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def keep_narrow(df: DataFrame, name: str) -> DataFrame:

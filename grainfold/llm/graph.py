@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grainfold.llm.frames import keep_narrow, sent
+from grainfold.llm.frames import discard, keep_narrow, sent
 
 
 def _large_star(edges: DataFrame, rows: int) -> DataFrame:
@@ -32,9 +32,12 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     edges = keep_narrow(edges, "stars")
     before = mark(edges)
     while True:
-        edges = keep_narrow(_small_star(_large_star(edges, before[0]), before[0]), "stars")
+        old, edges = edges, keep_narrow(_small_star(_large_star(edges, before[0]), before[0]), "stars")
         now = mark(edges)
+        discard(old)
         if now == before:
             break
         before = now
-    return edges.select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(edges.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
+    out = edges.select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(edges.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
+    out._folder = edges._folder
+    return out

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from grainfold.llm.frames import keep_in_folder, pick
+from grainfold.llm.frames import discard, keep_in_folder, pick
 
 BUCKETS = 1 << 15
 MAX_LABELLED = 20_000  # labelled documents that the classifier is fitted on, at most
@@ -176,6 +176,7 @@ def fit(docs: DataFrame, may_learn: Column, *, doc_id: str = "doc_id", text: str
     model.weights = _weights(z, n).astype(np.float32)
     held = sample.where(F.col("pace") % CALIBRATE == 0).toArrow().to_pandas()
     logits = np.array([model.logits(np.frombuffer(a, np.uint16).astype(np.int64), np.frombuffer(c, np.uint32)) for a, c in zip(held["at"], held["counts"])])
+    discard(sample)
     model.temperature = temperature(logits, np.array([number[v] for v in held["lang"]], int))
     return model
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grainfold.llm.frames import keep_in_folder, keep_narrow, pick, sent
+from grainfold.llm.frames import discard, keep_in_folder, keep_narrow, pick, sent
 from grainfold.llm.graph import components
 from grainfold.llm.words import mix, tokenise, windows
 
@@ -137,12 +137,14 @@ class _Proof:
         self.kept, self.signed, self.threshold = kept, signed, threshold
         self.id_type = signed.schema["id"].dataType.simpleString()
         self.names: DataFrame | None = None
+        self.written: list[DataFrame] = []
 
     def _make(self, ids: DataFrame) -> None:
         """Shingle names of the documents that have none yet."""
         missing = keep_narrow(ids if self.names is None else ids.join(self.names.select("id"), "id", "left_anti"), "shingle-ids")
         count = missing.count()
         if self.names is not None and not count:
+            discard(missing)
             return
 
         def sets(batches):
@@ -158,7 +160,9 @@ class _Proof:
 
         texts = self.kept.join(sent(missing, count), "id", "left_semi").select("id", "text")
         made = keep_in_folder(texts.mapInArrow(sets, f"id {self.id_type}, names binary").dropDuplicates(["id"]), "shingle-sets")
+        self.written.append(made)
         self.names = made if self.names is None else self.names.unionByName(made)
+        discard(missing)
 
     def __call__(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) whose similarity reaches the threshold, as a table."""
@@ -183,7 +187,9 @@ class _Proof:
         schema = f"a {self.id_type}, b {self.id_type}"
         near = keep_narrow(beside(pairs, self.signed, "sig").mapInArrow(could, schema), "near-pairs")
         self._make(near.select(F.col("a").alias("id")).unionByName(near.select(F.col("b").alias("id"))).distinct())
-        return keep_narrow(beside(near, self.names, "names").mapInArrow(meet, schema), "links")
+        met = keep_narrow(beside(near, self.names, "names").mapInArrow(meet, schema), "links")
+        discard(near)
+        return met
 
 
 def linked(kept: DataFrame, signed: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
@@ -197,9 +203,13 @@ def linked(kept: DataFrame, signed: DataFrame, threshold: float = THRESHOLD) ->
         nonlocal found, roots, rooted
         new = proof(pairs)
         if found is not None and new.isEmpty():
+            discard(new)
             return False
+        older = found, roots
         found = new if found is None else keep_narrow(found.unionByName(new), "links")
-        roots = keep_narrow(components(found), "roots")
+        stars = components(found)
+        roots = keep_narrow(stars, "roots")
+        discard(stars, *older, *([new] if found is not new else []))
         rooted = roots.count()
         return True
 
@@ -221,15 +231,16 @@ def linked(kept: DataFrame, signed: DataFrame, threshold: float = THRESHOLD) ->
         # Then the member with most links so far, which is in the middle of its group.
         open_ = opened(members)
         if add(open_.where("root <> centre.root").select(F.col("centre.id").alias("a"), F.col("id").alias("b")).distinct()):
+            discard(open_)
             open_ = opened(members)
         small = open_.where(F.col("n") <= SMALL)
         other = small.select("key", F.col("id").alias("b"), F.col("root").alias("root_b"))
         add(small.select("key", F.col("id").alias("a"), "root").join(other, "key").where("a < b AND root <> root_b").select("a", "b").distinct())
         level += 1
-        if level == len(LEVELS):
-            return found, roots
         large = keep_narrow(open_.where(F.col("n") > SMALL).select("id").distinct(), "open-ids")
-        if large.isEmpty():
+        discard(keys, members, open_)
+        if level == len(LEVELS) or large.isEmpty():
+            discard(large, *proof.written)
             return found, roots
         part = large.join(signed, "id")
 
@@ -241,18 +252,22 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     worded = all_rows.where("sig IS NOT NULL AND id IS NOT NULL")
     first = worded.groupBy("same").agg(F.min(F.struct("id", "sig")).alias("r"))
     signed = keep_in_folder(first.select(F.col("r.id").alias("id"), F.col("r.sig").alias("sig"), "same"), "texts")
-    _, roots = linked(kept, signed.drop("same"), threshold)
+    found, roots = linked(kept, signed.drop("same"), threshold)
+    discard(found)
     classes = signed.select("same", F.col("id").alias("rep")).join(roots.withColumnRenamed("node", "rep"), "rep", "left")
     keyed = all_rows.select("id", F.when(F.col("sig").isNotNull() & F.col("id").isNotNull(), F.col("same")).alias("same"))
     # Rows without a word keep a key of their own in the join, so that they do not meet in one task.
     keyed = keyed.withColumn("same", F.coalesce("same", F.concat(F.lit("-"), F.coalesce(F.col("id").cast("string"), F.lit("")))))
     joined = keyed.join(classes, "same", "left")
-    return joined.select(F.col("id").alias("doc_id"), F.coalesce("rep", "id").alias("rep_id"), F.coalesce("root", "rep", "id").alias("class_id"))
+    out = joined.select(F.col("id").alias("doc_id"), F.coalesce("rep", "id").alias("rep_id"), F.coalesce("root", "rep", "id").alias("class_id"))
+    out._parts = (all_rows, signed, roots)  # what it reads
+    return out
 
 
 def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The documents whose id is the least of their class, with all columns; rows without an id stay."""
-    found = near_duplicates(docs, doc_id=doc_id, text=text, threshold=threshold).where("doc_id <> class_id").select(F.col("doc_id").alias("_gone")).distinct()
-    gone = keep_narrow(found, "near-copies")
+    found = near_duplicates(docs, doc_id=doc_id, text=text, threshold=threshold)
+    gone = keep_narrow(found.where("doc_id <> class_id").select(F.col("doc_id").alias("_gone")).distinct(), "near-copies")
+    discard(*found._parts)
     side = sent(gone, gone.count())
     return docs.join(side, docs[doc_id] == side["_gone"], "left_anti")

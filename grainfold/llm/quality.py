@@ -24,7 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from grainfold.llm.frames import keep_in_folder, pick, quoted
+from grainfold.llm.frames import discard, keep_in_folder, pick, quoted
 
 SAMPLE_ROWS = 2_000  # rows on which cost and selectivity of the rules are measured
 WINDOW = 8
@@ -89,6 +89,7 @@ def order_rules(texts: DataFrame, rules: tuple[Rule, ...], sample_rows: int = SA
     sample = keep_in_folder(measure(sampled, doc_id="text", carry_text=True).drop("doc_id"), "quality-sample")
     rejected = sample.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.expr(r.rejects)).alias(r.name) for r in rules]).first()
     if not rejected["n"]:
+        discard(sample)
         return list(rules)
 
     def seconds(*condition: Column) -> float:
@@ -101,6 +102,7 @@ def order_rules(texts: DataFrame, rules: tuple[Rule, ...], sample_rows: int = SA
 
     empty = seconds()
     cost = {r.name: max(seconds(F.expr(r.rejects)) - empty, 1e-3) for r in rules}
+    discard(sample)
     return sorted(rules, key=lambda r: -rejected[r.name] / cost[r.name])
 
 

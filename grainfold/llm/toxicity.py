@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from grainfold.llm.frames import keep_in_folder, pick
+from grainfold.llm.frames import discard, keep_in_folder, pick
 from grainfold.llm.words import mix, tokenise
 
 MAX_LABELLED = 60_000  # labelled documents that the classifier is fitted on, at most
@@ -221,7 +221,9 @@ def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, *, doc_id: str =
     known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < int(share * 1_000_003)).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     # At most max_labelled small rows, counted above, hence a broadcast.
     sample = pick(docs, doc_id=doc_id, text=text).join(F.broadcast(known), "doc_id").withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(CALIBRATE)))
-    model = _model(keep_in_folder(count(sample.where("fold <> 0")), "toxicity-counts"), max_entries)
+    counts = keep_in_folder(count(sample.where("fold <> 0")), "toxicity-counts")
+    model = _model(counts, max_entries)
+    discard(counts)
     rates = known.agg(F.avg("toxic").alias("r")).first()["r"]
     model.rate = float(rates or 0.0)
     shared = docs.sparkSession.sparkContext.broadcast(model)
