@@ -78,7 +78,12 @@ def _(t):
     return rounded(prep.leakage(df, "l_extendedprice", ["l_quantity", "l_tax", "twin"], [], "regression"), "value")
 
 
-@query("ml_leak_purity", """SELECT 'copy' AS feature, 'purity' AS signal, CAST(1 AS DOUBLE) AS value""")
+_PURITY_SQL = """SELECT '{0}' AS feature, sum(m) / sum(t) AS value, count(*) AS groups FROM (SELECT v, max(n) AS m, sum(n) AS t
+    FROM (SELECT {1} AS v, l_returnflag, count(*) AS n FROM lineitem GROUP BY 1, 2) GROUP BY v)"""
+
+
+@query("ml_leak_purity", f"""SELECT feature, 'purity' AS signal, value FROM ({_PURITY_SQL.format("copy", "'is ' || l_returnflag")} UNION ALL
+    {_PURITY_SQL.format("l_linestatus", "l_linestatus")}) WHERE groups >= 2 AND value >= 0.999""")
 def _(t):
     df = t.lineitem.withColumn("copy", F.concat(F.lit("is "), "l_returnflag"))
     return prep.leakage(df, "l_returnflag", [], ["copy", "l_linestatus"], "classification")

@@ -543,11 +543,11 @@ def _(t):
     return frames.stable_sample(t.documents, ["doc_id"], 100).select("doc_id", "lang")
 
 
-@query("srt_table", """SELECT p_partkey, p_name, p_retailprice FROM part WHERE contains(lower(p_name), '7')
-    ORDER BY p_retailprice DESC, p_partkey LIMIT 25 OFFSET 50""")
+@query("srt_table", """SELECT p_partkey, p_name, p_retailprice FROM part WHERE contains(lower(p_name), 'bolt')
+    ORDER BY p_retailprice DESC, p_partkey LIMIT 8 OFFSET 8""")
 def _(t):
-    return frames.page(t.part.select("p_partkey", "p_name", "p_retailprice"), "p_name", "7",
-                       [F.desc("p_retailprice"), F.col("p_partkey")], page=2, size=25)
+    return frames.page(t.part.select("p_partkey", "p_name", "p_retailprice"), "p_name", "bolt",
+                       [F.desc("p_retailprice"), F.col("p_partkey")], page=1, size=8)
 
 
 # --- set operations ------------------------------------------------------------------------
