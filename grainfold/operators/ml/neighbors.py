@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 
 from grainfold.functions.columns import stable_order
 
-BROADCAST_POINTS = 20_000
+BROADCAST_POINTS, BROADCAST_BYTES = 20_000, 32 << 20
+CELLS = 4_000_000  # distances that a task holds at once
 BLOCK = 2_048
 PIVOTS = 128
 
@@ -47,14 +48,17 @@ def block_join(
     a proven bound on the distance to its k-th nearest point.
     """
     spark = queries.sparkSession
-    head = points.limit(broadcast_points + 1).toPandas() if broadcast_points else None
-    if head is not None and len(head) <= broadcast_points:
-        shared = spark.sparkContext.broadcast(head)
+    # The width of a row is taken as that of its vector; points may carry one more array of that width.
+    size = points.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size("v")), F.lit(0)).alias("width")).first() if broadcast_points else None
+    if size and size["n"] <= broadcast_points and size["n"] * (16 * size["width"] + 64) <= BROADCAST_BYTES:
+        shared = spark.sparkContext.broadcast(points.toPandas())
 
         def whole(batches):
             for batch in batches:
-                if len(batch) and len(shared.value):
-                    yield kernel(batch, shared.value)
+                step = max(1, CELLS // max(1, len(shared.value)))
+                for i in range(0, len(batch), step):
+                    if len(shared.value):
+                        yield kernel(batch.iloc[i : i + step].reset_index(drop=True), shared.value)
 
         return queries.mapInPandas(whole, schema)
 
@@ -165,7 +169,9 @@ def smote(df: DataFrame, label: str = "label", k: int = 5, **settings) -> DataFr
 
             ordered = _rank_within(ordered.withColumn("_one", F.lit(1)), "_one", "_h").withColumnRenamed("_rank", "_o").drop("_one")
         base = ordered.withColumn("_m", copies).where("_m > 0").join(pool, "id")
-        copy = base.select("id", "v", "near", F.explode(F.sequence(F.lit(1), F.col("_m"))).alias("_i"))
+        # Copies are numbered by two short sequences, so that no row holds an array of all of them.
+        thousands = base.withColumn("_t", F.explode(F.sequence(F.lit(0), ((F.col("_m") - 1) / 1000).cast("long"))))
+        copy = thousands.select("id", "v", "near", "_m", F.explode(F.sequence(F.col("_t") * 1000 + 1, F.least(F.col("_m").cast("long"), F.col("_t") * 1000 + 1000))).alias("_i")).drop("_m")
         pick = F.element_at("near", (F.pmod(F.xxhash64("id", "_i"), F.size("near")) + 1).cast("int"))["w"]
         at = F.pmod(F.xxhash64("_i", "id"), F.lit(1 << 20)) / F.lit(float(1 << 20))
         made.append(copy.select(
