@@ -265,21 +265,34 @@ def plan(counts: dict[int, int], room: int = SEQUENCE, max_nodes: int = MAX_NODE
     best = best_fit(counts, room)
     size = lambda p: sum(n for _, n in p)
     nodes = 0
-    # A branch: the pieces left, what is planned, what is wasted.
-    stack: list[tuple[dict[int, int], list[tuple[Filling, int]], int]] = [(counts, [], 0)]
+
+    def planned(link) -> list[tuple[Filling, int]]:
+        out = []
+        while link:
+            link, step = link
+            out.append(step)
+        return out
+
+    # A branch: the pieces before it, what is planned before it as a chain, the step it takes, and its waste. The pieces
+    # after the step are worked out when the branch is looked at, so that waiting branches cost nothing.
+    stack: list = [(counts, None, None, 0)]
     while stack and size(best) > least and nodes < max_nodes:
-        left, done, wasted = stack.pop()
+        before, chain, step, wasted = stack.pop()
         nodes += 1
         allowed = (size(best) - 1) * room - total - wasted
         if allowed < 0:
             continue
-        if not left:
-            best = done
-            continue
-        whole = done + best_fit(left, room)
+        left = before
+        if step:
+            uses, times = dict(step[0]), step[1]
+            left = {k: c - times * uses.get(k, 0) for k, c in before.items() if c > times * uses.get(k, 0)}
+            chain = (chain, step)
+        whole = planned(chain) + best_fit(left, room)
         if size(whole) < size(best):
             best = whole
             allowed = (size(best) - 1) * room - total - wasted
+        if not left or allowed < 0:
+            continue
         largest = max(left)
         rest = {k: c - (k == largest) for k, c in left.items() if c - (k == largest) > 0}
         branches = []
@@ -290,10 +303,8 @@ def plan(counts: dict[int, int], room: int = SEQUENCE, max_nodes: int = MAX_NODE
             times = min(left[k] // n for k, n in uses.items())
             if over:
                 times = min(times, allowed // over)
-            if times < 1:
-                continue
-            after = {k: c - times * uses.get(k, 0) for k, c in left.items() if c > times * uses.get(k, 0)}
-            branches.append((after, [*done, (tuple(sorted(uses.items(), reverse=True)), times)], wasted + over * times))
+            if times >= 1:
+                branches.append((left, chain, (tuple(sorted(uses.items(), reverse=True)), times), wasted + over * times))
         stack += branches[::-1]  # the first filling is looked at first
     return best
 
