@@ -34,7 +34,7 @@ from grainfold.operators.ordering import add_position
 
 SEQUENCE, END_ID = 2048, 0
 MAX_NODES, MAX_FILLINGS, MAX_STEPS = 400, 24, 4_000  # limits of the search, not of the pieces
-_CACHED_CHUNKS = 1_500_000
+_CACHED_CHUNKS = 400_000
 #: Strings that the tokenizer takes as one id wherever they stand; texts that hold one are coded whole.
 _SPECIAL = ("<|startoftext|>", "<|endoftext|>")
 _BLANK, _ALNUM, _PUNCT, _OTHER = range(4)

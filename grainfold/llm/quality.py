@@ -18,6 +18,7 @@ looked at.
 
 from __future__ import annotations
 
+import re
 import time
 from dataclasses import dataclass
 
@@ -82,12 +83,26 @@ def measure(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", carr
         "n_symbols", "n_dup_lines", F.col("m.again").cast("long").alias("n_repeat_words"))
 
 
+def _prepared(rows: DataFrame) -> DataFrame:
+    """The rows with their words and the cheap counts. The number in ``_row`` keeps a filter above from being planned below,
+    where it would work the counts out again for each mention."""
+    lines = let(rf"filter(split(coalesce(text, ''), '\\n', -1), x -> x RLIKE '{_NOT_BLANK}')", "ls", "size(ls) - size(array_distinct(ls))")
+    held = rows.select("*", F.expr(words_sql("text")).alias("ws"), F.expr("regexp_count(coalesce(text, ''), '[#*$%&|<>]')").alias("n_symbols"),
+                       F.expr(lines).alias("n_dup_lines"), F.monotonically_increasing_id().alias("_row"))
+    return held.select("*", F.size("ws").alias("n_words"), F.length(F.array_join("ws", "")).alias("word_chars"))
+
+
+def _lazily(rule: Rule) -> Rule:
+    """The rule over prepared rows: the windows are worked out where it is reached only."""
+    return Rule(rule.name, re.sub(r"\bn_repeat_words\b", lambda _: f"({repeat_words_sql('ws')})", rule.rejects))
+
+
 def order_rules(texts: DataFrame, rules: tuple[Rule, ...], sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
     """The rules by falling rejections per second on a random sample of about ``sample_rows`` texts. It sets the order only."""
     there = texts.count()
-    sampled = texts.select("text").sample(min(1.0, sample_rows / max(there, 1)), seed=7)
-    sample = keep_in_folder(measure(sampled, doc_id="text", carry_text=True).drop("doc_id"), "quality-sample")
-    rejected = sample.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.expr(r.rejects)).alias(r.name) for r in rules]).first()
+    sample = keep_in_folder(texts.select("text").sample(min(1.0, sample_rows / max(there, 1)), seed=7), "quality-sample")
+    ready, lazy = _prepared(sample), {r.name: F.expr(_lazily(r).rejects) for r in rules}
+    rejected = ready.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(c).alias(n) for n, c in lazy.items()]).first()
     if not rejected["n"]:
         discard(sample)
         return list(rules)
@@ -96,12 +111,12 @@ def order_rules(texts: DataFrame, rules: tuple[Rule, ...], sample_rows: int = SA
         taken = []
         for _ in range(2):
             begin = time.perf_counter()
-            sample.agg(F.sum(F.length("text")), *[F.count_if(c) for c in condition]).first()
+            ready.agg(F.sum("n_words"), F.sum("word_chars"), F.sum("n_symbols"), F.sum("n_dup_lines"), *[F.count_if(c) for c in condition]).first()
             taken.append(time.perf_counter() - begin)
         return min(taken)
 
     empty = seconds()
-    cost = {r.name: max(seconds(F.expr(r.rejects)) - empty, 1e-3) for r in rules}
+    cost = {n: max(seconds(c) - empty, 1e-3) for n, c in lazy.items()}
     discard(sample)
     return sorted(rules, key=lambda r: -rejected[r.name] / cost[r.name])
 
@@ -132,9 +147,8 @@ def keep_good(docs: DataFrame, *, text: str = "text", rules: tuple[Rule, ...] =
               sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """The rows that no rule rejects, with all their columns.
 
-    Here every measure is computed only where a rule needs it: the cheap rules
-    on counts come before the windows, which only the survivors reach.
+    The words and the cheap counts are made for every text, the windows only where the cascade comes to their rule.
     """
-    measured = measure(docs.select(F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("row"), F.col(quoted(text)).alias("text")), doc_id="row", carry_text=True)
-    ordered = order_rules(pick(docs, text=text), tuple(base_rules) + tuple(rules), sample_rows)
-    return measured.where(first_rejecting(ordered).isNull()).select("doc_id.*")
+    ordered = [_lazily(r) for r in order_rules(pick(docs, text=text), tuple(base_rules) + tuple(rules), sample_rows)]
+    rows = docs.select(F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("row"), F.col(quoted(text)).alias("text"))
+    return _prepared(rows).where((F.col("_row") >= 0) & first_rejecting(ordered).isNull()).select("row.*")
