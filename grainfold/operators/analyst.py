@@ -28,10 +28,9 @@ def top_n(
     order = F.asc("value") if ascending else F.desc("value")
     if agg != "sum":
         return every.where(ref(group_by).isNotNull()).withColumn("share_pct", F.lit(None).cast("double")).orderBy(order, ref(group_by)).limit(n)
-    # The groups are added up in the same run that ranks them: one struct for the total, one sorted top list, both bounded by n.
-    total = every.agg(F.sum("value").alias("_total"))
-    ranked = every.where(ref(group_by).isNotNull()).orderBy(order, ref(group_by)).limit(n)
-    return ranked.join(F.broadcast(total), F.lit(True)).withColumn("share_pct", F.try_divide(F.col("value"), F.col("_total")) * 100).drop("_total").orderBy(order, ref(group_by))
+    total = every.agg(F.sum("value")).first()[0]  # over all groups, the null one too
+    share = F.try_divide(F.col("value"), F.lit(total)) * 100
+    return every.where(ref(group_by).isNotNull()).withColumn("share_pct", share).orderBy(order, ref(group_by)).limit(n)
 
 
 def number_summary(df: DataFrame, metric: str) -> DataFrame:
