@@ -13,7 +13,9 @@ chosen by a hash, then the member with most links so far (the middle of its
 group), which makes as many pairs as members. Buckets that then still hold
 several components go on: small ones compare all members of different components;
 the members of larger ones go on to a level of more and longer bands, which keep
-apart what differs from the middle in the same way. Pairs whose signatures could reach the threshold are verified on the shingles
+apart what differs from the middle in the same way. Members of buckets that are large
+at the last level are joined on their rarest shingles, as many as two texts at the
+threshold must share one of, so nothing is left out there. Pairs whose signatures could reach the threshold are verified on the shingles
 themselves: a link needs 0.8 of probability Jaccard, or of plain Jaccard over the
 different shingles. Classes are the connected components of the links.
 
@@ -40,6 +42,8 @@ REGISTERS = 80
 LEVELS = ((4, 20), (8, 40), (12, 100))
 MARGIN = 0.25  # a pair whose signatures agree in less than threshold - margin of the registers is not verified
 SMALL = 16  # members of a bucket up to which all pairs of different components are compared
+RARITY = 1 << 20  # counters that shingles share to be ordered by how many texts hold them
+BLOCK = 256  # members of a shingle that one key of the join holds on one side, at most about
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -130,6 +134,63 @@ def _bands(signed: DataFrame, level: int) -> DataFrame:
     return signed.select("id", "sig").mapInArrow(run, signed.select(F.lit(0).cast("long").alias("key"), "id").schema)
 
 
+def _texts_per_counter(names: DataFrame) -> np.ndarray:
+    """In how many texts the shingles of each counter occur, from (id, names)."""
+
+    def run(batches):
+        count = np.zeros(RARITY, np.int64)
+        for batch in batches:
+            for raw in batch.column(0):
+                count += np.bincount(np.unique(np.frombuffer(raw.as_py(), np.uint32)) % RARITY, minlength=RARITY)
+        at = np.flatnonzero(count)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(count[at])], names=["at", "n"])
+
+    # At most RARITY rows, whatever the corpus.
+    rows = names.select("names").mapInArrow(run, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(RARITY, np.int64)
+    out[rows["at"].to_numpy()] = rows["n"].to_numpy()
+    return out
+
+
+def prefix(raw: np.ndarray, count: np.ndarray, threshold: float) -> np.ndarray:
+    """The rarest shingles of a text: of two texts that reach the threshold both hold one of these.
+
+    Plain Jaccard t needs t of the different shingles of either text in common, probability
+    Jaccard t needs t of the weight of either (it is at most the sum of the smaller shares). So once
+    less than t is left of both, in an order that all texts share, what is left cannot be all that two texts share.
+    """
+    name, weight = np.unique(raw, return_counts=True)
+    order = np.lexsort((name, count[name % RARITY]))
+    name, weight = name[order], weight[order]
+    least = threshold - 1e-9
+    open_ = (np.arange(len(name), 0, -1) >= least * len(name)) | (weight[::-1].cumsum()[::-1] >= least * len(raw))
+    name = name[open_]
+    return name[count[name % RARITY] > 1]  # a shingle that is alone meets no other
+
+
+def _sharing(names: DataFrame, owned: DataFrame, threshold: float) -> DataFrame:
+    """All pairs (a, b) of different roots that share a shingle of their prefixes, from (id, names) and (id, root)."""
+    count = names.sparkSession.sparkContext.broadcast(_texts_per_counter(names))
+
+    def run(batches):
+        for batch in batches:
+            if not len(batch):
+                continue
+            found = [prefix(np.frombuffer(raw.as_py(), np.uint32), count.value, threshold) for raw in batch.column(1)]
+            at = np.repeat(np.arange(len(found)), [len(f) for f in found])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*found, np.zeros(0, np.uint32)]).astype(np.int64)), batch.column(0).take(pa.array(at))], names=["name", "id"])
+
+    rows = keep_in_folder(names.mapInArrow(run, names.select(F.lit(0).cast("long").alias("name"), "id").schema).join(owned, "id"), "prefixes")
+    several = rows.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y")
+    # A common shingle is cut into blocks, so that no task holds all its pairs.
+    dealt = rows.join(several.select("name", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "name")
+    a = dealt.select("name", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), F.col("id").alias("a"), F.col("root").alias("root_a"))
+    b = dealt.select("name", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("id").alias("b"), F.col("root").alias("root_b"))
+    pairs = keep_in_folder(a.join(b, ["name", "block"]).where("a < b AND root_a <> root_b").select("a", "b").distinct(), "sharing")
+    discard(rows)
+    return pairs
+
+
 class _Proof:
     """Verifies pairs; the shingles of a document are made once, when a pair first needs them."""
 
@@ -164,6 +225,11 @@ class _Proof:
         self.names = made if self.names is None else self.names.unionByName(made)
         discard(missing)
 
+    def names_of(self, ids: DataFrame) -> DataFrame:
+        """(id, names) of these documents."""
+        self._make(ids)
+        return self.names.join(ids, "id", "left_semi")
+
     def __call__(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) whose similarity reaches the threshold, as a table."""
         agree, threshold = int((self.threshold - MARGIN) * REGISTERS), self.threshold
@@ -240,6 +306,11 @@ def linked(kept: DataFrame, signed: DataFrame, threshold: float = THRESHOLD) ->
         large = keep_narrow(open_.where(F.col("n") > SMALL).select("id").distinct(), "open-ids")
         discard(keys, members, open_)
         if level == len(LEVELS) or large.isEmpty():
+            if not large.isEmpty():
+                owned = large.join(sent(roots.withColumnRenamed("node", "id"), rooted), "id", "left").select("id", F.coalesce("root", "id").alias("root"))
+                pairs = _sharing(proof.names_of(large), owned, threshold)
+                add(pairs)
+                discard(pairs)
             discard(large, *proof.written)
             return found, roots
         part = large.join(signed, "id")

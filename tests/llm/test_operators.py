@@ -1,6 +1,7 @@
 """The corpus operators against brute force, on small tables with nulls, ties, copies, long texts and clashing columns."""
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -426,6 +427,53 @@ def test_classes_equal_brute_force(spark, rows, monkeypatch, small):
     assert minhash.near_duplicates(documents(spark, [])).collect() == []
 
 
+def family(seed, size, words, changed, further):
+    """Texts of one template that are pairwise below the threshold, but for (2i, 2i + 1), which differ in ``further`` words."""
+    r = random.Random(seed)
+    template = [f"w{i}" for i in range(words)]
+    out = []
+    for i in range(0, size, 2):
+        one = list(template)
+        for p in r.sample(range(10, words - 10), changed):
+            one[p] = f"x{i}y{p}"
+        two = list(one)
+        for p in r.sample([p for p in range(10, words - 10) if one[p][0] == "w"], further):
+            two[p] = f"z{i}y{p}"
+        out += [(i, " ".join(one)), (i + 1, " ".join(two))]
+    return out
+
+
+def plain_classes(texts, threshold=0.8):
+    """Classes of texts without a repeated shingle, by all pairs."""
+    grams = [{tuple(w[p : p + 5]) for p in range(len(w) - 4)} for w in (t.split() for _, t in texts)]
+    least = list(range(len(texts)))
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        if len(grams[a] & grams[b]) >= (threshold - 1e-12) * len(grams[a] | grams[b]) and least[a] != least[b]:
+            x, y = sorted((least[a], least[b]))
+            least = [x if v == y else v for v in least]
+    return least
+
+
+def test_pairs_of_one_template_are_found_in_large_buckets(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "SMALL", 2)
+    texts = family(5, 600, 300, 7, 6)
+    got = {r.doc_id: r.class_id for r in minhash.near_duplicates(documents(spark, texts)).collect()}
+    want = plain_classes(texts)
+    assert 250 < len(set(want)) < 600
+    assert [got[i] for i in range(600)] == want
+
+
+def test_prefixes_of_similar_texts_meet():
+    r = np.random.default_rng(3)
+    for _ in range(300):
+        a = np.sort(r.integers(0, 60, 80).astype(np.uint32))
+        b = np.sort(np.concatenate([a[r.random(len(a)) < 0.85], r.integers(0, 60, 8).astype(np.uint32)]))
+        count = np.full(minhash.RARITY, 2)
+        count[:60] = r.integers(2, 9, 60)
+        if max(minhash.similarity(a, b)) >= 0.8:
+            assert set(minhash.prefix(a, count, 0.8)) & set(minhash.prefix(b, count, 0.8))
+
+
 def test_signatures_estimate_probability_jaccard():
     key = words.mix(np.arange(1000, dtype=np.uint64))
     a, b = np.arange(0, 700), np.arange(300, 1000)
