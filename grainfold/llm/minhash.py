@@ -12,10 +12,8 @@ make buckets. In a bucket every member is compared with one centre only, first o
 chosen by a hash, then the member with most links so far (the middle of its
 group), which makes as many pairs as members. Buckets that then still hold
 several components go on: small ones compare all members of different components;
-the members of larger ones go on to a level of more and longer bands, which keep
-apart what differs from the middle in the same way. Members of buckets that are large
-at the last level are joined on their rarest shingles, as many as two texts at the
-threshold must share one of, so nothing is left out there. Pairs whose signatures could reach the threshold are verified on the shingles
+the members of larger ones are joined on their rarest shingles, as many as two texts
+at the threshold must share one of, so nothing is left out there. Pairs whose signatures could reach the threshold are verified on the shingles
 themselves: a link needs 0.8 of probability Jaccard, or of plain Jaccard over the
 different shingles. Classes are the connected components of the links.
 
@@ -38,8 +36,7 @@ from grainfold.llm.words import mix, tokenise, windows
 
 SHINGLE, THRESHOLD = 5, 0.8
 REGISTERS = 80
-#: (registers of a band, bands) of each level: at the threshold all bands of a level miss a pair with chance 3e-5, 6e-4 and 1e-3
-LEVELS = ((4, 20), (8, 40), (12, 100))
+BAND = 4  # registers of a band; the bands are disjoint, and at the threshold all of them miss a pair with chance 3e-5
 MARGIN = 0.25  # a pair whose signatures agree in less than threshold - margin of the registers is not verified
 SMALL = 16  # members of a bucket up to which all pairs of different components are compared
 RARITY = 1 << 20  # counters that shingles share to be ordered by how many texts hold them
@@ -112,11 +109,9 @@ def _sign(kept: DataFrame) -> DataFrame:
     return kept.select("id", "text", F.md5("text").alias("same")).mapInArrow(run, schema)
 
 
-def _bands(signed: DataFrame, level: int) -> DataFrame:
-    """(key, id) of the bands of a level. The first cuts the registers into disjoint bands, the others draw them."""
-    rows, count = LEVELS[level]
-    rng = np.random.default_rng(level)
-    bands = np.arange(REGISTERS).reshape(-1, rows) if level == 0 else np.array([rng.choice(REGISTERS, rows, replace=False) for _ in range(count)])
+def _bands(signed: DataFrame) -> DataFrame:
+    """(key, id) of the bands, which cut the registers into disjoint parts."""
+    bands = np.arange(REGISTERS).reshape(-1, BAND)
 
     def run(batches):
         for batch in batches:
@@ -287,33 +282,28 @@ def linked(kept: DataFrame, signed: DataFrame, threshold: float = THRESHOLD) ->
         mixed = owned.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.max_by(F.struct("id", "root"), F.struct("degree", F.xxhash64("id", "key"))).alias("centre")).where("x <> y")
         return keep_narrow(owned.join(mixed.select("key", "centre"), "key"), "open-buckets")
 
-    level, part = 0, signed
-    while True:
-        keys = keep_narrow(_bands(part, level), "bands")
-        buckets = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min_by("id", F.xxhash64("id", "key")).alias("first")).where("n > 1")
-        members = keep_narrow(keys.join(buckets, "key"), "buckets")
-        if level == 0:  # one centre a bucket, by a hash, so that the bands of a group do not all take the same
-            add(members.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct())
-        # Then the member with most links so far, which is in the middle of its group.
+    keys = keep_narrow(_bands(signed), "bands")
+    buckets = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min_by("id", F.xxhash64("id", "key")).alias("first")).where("n > 1")
+    members = keep_narrow(keys.join(buckets, "key"), "buckets")
+    # One centre a bucket, by a hash, so that the bands of a group do not all take the same.
+    add(members.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct())
+    # Then the member with most links so far, which is in the middle of its group.
+    open_ = opened(members)
+    if add(open_.where("root <> centre.root").select(F.col("centre.id").alias("a"), F.col("id").alias("b")).distinct()):
+        discard(open_)
         open_ = opened(members)
-        if add(open_.where("root <> centre.root").select(F.col("centre.id").alias("a"), F.col("id").alias("b")).distinct()):
-            discard(open_)
-            open_ = opened(members)
-        small = open_.where(F.col("n") <= SMALL)
-        other = small.select("key", F.col("id").alias("b"), F.col("root").alias("root_b"))
-        add(small.select("key", F.col("id").alias("a"), "root").join(other, "key").where("a < b AND root <> root_b").select("a", "b").distinct())
-        level += 1
-        large = keep_narrow(open_.where(F.col("n") > SMALL).select("id").distinct(), "open-ids")
-        discard(keys, members, open_)
-        if level == len(LEVELS) or large.isEmpty():
-            if not large.isEmpty():
-                owned = large.join(sent(roots.withColumnRenamed("node", "id"), rooted), "id", "left").select("id", F.coalesce("root", "id").alias("root"))
-                pairs = _sharing(proof.names_of(large), owned, threshold)
-                add(pairs)
-                discard(pairs)
-            discard(large, *proof.written)
-            return found, roots
-        part = large.join(signed, "id")
+    small = open_.where(F.col("n") <= SMALL)
+    other = small.select("key", F.col("id").alias("b"), F.col("root").alias("root_b"))
+    add(small.select("key", F.col("id").alias("a"), "root").join(other, "key").where("a < b AND root <> root_b").select("a", "b").distinct())
+    large = keep_narrow(open_.where(F.col("n") > SMALL).select("id").distinct(), "open-ids")
+    discard(keys, members, open_)
+    if not large.isEmpty():
+        owned = large.join(sent(roots.withColumnRenamed("node", "id"), rooted), "id", "left").select("id", F.coalesce("root", "id").alias("root"))
+        pairs = _sharing(proof.names_of(large), owned, threshold)
+        add(pairs)
+        discard(pairs)
+    discard(large, *proof.written)
+    return found, roots
 
 
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:

@@ -474,6 +474,17 @@ def test_prefixes_of_similar_texts_meet():
             assert set(minhash.prefix(a, count, 0.8)) & set(minhash.prefix(b, count, 0.8))
 
 
+def test_bands_share_no_register(spark):
+    sigs = np.zeros((minhash.REGISTERS + 1, minhash.REGISTERS), np.uint32)
+    sigs[1:] += np.eye(minhash.REGISTERS, dtype=np.uint32)  # each differs from the first in one register
+    signed = spark.createDataFrame([(i, bytearray(s.tobytes())) for i, s in enumerate(sigs)], "id bigint, sig binary")
+    keys = {}
+    for r in minhash._bands(signed).collect():
+        keys.setdefault(r["id"], set()).add(r["key"])
+    bands = minhash.REGISTERS // minhash.BAND
+    assert all(len(keys[0] & keys[i]) == bands - 1 for i in range(1, len(sigs)))
+
+
 def test_signatures_estimate_probability_jaccard():
     key = words.mix(np.arange(1000, dtype=np.uint64))
     a, b = np.arange(0, 700), np.arange(300, 1000)
