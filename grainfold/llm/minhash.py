@@ -5,7 +5,9 @@ by how often they occur. Each shingle is a Poisson process whose rate is its
 weight: its arrivals fall on random registers, and the earliest arrival of a
 register names the shingle in the signature. A shingle stops as soon as its next
 arrival comes later than all registers hold. Two signatures agree in a register
-with the probability Jaccard similarity of the texts.
+with the probability Jaccard similarity of the texts. A text that repeats a shingle has a
+second signature in which every weight is 1; in second signatures (for other texts the only one)
+two texts agree with their plain Jaccard similarity.
 
 Equal texts are one node, so copies cost one aggregation. Bands of registers
 make buckets. In a bucket every member is compared with one centre only, first one
@@ -37,7 +39,7 @@ from grainfold.llm.words import mix, tokenise, windows
 SHINGLE, THRESHOLD = 5, 0.8
 REGISTERS = 80
 BAND = 4  # registers of a band; the bands are disjoint, and at the threshold all of them miss a pair with chance 3e-5
-MARGIN = 0.25  # a pair whose signatures agree in less than threshold - margin of the registers is not verified
+MARGIN = 0.25  # a pair whose signatures of either kind agree in less than threshold - margin of the registers is not verified
 SMALL = 16  # members of a bucket up to which all pairs of different components are compared
 RARITY = 1 << 20  # counters that shingles share to be ordered by how many texts hold them
 BLOCK = 256  # members of a shingle that one key of the join holds on one side, at most about
@@ -94,15 +96,27 @@ def similarity(a: np.ndarray, b: np.ndarray) -> tuple[float, float]:
     return float((1 / (xs[upto] / x[both] + (ys[-1] - ys[upto]) / y[both])).sum()), float(both.sum() / len(names))
 
 
+def _sides(sigs: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures by weight, and by different shingles (the same where a text repeats none)."""
+    raw = sigs.to_pylist()
+    return tuple(np.frombuffer(b"".join(r[part] for r in raw), np.uint32).reshape(-1, REGISTERS) for part in (slice(4 * REGISTERS), slice(-4 * REGISTERS, None)))
+
+
 def _sign(kept: DataFrame) -> DataFrame:
-    """id, key of the text and signature (null without a word), for all rows."""
+    """id, key of the text and signature (null without a word, two in a row where the text repeats a shingle), for all rows."""
 
     def run(batches):
         for batch in batches:
             out: list = []
             for lo, hi, doc, key, weight in shingles(batch.column(1)):
                 rows, there = signatures(doc, key, weight, hi - lo), np.bincount(doc, minlength=hi - lo) > 0
-                out += [r.tobytes() if t else None for r, t in zip(rows, there)]
+                again = np.unique(doc[weight > 1])
+                second = dict.fromkeys(range(hi - lo), b"")
+                if len(again):
+                    inside = np.isin(doc, again)
+                    plain = signatures(np.searchsorted(again, doc[inside]), key[inside], np.ones(inside.sum(), np.int64), len(again))
+                    second |= {int(d): r.tobytes() for d, r in zip(again, plain)}
+                out += [r.tobytes() + second[n] if t else None for n, (r, t) in enumerate(zip(rows, there))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out, pa.binary())], names=["id", "same", "sig"])
 
     schema = kept.select("id", F.lit(None).cast("string").alias("same"), F.lit(None).cast("binary").alias("sig")).schema
@@ -110,21 +124,28 @@ def _sign(kept: DataFrame) -> DataFrame:
 
 
 def _bands(signed: DataFrame) -> DataFrame:
-    """(key, id) of the bands, which cut the registers into disjoint parts."""
+    """(key, id) of the bands, which cut the registers of either signature into disjoint parts.
+
+    Both signatures share their keys, so that a text that repeats a shingle meets one that does not.
+    """
     bands = np.arange(REGISTERS).reshape(-1, BAND)
 
     def run(batches):
         for batch in batches:
             if not len(batch):
                 continue
-            sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(-1, REGISTERS).astype(np.uint64)
-            keys = []
+            keys, at = [], []
             for n, band in enumerate(bands):
-                h = np.full(len(sig), (n + 1) * int(_GOLD) & 0xFFFFFFFFFFFFFFFF, np.uint64)
-                for r in band:
-                    h = mix(h ^ sig[:, r]) * _GOLD
-                keys.append(h.view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.concat_arrays([batch.column(0)] * len(bands))], names=["key", "id"])
+                both = []
+                for sig in _sides(batch.column(1)):
+                    h = np.full(len(sig), (n + 1) * int(_GOLD) & 0xFFFFFFFFFFFFFFFF, np.uint64)
+                    for r in band:
+                        h = mix(h ^ sig[:, r].astype(np.uint64)) * _GOLD
+                    both.append(h.view(np.int64))
+                second = np.flatnonzero(both[0] != both[1])
+                keys += [both[0], both[1][second]]
+                at += [np.arange(len(both[0])), second]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), batch.column(0).take(pa.array(np.concatenate(at)))], names=["key", "id"])
 
     return signed.select("id", "sig").mapInArrow(run, signed.select(F.lit(0).cast("long").alias("key"), "id").schema)
 
@@ -232,8 +253,9 @@ class _Proof:
         def could(batches):
             for batch in batches:
                 if len(batch):
-                    a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint32).reshape(-1, REGISTERS) for i in (2, 3))
-                    yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array((a == b).sum(axis=1) >= agree))
+                    (a, plain_a), (b, plain_b) = (_sides(batch.column(i)) for i in (2, 3))
+                    good = ((a == b).sum(axis=1) >= agree) | ((plain_a == plain_b).sum(axis=1) >= agree)
+                    yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(good))
 
         def meet(batches):
             for batch in batches:

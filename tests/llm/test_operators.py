@@ -474,6 +474,13 @@ def test_prefixes_of_similar_texts_meet():
             assert set(minhash.prefix(a, count, 0.8)) & set(minhash.prefix(b, count, 0.8))
 
 
+def test_a_repeated_block_does_not_part_near_copies(spark):
+    names = [f"v{i}" for i in range(200)]
+    texts = [(i, " ".join(w)) for i, w in enumerate((names, names + names[:24] * 20, names[:100] + names[60:100] * 15 + names[100:], ["other", *names[:24]]))]
+    got = {r.doc_id: r.class_id for r in minhash.near_duplicates(documents(spark, texts)).collect()}
+    assert brute_classes(texts) == got == {0: 0, 1: 0, 2: 0, 3: 3}
+
+
 def test_bands_share_no_register(spark):
     sigs = np.zeros((minhash.REGISTERS + 1, minhash.REGISTERS), np.uint32)
     sigs[1:] += np.eye(minhash.REGISTERS, dtype=np.uint32)  # each differs from the first in one register
