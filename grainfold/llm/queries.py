@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from grainfold.llm import decontaminate, html_text, langid, licenses, minhash, packing, quality, suffix_dedup, toxicity, urls
+from grainfold.llm import (
+    decontaminate, html_text, langid, lexical_search, licenses, minhash, packing, quality, suffix_dedup, token_files, toxicity, urls, vector_codes)
 from grainfold.llm.frames import held_out
 from grainfold.llm.registry import ORACLES, QUERIES, query
 
@@ -147,3 +148,59 @@ def op8_suffix_array_dedup(read):
 @query("op10_html_extraction")
 def op10_html_extraction(read):
     return html_text.extract(read("pages"))
+
+
+@query("op11_token_files")
+def op11_token_files(read):
+    return token_files.read(token_files.write(read("documents"), tokenizer_path()))
+
+
+def _vector_code_sql(rounds: int = 6) -> str:
+    """The rounds written out one after another."""
+    def assigned(k: int) -> str:
+        return f"""a{k} AS MATERIALIZED (SELECT vec_id, p, part, min([dist, e]) AS best FROM (SELECT vec_id, p, part, e,
+      list_sum(list_transform(list_zip(part, entry), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS dist FROM parts JOIN c{k} USING (p)) GROUP BY ALL)"""
+
+    def replaced(k: int) -> str:
+        return f"""c{k + 1} AS MATERIALIZED (SELECT c.p, c.e, coalesce(n.entry, c.entry) AS entry FROM c{k} c LEFT JOIN (
+      SELECT p, e, list((s - ((s % n) + n) % n) // n ORDER BY i) AS entry FROM (
+        SELECT p, best[2] AS e, i, sum(part[i])::BIGINT AS s, count(*) AS n FROM (SELECT *, unnest(range(1, len(part) + 1)) AS i FROM a{k}) GROUP BY ALL) GROUP BY ALL) n USING (p, e))"""
+
+    steps = ",\n".join(f"{assigned(k)},\n{replaced(k)}" for k in range(rounds))
+    return f"""
+WITH kept AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+              WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+parts AS MATERIALIZED (SELECT vec_id, p, v[p * (len(v) // 8) + 1 : (p + 1) * (len(v) // 8)] AS part FROM (SELECT *, unnest(range(8)) AS p FROM kept)),
+c0 AS MATERIALIZED (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, part AS entry FROM parts
+                    WHERE vec_id IN (SELECT vec_id FROM kept ORDER BY vec_id LIMIT 16)),
+{steps},
+{assigned(rounds)},
+coded AS (SELECT vec_id, string_agg(printf('%02x', best[2]), '' ORDER BY p) AS code, sum(best[1])::BIGINT AS error FROM a{rounds} GROUP BY vec_id),
+book AS (SELECT sha256(string_agg(x::VARCHAR, ',' ORDER BY p, e, i)) AS h FROM (SELECT p, e, unnest(entry) AS x, generate_subscripts(entry, 1) AS i FROM c{rounds}))
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, (SELECT h FROM book) AS codebooks_sha256
+FROM coded JOIN kept USING (vec_id)
+"""
+
+
+@query("op12_vector_codes", _vector_code_sql())
+def op12_vector_codes(read):
+    coded, books = vector_codes.compress(read("embeddings"))
+    code = F.lower(F.hex("code"))  # a byte for each part
+    return coded.select("vec_id", code.alias("code"), "error", "label_error", F.lit(vector_codes.digest(books)).alias("codebooks_sha256"))
+
+
+@query("op13_lexical_search", """
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+i AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
+total AS (SELECT count(*) AS n_docs, sum(len(w))::BIGINT AS n_terms FROM d WHERE len(w) > 0),
+norm AS (SELECT doc_id, 100 - 25 + (25 * len(w) * n_docs) // n_terms AS m FROM d, total WHERE len(w) > 0),
+q AS (SELECT item_id, term, count(*) AS uses FROM (SELECT item_id, unnest(w) AS term FROM i) GROUP BY ALL),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+df AS (SELECT term, floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1)))::BIGINT AS weight FROM tf, total GROUP BY term, n_docs),
+scores AS (SELECT item_id, doc_id, sum(uses * weight * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score
+           FROM q JOIN tf USING (term) JOIN df USING (term) JOIN norm USING (doc_id) GROUP BY ALL)
+SELECT item_id, rank, doc_id, score
+FROM (SELECT *, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INTEGER AS rank FROM scores WHERE score > 0) WHERE rank <= 20
+""")
+def op13_lexical_search(read):
+    return lexical_search.search(read("documents"), read("benchmark"))
