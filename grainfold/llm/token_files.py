@@ -30,6 +30,7 @@ from __future__ import annotations
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +39,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from grainfold.llm.frames import keep_narrow, parts, pick
+from grainfold.llm.frames import keep_in_folder, parts, pick
 from grainfold.llm.packing import Encoder
 from grainfold.session import scratch_path
 
@@ -149,6 +150,12 @@ class Sequences:
             first, length = first + n, length - n
 
 
+@lru_cache(maxsize=1)
+def _encoder(tokenizer: str) -> Encoder:
+    """A worker keeps its tokenizer and the ids of common words from task to task."""
+    return Encoder(tokenizer)
+
+
 def write(docs: DataFrame, tokenizer: str, folder: str | None = None, *, doc_id: str = "doc_id", text: str = "text", sequence: int = SEQUENCE,
           end_id: int = END_ID, pad_id: int = PAD_ID, batch_rows: int = BATCH_ROWS) -> DataFrame:
     """Write the ids of all texts in ascending order of their ids; gives the manifest, a row for each file."""
@@ -167,7 +174,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str | None = None, *, doc_id:
             if not batch.num_rows:
                 continue
             if encoder is None:
-                encoder = Encoder(tokenizer)
+                encoder = _encoder(tokenizer)
                 system, place = opened(folder)
                 system.create_dir(place, recursive=True)
                 names = [f"{kind}-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.arrows" for kind in ("tokens", "documents")]
@@ -193,7 +200,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str | None = None, *, doc_id:
             "part": pa.array([TaskContext.get().partitionId()], pa.int32()), **{k: [f"{folder}/{name}"] for k, name in zip(("tokens", "documents"), names)},
             "n_documents": [n], "n_tokens": [tokens.written]})
 
-    return keep_narrow(dealt.mapInArrow(save, MANIFEST), "token-manifest")
+    return keep_in_folder(dealt.mapInArrow(save, MANIFEST), "token-manifest")  # a file is a part: no part may join another
 
 
 def index(manifest: DataFrame, id_type: T.DataType | None = None) -> DataFrame:
