@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grainfold.llm.frames import keep_in_folder, numbered, pick
+from grainfold.llm.frames import keep_in_folder, numbered, pick, tidy
 from grainfold.llm.words import LOWER_BYTES, Words, buffers, tokenise, words_of
 
 WINDOW, BLOCK_WORDS = 13, 100_000
@@ -266,6 +266,7 @@ def _over_blocks(docs: DataFrame, text: str, benchmark: DataFrame, item_id: str,
 
 
 def _renamed(work, names: list[str]):
+    @tidy
     def run(batches):
         for batch in work(batches):
             yield pa.RecordBatch.from_arrays(batch.columns, names=names)
@@ -294,6 +295,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", coverage
     place, names = docs.columns.index(text), docs.columns
     found = _over_blocks(numbered(docs), f"c{place}", benchmark, item_id, item_text, window, block_words)
 
+    @tidy
     def cut(batches):
         for batch in batches:
             out, keep = batch.column(place).to_pylist(), []

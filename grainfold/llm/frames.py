@@ -2,12 +2,62 @@
 
 from __future__ import annotations
 
+import ctypes
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from grainfold.llm import words
 from grainfold.session import scratch_path
 
 
+def give_back() -> None:
+    """What a Python worker holds and no longer uses goes back to the system: workers stay from stage to stage, and freed memory with them."""
+    words.forget()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def tidy(work):
+    """A function over the batches of a task that leaves no memory behind."""
+
+    def run(batches):
+        try:
+            yield from work(batches)
+        finally:
+            give_back()
+
+    return run
+
+
+def tidy_group(work):
+    """The same for a function over one group."""
+
+    def run(group):
+        try:
+            return work(group)
+        finally:
+            give_back()
+
+    return run
+
+
+def tidy_groups(work):
+    """The same for a function over two groups of one key."""
+
+    def run(left, right):
+        try:
+            return work(left, right)
+        finally:
+            give_back()
+
+    return run
+
+
 def held_out(id_column: str) -> F.Column:
     """True for the third of the rows on which labels must not be learnt."""
     return F.crc32(F.col(id_column).cast("string").cast("binary")) % 3 == 1

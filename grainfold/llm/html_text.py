@@ -2,26 +2,34 @@
 
 Blocks stand on lines of their own; paragraphs, headings, lists, tables and
 quotes have a blank line around them. List items carry a dash or their number
-and are indented by their depth. Cells of a table are padded to the width of
-their column. Runs of white space are one blank outside of ``pre``.
+(``start``, ``value`` and ``reversed`` count) and are indented by their depth. Cells of a
+table are padded to the width of their column, wide characters counting twice;
+what a cell holds in several lines, as lists and tables do, stays in several
+lines; a cell that spans columns or rows keeps their places. Runs of white space
+are one blank outside of ``pre``.
 
 Not visible: head, script, style, template and comments; elements with
-``hidden``, ``display: none`` or ``visibility: hidden``, by attribute or by a
-simple selector (tag, .class, #id, tag.class) of a style element; the inside of a
-closed ``details`` but its summary; a closed ``dialog``; alternative texts of
-media. Scripts do not run, so that ``noscript`` is shown.
+``hidden`` or ``display: none``; what inherits ``visibility: hidden`` and is not made
+visible again; the inside of a closed ``details`` but its summary; a closed
+``dialog``; alternative texts of media. Styles come from attributes and from the
+rules of style elements with a simple selector (tag, .class, #id, tag.class,
+tag#id) by their specificity and order. Rules inside of ``@media`` count where the medium is ``all``
+or ``screen`` without further conditions, those of other conditional groups do
+not. Scripts do not run, so that ``noscript`` is shown.
 
 Defined cases: a null page has a null text, an empty one an empty text. Unclosed
 tags, comments and quotes end with the page. Elements nested deeper than
 ``DEPTH`` become siblings, as in browsers; their text stays. Very long pages are
-read whole; padding stops at ``CELL_WIDTH``, so that one long cell does not
-widen all rows. Repeated rows get a row each. Other columns are not looked at.
+read whole; lines of a cell go on in the next line after ``CELL_WIDTH`` places, but in the last
+cell of a row, so that one long cell does not widen all rows. Repeated rows get a row each. Other columns are not looked at.
 """
 
 from __future__ import annotations
 
 import html
 import re
+import unicodedata
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -50,8 +58,9 @@ CLOSES: dict[str, tuple[frozenset, frozenset]] = {
 _BARRIER = frozenset(("table", "td", "th", "caption", "button", "template", "html"))
 _TOKEN = re.compile(r"""<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+>|[^>]*+(?:>|\Z))""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
-_HIDES = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*hidden)\b", re.I)
-_RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
+_CSS = re.compile(r"""/\*.*?(?:\*/|\Z)|"(?:[^"\\\n]|\\.)*+(?:"|(?=\n)|\Z)|'(?:[^'\\\n]|\\.)*+(?:'|(?=\n)|\Z)|[{};]""", re.S)
+_STYLE = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([a-zA-Z-]+)\s*(!\s*important)?", re.I)
+_SELECTOR = re.compile(r"\s*([a-zA-Z][\w-]*)?([.#][\w-]+)?\s*")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -141,25 +150,113 @@ def parse(page: str) -> Node:
     return root
 
 
-class _Hidden:
-    """What style elements hide, by simple selectors."""
+def _applies(group: str) -> bool:
+    """Whether the rules inside of this group count on a screen of any size."""
+    name, _, condition = group.partition(" ")
+    if name.lower() == "@layer":
+        return True
+    return name.lower() == "@media" and any(c.strip().lower() in ("all", "screen", "only all", "only screen") for c in condition.split(","))
+
+
+def style_rules(sheet: str) -> Iterator[tuple[str, str]]:
+    """(selector, declarations) of the rules that count; rules inside of rules do not, blocks may be left open."""
+    open_: list[list] = []  # kind, whether it counts, selector, declarations
+    held, last = "", 0
+    for m in [*_CSS.finditer(sheet), None]:
+        held += sheet[last : m.start() if m else len(sheet)]
+        last = m.end() if m else last
+        token = m[0] if m else "}"
+        if token[0] in "\"'":
+            held += token
+        elif token.startswith("/*"):
+            held += " "
+        elif token == ";":
+            held = held + ";" if open_ and open_[-1][0] == "rule" else ""
+        elif token == "{":
+            counts = not open_ or (open_[-1][1] and open_[-1][0] == "group")
+            if open_ and open_[-1][0] == "rule":
+                done, _, held = held.rpartition(";")
+                open_[-1][3] += done + ";"
+            name = " ".join(held.split())
+            open_.append(["group", counts and _applies(name), "", ""] if name.startswith("@") else ["rule", counts, name, ""])
+            held = ""
+        else:
+            for _ in range(len(open_) if m is None else min(1, len(open_))):
+                kind, counts, selector, declared = open_.pop()
+                if kind == "rule" and counts:
+                    yield selector, declared + held
+                held = ""
+            held = ""
+
+
+def declared(style: str) -> dict[str, tuple[bool, str]]:
+    """Display and visibility of some declarations: (important, value)."""
+    out: dict[str, tuple[bool, str]] = {}
+    for m in _STYLE.finditer(re.sub(r"/\*.*?(?:\*/|\Z)", " ", style, flags=re.S)):
+        name, found = m[1].lower(), (bool(m[3]), m[2].lower())
+        if not (name in out and out[name][0] and not found[0]):
+            out[name] = found
+    return out
+
+
+class _Styles:
+    """What style elements say of display and visibility, by simple selectors."""
 
     def __init__(self):
-        self.selectors: set[tuple[str, str]] = set()  # (tag or '', .class or #id or '')
+        self.rules: dict[tuple[str, str], dict[str, tuple]] = {}
+        self.count = 0
 
     def learn(self, sheet: str) -> None:
-        for m in _RULE.finditer(re.sub(r"/\*.*?(\*/|\Z)", "", sheet, flags=re.S)):
-            if _HIDES.search(m[2]):
-                for selector in m[1].split(","):
-                    simple = re.fullmatch(r"\s*([a-zA-Z][\w-]*)?([.#][\w-]+)?\s*", selector)
-                    if simple and (simple[1] or simple[2]):
-                        self.selectors.add(((simple[1] or "").lower(), simple[2] or ""))
-
-    def covers(self, tag: str, given: dict[str, str]) -> bool:
-        if not self.selectors:
-            return False
-        own = ["", *("." + c for c in given.get("class", "").split())] + (["#" + given["id"]] if given.get("id") else [])
-        return any((t, n) in self.selectors for n in own for t in (tag, "") if t or n)
+        for selectors, body in style_rules(sheet):
+            said = declared(body)
+            if not said:
+                continue
+            for selector in selectors.split(","):
+                simple = _SELECTOR.fullmatch(selector)
+                if simple and (simple[1] or simple[2]):
+                    tag, name = (simple[1] or "").lower(), simple[2] or ""
+                    self.count += 1
+                    rank = (name.startswith("#"), name.startswith("."), bool(tag), self.count)
+                    own = self.rules.setdefault((tag, name), {})
+                    for key, (important, value) in said.items():
+                        own[key] = max(own.get(key, ((False,), "")), ((important, *rank), value))
+
+    def of(self, tag: str, given: dict[str, str]) -> dict[str, str]:
+        """Display and visibility of an element, where anything is said of them."""
+        best: dict[str, tuple] = {}
+        if self.rules:
+            names = ["", *("." + c for c in given.get("class", "").split())] + (["#" + given["id"]] if given.get("id") else [])
+            for key in ((t, n) for n in names for t in (tag, "") if t or n):
+                for what, ranked in self.rules.get(key, {}).items():
+                    best[what] = max(best.get(what, ((False,), "")), ranked)
+        if given.get("style"):
+            for what, (important, value) in declared(given["style"]).items():
+                best[what] = max(best.get(what, ((False,), "")), ((important, 2), value))  # above any selector
+        return {what: value for what, (_, value) in best.items()}
+
+
+def places(s: str) -> int:
+    """Columns that a text takes: wide characters two, marks on other characters none."""
+    if s.isascii():
+        return len(s)
+    return sum(0 if unicodedata.combining(c) else 2 if unicodedata.east_asian_width(c) in "WF" else 1 for c in s)
+
+
+def _broken(line: str) -> list[str]:
+    """A line in lines of at most ``CELL_WIDTH`` places, between words."""
+    out, size = [[]], 0
+    for word in line.split(" "):
+        n = places(word)
+        if out[-1] and size + 1 + n > CELL_WIDTH:
+            out.append([])
+            size = 0
+        size += n + bool(out[-1])
+        out[-1].append(word)
+    return [" ".join(words) for words in out]
+
+
+def _number(value: str, low: int, high: int, else_: int) -> int:
+    return min(max(int(value), low), high) if re.fullmatch(r"\s*\+?[0-9]{1,9}\s*", value) else else_
 
 
 @dataclass
@@ -173,13 +270,15 @@ class Page:
 class _Layout:
     """Lines of one flow: the page, or a cell of a table."""
 
-    def __init__(self, page: Page, hidden: _Hidden):
-        self.page, self.hidden = page, hidden
+    def __init__(self, page: Page, styles: _Styles, shown: bool = True):
+        self.page, self.styles, self.shown = page, styles, shown
         self.lines: list[str] = []
         self.inline: list[str] = []
         self.indent, self.mark, self.gap = 0, "", False
 
     def word(self, s: str, keep: bool) -> None:
+        if not self.shown:
+            return
         if keep:
             first, *rest = s.split("\n")
             self.inline.append(first)
@@ -202,10 +301,15 @@ class _Layout:
             self.mark = ""
         self.gap = self.gap or (gap and bool(self.lines))
 
-    def visible(self, node: Node, given: dict[str, str]) -> bool:
-        if node.tag in UNSEEN or "hidden" in given or _HIDES.search(given.get("style", "")):
-            return False
-        return not (node.tag == "dialog" and "open" not in given) and not self.hidden.covers(node.tag, given)
+    def enter(self, node: Node, given: dict[str, str]) -> bool | None:
+        """Whether text in an element shows; None if the element is not there at all."""
+        if node.tag in UNSEEN or (node.tag == "dialog" and "open" not in given):
+            return None
+        said = self.styles.of(node.tag, given)
+        if said.get("display") == "none" or ("hidden" in given and "display" not in said):
+            return None
+        visibility = said.get("visibility", "inherit")
+        return visibility == "visible" if visibility in ("visible", "hidden", "collapse") else self.shown
 
     def walk(self, node: Node, keep: bool = False, order: list | None = None) -> None:
         for child in node.children:
@@ -214,20 +318,26 @@ class _Layout:
                 continue
             tag = child.tag
             given = child.attributes()
-            if not self.visible(child, given):
+            shown = self.enter(child, given)
+            if shown is None:
                 continue
-            if tag == "br":
-                self.flush(False, keep)
-            elif tag == "table":
-                self.flush(True)
-                self.table(child)
-                self.gap = bool(self.lines)
-            elif tag in BLOCK:
-                self.block(child, given, keep, order)
-            else:
-                if tag in ("td", "th", "tr"):  # outside of a table
-                    self.inline.append(" ")
-                self.walk(child, keep, order)
+            before, self.shown = self.shown, shown
+            self.element(child, tag, given, keep, order)
+            self.shown = before
+
+    def element(self, child: Node, tag: str, given: dict[str, str], keep: bool, order: list | None) -> None:
+        if tag == "br":
+            self.flush(False, keep)
+        elif tag == "table":
+            self.flush(True)
+            self.table(child)
+            self.gap = bool(self.lines)
+        elif tag in BLOCK:
+            self.block(child, given, keep, order)
+        else:
+            if tag in ("td", "th", "tr"):  # outside of a table
+                self.word(" ", False)
+            self.walk(child, keep, order)
 
     def block(self, node: Node, given: dict[str, str], keep: bool, order: list | None) -> None:
         tag = node.tag
@@ -237,18 +347,22 @@ class _Layout:
         if tag == "hr":
             return
         if lists:
-            start = given.get("start", "1")
-            inner = [int(start) if tag == "ol" and re.fullmatch(r"-?\d{1,9}", start) else (1 if tag == "ol" else None)]
-            self.walk(node, keep, inner)
+            step = -1 if tag == "ol" and "reversed" in given else 1
+            first = sum(isinstance(c, Node) and c.tag == "li" for c in node.children) if step < 0 else 1
+            start = given.get("start", "").strip()
+            # the number of the next item, or none, and what it changes by
+            self.walk(node, keep, [None if tag != "ol" else int(start) if re.fullmatch(r"[-+]?[0-9]{1,9}", start) else first, step])
         elif tag == "li":
             number = order[0] if order else None
+            value = given.get("value", "").strip()
+            if number is not None:
+                number = int(value) if re.fullmatch(r"[-+]?[0-9]{1,9}", value) else number
+                order[0] = number + order[1]
             mark = f"{number}. " if number is not None else "- "
-            if order and number is not None:
-                order[0] += 1
             self.page.items += 1
             before, self.mark = self.mark, mark
             self.indent += len(mark)
-            self.walk(node, keep, [None] if order is None else order[:0] or [None])
+            self.walk(node, keep, [None, 1])
             self.flush(False, keep)
             self.indent -= len(mark)
             self.mark = before if self.mark == mark else ""
@@ -270,37 +384,60 @@ class _Layout:
 
     def table(self, node: Node) -> None:
         self.page.tables += 1
-        rows: list[list[tuple[str, int]]] = []
+        rows: list[dict[int, tuple[list[str], int]]] = []  # by the first column of a cell: its lines and its columns
         loose: list = []
+        down: dict[int, int] = {}  # columns that a cell of an earlier row goes on in, and for how many rows
 
-        def cell(child: Node) -> str:
-            inner = _Layout(self.page, self.hidden)
+        def cell(child: Node, shown: bool) -> list[str]:
+            inner = _Layout(self.page, self.styles, shown)
             inner.walk(child)
             inner.flush(False)
-            return " ".join(x.strip() for x in inner.lines if x.strip())
+            return [x for x in inner.lines if x.strip()]
+
+        def place(cells: list[tuple[list[str], int, int]]) -> None:
+            row, at, longer = {}, 0, {}
+            for lines, columns, height in cells:
+                while down.get(at):
+                    at += 1
+                row[at] = (lines, columns)
+                longer |= dict.fromkeys(range(at, at + columns), height - 1)
+                at += columns
+            rows.append(row)
+            left = {c: n - 1 for c, n in down.items()} | longer
+            down.clear()
+            down.update({c: n for c, n in left.items() if n > 0})
 
         def gather(part: Node) -> None:
-            row: list[tuple[str, int]] = []
+            cells: list[tuple[list[str], int, int]] = []
             for child in part.children:
                 if isinstance(child, str):
-                    if child.strip():
+                    if child.strip() and self.shown:
                         loose.append(child)
                     continue
                 given = child.attributes()
-                if not self.visible(child, given):
+                shown = self.enter(child, given)
+                if shown is None:
                     continue
+                before, self.shown = self.shown, shown
                 if child.tag in ("td", "th"):
-                    span = given.get("colspan", "1")
-                    row.append((cell(child), min(max(int(span), 1), 100) if span.isdigit() and len(span) < 5 else 1))
-                elif child.tag in ("tr", "thead", "tbody", "tfoot"):
+                    height = _number(given.get("rowspan", "1"), 0, 65_534, 1) or 65_534  # 0: to the end of its group
+                    cells.append((cell(child, shown), _number(given.get("colspan", "1"), 1, 1000, 1), height))
+                elif child.tag == "tr":
+                    gather(child)
+                elif child.tag in ("thead", "tbody", "tfoot"):
+                    down.clear()
                     gather(child)
+                    down.clear()
                 elif child.tag == "caption":
                     self.walk(child)
                     self.flush(False)
                 else:
                     loose.append(child)
-            if row:
-                rows.append(row)
+                self.shown = before
+            if cells:
+                place(cells)
+            elif part.tag == "tr":
+                place([])
 
         gather(node)
         if loose:  # text and elements that stand in a table outside of its cells come before it
@@ -308,24 +445,32 @@ class _Layout:
             self.flush(False)
         width: dict[int, int] = {}
         for row in rows:
-            at = 0
-            for content, span in row:
-                if span == 1 and len(content) <= CELL_WIDTH:
-                    width[at] = max(width.get(at, 0), len(content))
-                at += span
+            last = max(row, default=0)
+            for at, (lines, columns) in row.items():
+                if at < last:
+                    lines[:] = [y for x in lines for y in ([x] if places(x) <= CELL_WIDTH else _broken(x))]
+                if columns == 1:
+                    width[at] = max(width.get(at, 0), *(places(x) for x in lines if at < last or places(x) <= CELL_WIDTH), 0)
+        spans = sorted((columns, at, max(map(places, lines), default=0)) for row in rows for at, (lines, columns) in row.items() if columns > 1 and at < max(row))
+        for columns, at, size in spans:  # the last column of a span takes what the others leave over
+            room = sum(width.get(at + c, 0) for c in range(columns)) + 3 * (columns - 1)
+            width[at + columns - 1] = width.get(at + columns - 1, 0) + max(0, size - room)
         for row in rows:
-            at, parts = 0, []
-            for content, span in row:
-                room = sum(width.get(at + i, 0) for i in range(span)) + 3 * (span - 1)
-                parts.append(content.ljust(room))
-                at += span
-            self.inline.append(" | ".join(parts).rstrip())
-            self.flush(False, True)
+            for i in range(max((len(lines) for lines, _ in row.values()), default=0)):
+                at, parts = 0, []
+                while at <= max(row):
+                    lines, columns = row.get(at, ([], 1))
+                    room = sum(width.get(at + c, 0) for c in range(columns)) + 3 * (columns - 1)
+                    line = lines[i] if i < len(lines) else ""
+                    parts.append(line + " " * (room - places(line)))
+                    at += columns
+                self.inline.append(" | ".join(parts).rstrip())
+                self.flush(False, True)
 
 
 def render(page: str | None) -> Page:
     """Lines of a page and what they hold."""
-    out, hidden = Page(), _Hidden()
+    out, styles = Page(), _Styles()
     if not page:
         return out
     root = parse(page)
@@ -335,11 +480,11 @@ def render(page: str | None) -> Page:
         for child in node.children:
             if isinstance(child, Node):
                 if child.tag == "style":
-                    hidden.learn("".join(c for c in child.children if isinstance(c, str)))
+                    styles.learn("".join(c for c in child.children if isinstance(c, str)))
                 elif child.tag == "title" and out.title is None:
                     out.title = _SPACE.sub(" ", "".join(c for c in child.children if isinstance(c, str))).strip()
                 todo.append(child)
-    layout = _Layout(out, hidden)
+    layout = _Layout(out, styles)
     layout.walk(root)
     layout.flush(False)
     out.lines = layout.lines

@@ -2,10 +2,13 @@
 
 Features are runs of 1 to 3 characters (letters lower-cased, everything else
 one blank), hashed to ``BUCKETS``; their document frequencies are counted over
-all documents. Training is follow-the-regularised-leader with elastic-net
-penalties on a bounded sample of the labelled documents, in ``SHARDS`` parts
-whose states are averaged after every epoch. A further part of the sample sets
-the temperature. The model has a fixed size, whatever the corpus.
+all documents that may be learnt from and have a language. Training is
+follow-the-regularised-leader with elastic-net penalties on a bounded sample of
+these, in ``SHARDS`` parts whose states are averaged after every epoch. Every
+language gives its share of ``MAX_LABELLED`` documents, but ``LEAST`` or all it has where that
+is less, and the documents of a language with fewer than ``LEAST`` are shown again and again, so that a
+rare one is learnt from whatever the size of the corpus. A further part of the sample sets the temperature. The size of the model is set by
+the number of languages.
 
 Defined cases: a text that is null or holds no letter is ``und`` with score 0.
 Without any label to learn from every text is ``und``. Very long texts are read
@@ -25,7 +28,8 @@ from pyspark.sql import functions as F
 from grainfold.llm.frames import discard, keep_in_folder, pick
 
 BUCKETS = 1 << 15
-MAX_LABELLED = 20_000  # labelled documents that the classifier is fitted on, at most
+MAX_LABELLED = 20_000  # labelled documents that the classifier is fitted on, about, besides those of rare languages
+LEAST = 200  # documents of a language that are taken, if there are as many
 CALIBRATE = 10  # one of so many of them sets the temperature instead
 SHARDS, EPOCHS = 8, 3
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 1e-4, 1e-5  # step size and elastic-net penalties
@@ -94,7 +98,7 @@ def _softmax(x: np.ndarray) -> np.ndarray:
 
 
 def document_frequencies(docs: DataFrame, *, text: str = "text") -> tuple[int, np.ndarray]:
-    """Number of documents and, for every bucket, in how many it occurs, over all documents."""
+    """Number of documents and, for every bucket, in how many it occurs, over all rows."""
 
     def count(batches):
         found, n = np.zeros(BUCKETS, np.int64), 0
@@ -133,38 +137,44 @@ def _pack(a: np.ndarray) -> bytes:
 
 
 def fit(docs: DataFrame, may_learn: Column, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang",
-        max_labelled: int = MAX_LABELLED, epochs: int = EPOCHS, shards: int = SHARDS) -> Model:
-    """Fit on at most ``max_labelled`` documents with a language among those that ``may_learn`` (over doc_id) names."""
-    total, frequency = document_frequencies(docs, text=text)
-    idf = (np.log((1 + total) / (1 + frequency)) + 1).astype(np.float32)
+        max_labelled: int = MAX_LABELLED, least: int = LEAST, epochs: int = EPOCHS, shards: int = SHARDS) -> Model:
+    """Fit on a sample of the documents with a language among those that ``may_learn`` (over doc_id) names.
+
+    The sample has about ``max_labelled`` documents and up to ``least`` more of each language.
+    """
     labelled = pick(docs, doc_id=doc_id, text=text, lang=lang).where(may_learn & F.col("lang").isNotNull())
-    there = labelled.agg(F.count(F.lit(1)).alias("n")).first()["n"]
+    total, frequency = document_frequencies(labelled)
+    idf = (np.log((1 + total) / (1 + frequency)) + 1).astype(np.float32)
     pace = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003))
-    share = min(1.0, max_labelled / max(there, 1))
-    chosen = labelled.where(pace < int(share * 1_000_003)).withColumn("pace", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 30)).cast("int"))
+    each = labelled.groupBy(F.col("lang").alias("_lang")).agg(F.count(F.lit(1)).alias("_n"))  # a row for each language, as the model has columns
+    share = F.greatest(F.lit(max_labelled / max(total, 1)), least / F.col("_n"))
+    times = F.greatest(F.lit(1), F.ceil(least / F.col("_n"))).cast("int")  # documents of a language that has few are shown again
+    quota = F.broadcast(each.select("_lang", times.alias("times"), F.ceil(F.least(F.lit(1.0), share) * 1_000_003).alias("_quota")))
+    chosen = labelled.join(quota, F.col("lang") == F.col("_lang")).where(pace < F.col("_quota")).withColumn("pace", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 30)).cast("int"))
 
     def features(batches):
         for batch in batches:
             made = [_counts(t.as_py()) for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays([
-                batch.column(1), batch.column(2), pa.array([a.astype(np.uint16).tobytes() for a, _ in made], pa.binary()),
-                pa.array([c.astype(np.uint32).tobytes() for _, c in made], pa.binary())], names=["lang", "pace", "at", "counts"])
+                batch.column(1), batch.column(2), batch.column(3), pa.array([a.astype(np.uint16).tobytes() for a, _ in made], pa.binary()),
+                pa.array([c.astype(np.uint32).tobytes() for _, c in made], pa.binary())], names=["lang", "pace", "times", "at", "counts"])
 
-    sample = keep_in_folder(chosen.select("text", "lang", "pace").mapInArrow(features, "lang string, pace int, at binary, counts binary"), "langid-sample")
+    sample = keep_in_folder(chosen.select("text", "lang", "pace", "times").mapInArrow(features, "lang string, pace int, times int, at binary, counts binary"), "langid-sample")
     langs = sorted(r["lang"] for r in sample.select("lang").distinct().toLocalIterator())
     model = Model(langs, idf, np.zeros((BUCKETS + 1, len(langs)), np.float32))
     if len(langs) < 2:
         return model
     shape, number = model.weights.shape, {v: i for i, v in enumerate(langs)}
     z, n = np.zeros(shape, np.float32), np.zeros(shape, np.float32)
-    train = sample.where(F.col("pace") % CALIBRATE != 0).withColumn("shard", F.col("pace") % shards)
+    seen = sample.where((F.col("pace") % CALIBRATE != 0) | (F.col("times") > 1)).withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("times") - 1)))
+    train = seen.withColumn("shard", (F.col("pace") + F.col("copy")) % shards)
     spark = docs.sparkSession
     for epoch in range(epochs):
         state = spark.sparkContext.broadcast((z, n))
 
         def learn(table):
             z, n = (a.copy() for a in state.value)
-            rows = sorted(table.to_pylist(), key=lambda r: (r["pace"] * 2654435761 + epoch * 40503) % (1 << 31))
+            rows = sorted(table.to_pylist(), key=lambda r: ((r["pace"] + r["copy"]) * 2654435761 + epoch * 40503) % (1 << 31))
             for r in rows:
                 at = np.frombuffer(r["at"], np.uint16).astype(np.int64)
                 x = model.vector(at, np.frombuffer(r["counts"], np.uint32))

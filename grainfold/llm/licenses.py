@@ -1,18 +1,22 @@
 """Licence scan: sentences map to identifiers, sequences of identifiers to licences. SQL functions only.
 
-A text is cut into sentences at line breaks and at ``.``, ``;``, ``:``, ``!``,
-``?`` before a blank or the end. A sentence is normalised: A-Z lower-cased,
-every run of other than a-z and 0-9 one blank. Known sentences have identifiers
-1, 2, 3, ... in the order of ``SENTENCES``; any other is 0. A rule is a sequence
-of identifiers that must follow one another (other known sentences in between
-break it, unknown ones do not). The rules are ordered: at one place the first
-that fits wins, so a whole licence text comes before its title.
-
-Everything happens inside one row by array functions over two literal tables
-(sentences and rules, tens of entries), so no text is shuffled.
-
-Defined cases: a null or empty text has no sentence and no licence. Repeated
-rows get a row each. Other columns are not looked at.
+A text is normalised: A-Z lower-cased, every run of other than a-z and 0-9 one
+blank. Sentences end at blank lines (lines without a-z, A-Z and 0-9, as bare
+comment leaders are) and at ``.``, ``!``, ``?`` before a blank or the end. A single line
+break and ``:`` or ``;`` before a blank or the end may be the end of a sentence, or a
+place at which it goes on: wrapped licence bodies, comment blocks and SPDX tags
+are recognised, and so are notices that stand on a line of their own. Known
+sentences have identifiers 1, 2, 3, ... in the order of ``SENTENCES``. A rule is a
+sequence of identifiers that must follow one another (other known sentences in
+between break it, unknown ones do not). The rules are ordered: at one place the
+first that fits wins, so a whole licence text comes before its title.
+
+Everything happens inside one row by string and array functions over two literal
+tables (sentences and rules, tens of entries), so no text is shuffled.
+
+Defined cases: a null or empty text has no sentence and no licence. Of known
+sentences that begin at one place the longest counts. Repeated rows get a row
+each. Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -54,6 +58,19 @@ SENTENCES = (
     "spdx license identifier apache 2 0",
     "spdx license identifier gpl 3 0 only",
     "all rights reserved",
+    "mit license",
+    "apache license version 2 0 january 2004",
+    "bsd 2 clause license",
+    "bsd 3 clause license",
+    "gnu general public license version 3 29 june 2007",
+    "gnu general public license version 2 june 1991",
+    "mozilla public license version 2 0",
+    "spdx license identifier bsd 2 clause",
+    "spdx license identifier bsd 3 clause",
+    "spdx license identifier gpl 3 0 or later",
+    "spdx license identifier gpl 2 0 only",
+    "spdx license identifier gpl 2 0 or later",
+    "spdx license identifier mpl 2 0",
 )
 
 
@@ -73,26 +90,43 @@ RULES = (
     LicenceRule("GPL-3.0-only", (11,)), LicenceRule("GPL-3.0-only", (27,)), LicenceRule("GPL-3.0-or-later", (12,)), LicenceRule("GPL-2.0-or-later", (13,)),
     LicenceRule("CC-BY-NC-4.0", (15,)), LicenceRule("CC-BY-NC-4.0", (19,)), LicenceRule("CC-BY-4.0", (16,)), LicenceRule("CC-BY-4.0", (18,)),
     LicenceRule("CC-BY-SA-4.0", (17,)), LicenceRule("MPL-2.0", (24,)), LicenceRule("LicenseRef-all-rights-reserved", (28,)),
+    LicenceRule("MIT", (29,)), LicenceRule("Apache-2.0", (30,)), LicenceRule("BSD-2-Clause", (31,)), LicenceRule("BSD-3-Clause", (32,)),
+    LicenceRule("GPL-3.0-only", (33,)), LicenceRule("GPL-2.0-only", (34,)), LicenceRule("MPL-2.0", (35,)),
+    LicenceRule("BSD-2-Clause", (36,)), LicenceRule("BSD-3-Clause", (37,)), LicenceRule("GPL-3.0-or-later", (38,)),
+    LicenceRule("GPL-2.0-only", (39,)), LicenceRule("GPL-2.0-or-later", (40,)), LicenceRule("MPL-2.0", (41,)),
+)
+# "|" ends a sentence, "~" may end it
+_STEPS = (
+    (r"[|~]", " "),
+    (r"[.!?]+(?=[\\s]|$)", "|"),
+    (r"[:;]+(?=[\\s]|$)", "~"),
+    (r"\\n[^a-z0-9|\\n]*(?=\\n)", "|"),
+    (r"\\n", "~"),
+    (r"[^a-z0-9|~]+", " "),
+    (r" ?[ ~]*\\|[ ~|]*", "|"),
+    (r" ?~[ ~]*", "~"),
 )
-_CUT = r"\\n|[.;:!?]+(?=[\\s]|$)"
 
 
 def _text(s: str) -> str:
     return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def sentences_sql(text: str) -> str:
-    """Normalised sentences of a text, empty ones left out. Only pieces with an ASCII letter or digit are touched."""
-    clean = f"trim(regexp_replace(translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', ' '))"
-    return f"filter(transform(split(coalesce({text}, ''), '{_CUT}', -1), x -> {clean}), x -> x != '')"
+def normalised_sql(text: str) -> str:
+    """The words of a text with the ends of its sentences."""
+    out = f"translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    for pattern, put in _STEPS:
+        out = f"regexp_replace({out}, '{pattern}', '{put}')"
+    return f"trim({out})"
 
 
 def known_sql(text: str, sentences: tuple[str, ...]) -> str:
-    """Array of (sentence number in the text from 1, identifier) of the known sentences, in order."""
-    table = "array(" + ", ".join(map(_text, sentences)) + ")"
-    lengths = ", ".join(str(n) for n in sorted({len(s) for s in sentences}))
-    code = f"IF(length(x) IN ({lengths}), cast(array_position({table}, x) AS int), 0)"
-    return f"filter(transform({sentences_sql(text)}, (x, i) -> struct(i + 1 AS place, {code} AS id)), k -> k.id > 0)"
+    """Array of (number among the known sentences of the text, from 1, and identifier), in order."""
+    longest = sorted(sentences, key=len, reverse=True)
+    any_of = "|".join(s.replace(" ", "[ ~]") for s in longest)
+    found = f"regexp_extract_all({normalised_sql(text)}, '(?:^|(?<=[|~]))(?:{any_of})(?=[|~]|$)', 0)"
+    code = "map(" + ", ".join(f"{_text(s)}, {i}" for i, s in enumerate(sentences, 1)) + ")"
+    return f"transform({found}, (x, i) -> struct(i + 1 AS place, element_at({code}, translate(x, '~', ' ')) AS id))"
 
 
 def _matches(known: str, rules: tuple[LicenceRule, ...]) -> str:
@@ -112,7 +146,7 @@ def scan(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", sentenc
          rules: tuple[LicenceRule, ...] = RULES) -> DataFrame:
     """Per document: doc_id, licences (sorted, distinct), n_known (known sentences) and matches.
 
-    A match is (licence, first, last): the numbers of its first and last sentence in the text.
+    A match is (licence, first, last): the numbers of its first and last sentence among the known ones of the text.
     """
     names = "array(" + ", ".join(_text(r.licence) for r in rules) + ")"
     made = f"transform(found, f -> struct(element_at({names}, f.rule + 1) AS licence, k[f.at].place AS first, k[f.at + f.size - 1].place AS last))"

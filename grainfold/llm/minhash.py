@@ -14,8 +14,9 @@ make buckets. In a bucket every member is compared with one centre only, first o
 chosen by a hash, then the member with most links so far (the middle of its
 group), which makes as many pairs as members. Buckets that then still hold
 several components go on: small ones compare all members of different components;
-the members of larger ones are joined on their rarest shingles, as many as two texts
-at the threshold must share one of, so nothing is left out there. Pairs whose signatures could reach the threshold are verified on the shingles
+the members of larger ones meet by their rarest shingles, as many as two texts
+at the threshold must share one of, so nothing is left out there: those that share one
+are compared by sketches of 2,048 bits inside of a task, and what cannot reach the threshold stays there. Pairs whose signatures could reach the threshold are verified on the shingles
 themselves: a link needs 0.8 of probability Jaccard, or of plain Jaccard over the
 different shingles. Classes are the connected components of the links.
 
@@ -27,12 +28,14 @@ result. Other columns are not looked at.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grainfold.llm.frames import discard, keep_in_folder, keep_narrow, pick, sent
+from grainfold.llm.frames import discard, keep_in_folder, keep_narrow, parts, pick, sent, tidy
 from grainfold.llm.graph import components
 from grainfold.llm.words import mix, tokenise, windows
 
@@ -42,7 +45,8 @@ BAND = 4  # registers of a band; the bands are disjoint, and at the threshold al
 MARGIN = 0.25  # a pair whose signatures of either kind agree in less than threshold - margin of the registers is not verified
 SMALL = 16  # members of a bucket up to which all pairs of different components are compared
 RARITY = 1 << 20  # counters that shingles share to be ordered by how many texts hold them
-BLOCK = 256  # members of a shingle that one key of the join holds on one side, at most about
+BITS = 2048  # bits of a sketch, which texts in open buckets are compared by before their shingles are
+BLOCK = 256  # members of a shingle in one block, about
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -105,6 +109,7 @@ def _sides(sigs: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def _sign(kept: DataFrame) -> DataFrame:
     """id, key of the text and signature (null without a word, two in a row where the text repeats a shingle), for all rows."""
 
+    @tidy
     def run(batches):
         for batch in batches:
             out: list = []
@@ -130,6 +135,7 @@ def _bands(signed: DataFrame) -> DataFrame:
     """
     bands = np.arange(REGISTERS).reshape(-1, BAND)
 
+    @tidy
     def run(batches):
         for batch in batches:
             if not len(batch):
@@ -153,6 +159,7 @@ def _bands(signed: DataFrame) -> DataFrame:
 def _texts_per_counter(names: DataFrame) -> np.ndarray:
     """In how many texts the shingles of each counter occur, from (id, names)."""
 
+    @tidy
     def run(batches):
         count = np.zeros(RARITY, np.int64)
         for batch in batches:
@@ -184,29 +191,108 @@ def prefix(raw: np.ndarray, count: np.ndarray, threshold: float) -> np.ndarray:
     return name[count[name % RARITY] > 1]  # a shingle that is alone meets no other
 
 
+def sketches(names: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Two rows of ``BITS`` bits for each text, as 64-bit words: one bit of each register of a long signature by different shingles, and by weight."""
+    plain, weighted = (np.zeros((len(names), BITS // 64), np.uint64) for _ in range(2))
+    for lo in range(0, len(names), 256):
+        part = [np.unique(n, return_counts=True) for n in names[lo : lo + 256]]
+        doc = np.repeat(np.arange(len(part)), [len(n) for n, _ in part])
+        key, weight = (np.concatenate([x[k] for x in part]) for k in (0, 1))
+        key = key.astype(np.uint64) << np.uint64(32)
+        bits = lambda sig: np.packbits(mix(sig.astype(np.uint64)) & np.uint64(1) > 0, axis=1).view(np.uint64)
+        own = bits(signatures(doc, key, np.ones(len(key), np.int64), len(part), BITS))
+        plain[lo : lo + 256] = weighted[lo : lo + 256] = own
+        again = np.unique(doc[weight > 1])
+        if len(again):
+            inside = np.isin(doc, again)
+            weighted[lo + again] = bits(signatures(np.searchsorted(again, doc[inside]), key[inside], weight[inside], len(again), BITS))
+    return plain, weighted
+
+
+def differing(threshold: float) -> int:
+    """Bits in which the sketches of two texts at the threshold differ at most, but for one pair in three million."""
+    share = (1 - threshold) / 2  # half of the registers that differ agree in their bit
+    return math.ceil(BITS * share + 5 * math.sqrt(BITS * share * (1 - share)))
+
+
 def _sharing(names: DataFrame, owned: DataFrame, threshold: float) -> DataFrame:
-    """All pairs (a, b) of different roots that share a shingle of their prefixes, from (id, names) and (id, root)."""
-    count = names.sparkSession.sparkContext.broadcast(_texts_per_counter(names))
+    """The pairs (a, b) of different roots that share a shingle of their prefixes and whose sketches are near, each once; from (id, names) and (id, root).
+
+    Members of a shingle are compared inside of a task; a pair counts at the rarest shingle that both hold, and only pairs that can be links leave the task.
+    """
+    spark, id_type = names.sparkSession, names.schema["id"].dataType.simpleString()
+    count, most = spark.sparkContext.broadcast(_texts_per_counter(names)), differing(threshold)
 
+    @tidy
     def run(batches):
         for batch in batches:
             if not len(batch):
                 continue
-            found = [prefix(np.frombuffer(raw.as_py(), np.uint32), count.value, threshold) for raw in batch.column(1)]
-            at = np.repeat(np.arange(len(found)), [len(f) for f in found])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*found, np.zeros(0, np.uint32)]).astype(np.int64)), batch.column(0).take(pa.array(at))], names=["name", "id"])
-
-    rows = keep_in_folder(names.mapInArrow(run, names.select(F.lit(0).cast("long").alias("name"), "id").schema).join(owned, "id"), "prefixes")
+            held = [np.frombuffer(raw.as_py(), np.uint32) for raw in batch.column(1)]
+            found = [prefix(raw, count.value, threshold) for raw in held]
+            plain, weighted = sketches(held)
+            for lo in range(0, len(held), 64):  # every row repeats its sketches: few texts at a time
+                at = np.repeat(np.arange(lo, min(lo + 64, len(held))), [len(f) for f in found[lo : lo + 64]])
+                if len(at):
+                    about = pa.array([found[i].tobytes() + plain[i].tobytes() + weighted[i].tobytes() for i in range(lo, min(lo + 64, len(held)))], pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found[lo : lo + 64]).astype(np.int64)), batch.column(0).take(pa.array(at)), about.take(pa.array(at - lo))], names=["name", "id", "about"])
+
+    schema = names.select(F.lit(0).cast("long").alias("name"), "id", F.lit(b"").alias("about")).schema
+    rows = keep_in_folder(names.mapInArrow(run, schema).join(owned, "id"), "prefixes")
     several = rows.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y")
-    # A common shingle is cut into blocks, so that no task holds all its pairs.
-    dealt = rows.join(several.select("name", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "name")
-    a = dealt.select("name", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), F.col("id").alias("a"), F.col("root").alias("root_a"))
-    b = dealt.select("name", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("id").alias("b"), F.col("root").alias("root_b"))
-    pairs = keep_in_folder(a.join(b, ["name", "block"]).where("a < b AND root_a <> root_b").select("a", "b").distinct(), "sharing")
+    # A common shingle is cut into blocks, and a task gets pairs of blocks, so that none holds all its members.
+    dealt = rows.join(several.select("name", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "name").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("name", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "root", "about")
+    dealt = dealt.repartition(parts(spark), "name", "i", "j").sortWithinPartitions("name", "i", "j")
+
+    @tidy
+    def compare(batches):
+        open_, key = [], None
+        for batch in batches:
+            at = [batch.column(c).to_numpy() for c in range(3)]
+            cuts = np.flatnonzero(np.any([np.diff(x) != 0 for x in at], axis=0)) + 1 if len(batch) else []
+            for lo, hi in zip([0, *cuts], [*cuts, len(batch)]):
+                if hi > lo:
+                    now = tuple(int(x[lo]) for x in at)
+                    if now != key:
+                        yield from met(key, open_)
+                        open_, key = [], now
+                    open_.append(batch.slice(lo, hi - lo))
+        yield from met(key, open_)
+
+    def met(key, held):
+        rows = pa.Table.from_batches(held) if held else None
+        if rows is None or len(rows) < 2:
+            return
+        name, i, j = key
+        ids, roots, about = (rows.column(c).to_pylist() for c in ("id", "root", "about"))
+        own = rows.column("own").to_numpy()
+        root = np.unique(roots, return_inverse=True)[1]
+        bits = np.frombuffer(b"".join(x[-BITS // 4 :] for x in about), np.uint64).reshape(len(ids), 2, -1)
+        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        out = []
+        for a in left:
+            b = right[right > a] if i == j else right
+            b = b[root[b] != root[a]]
+            if len(b):
+                near = (np.bitwise_count(bits[b] ^ bits[a]).sum(axis=2, dtype=np.int64) <= most).any(axis=1)
+                out += [(a, x) for x in b[near] if _first(about[a], about[x]) == name]
+        if out:
+            ends = [(min(ids[a], ids[b]), max(ids[a], ids[b])) for a, b in out]
+            yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in ends], rows.schema.field("id").type) for k in (0, 1)], names=["a", "b"])
+
+    pairs = keep_in_folder(dealt.mapInArrow(compare, f"a {id_type}, b {id_type}"), "sharing")
     discard(rows)
     return pairs
 
 
+def _first(a: bytes, b: bytes) -> int:
+    """The rarest shingle that is in the prefixes of both; prefixes are in one order."""
+    x, y = (np.frombuffer(v[: -BITS // 4], np.uint32) for v in (a, b))
+    both = np.isin(x, y, assume_unique=True)
+    return int(x[both.argmax()]) if both.any() else -1
+
+
 class _Proof:
     """Verifies pairs; the shingles of a document are made once, when a pair first needs them."""
 
@@ -224,6 +310,7 @@ class _Proof:
             discard(missing)
             return
 
+        @tidy
         def sets(batches):
             for batch in batches:
                 out = []
@@ -250,6 +337,7 @@ class _Proof:
         """The pairs (a, b) whose similarity reaches the threshold, as a table."""
         agree, threshold = int((self.threshold - MARGIN) * REGISTERS), self.threshold
 
+        @tidy
         def could(batches):
             for batch in batches:
                 if len(batch):
@@ -257,6 +345,7 @@ class _Proof:
                     good = ((a == b).sum(axis=1) >= agree) | ((plain_a == plain_b).sum(axis=1) >= agree)
                     yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(good))
 
+        @tidy
         def meet(batches):
             for batch in batches:
                 a, b = (batch.column(i).to_pylist() for i in (2, 3))

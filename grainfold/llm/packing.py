@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grainfold.llm.frames import keep_in_folder, pick
+from grainfold.llm.frames import keep_in_folder, pick, tidy
 from grainfold.llm.words import LOWER, Rolling, Words, buffers, slices
 from grainfold.operators.ordering import add_position
 
@@ -133,6 +133,7 @@ def pieces_of(docs: DataFrame, tokenizer: str, *, doc_id: str = "doc_id", text:
     """doc_id, piece, start, length and ids_crc32 of every piece; the path of the tokenizer is read by the workers."""
     kept = pick(docs, doc_id=doc_id, text=text)
 
+    @tidy
     def cut(batches):
         encoder = Encoder(tokenizer)
         for batch in batches:
@@ -351,6 +352,7 @@ def pack(docs: DataFrame, tokenizer: str, *, doc_id: str = "doc_id", text: str =
     shared = docs.sparkSession.sparkContext.broadcast((places, first))
     placed = add_position(pieces, ["length", "doc_id", "piece"], "position")
 
+    @tidy
     def deal(batches):
         places, first = shared.value
         for batch in batches:

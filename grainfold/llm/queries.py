@@ -91,16 +91,26 @@ def op6_url_filter(read):
 
 
 def _licence_sql() -> str:
-    """The tables hold one-sentence notices only, so that the SQL needs no rule of several sentences."""
+    """Runs of lines and clauses between the ends of sentences, compared with the known sentences one by one.
+
+    The tables hold one-sentence notices only, so that the SQL needs no rule of several sentences; a run has at most 20 pieces.
+    """
     singles = {licenses.SENTENCES[r.sequence[0] - 1]: r.licence for r in licenses.RULES if len(r.sequence) == 1}
     rows = ", ".join(f"('{s}', '{singles.get(s, '')}')" for s in licenses.SENTENCES)
     return f"""
 WITH t AS (SELECT * FROM (VALUES {rows}) AS t(s, licence)),
-d AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(regexp_replace(coalesce(text, ''), '[.;:!?]+([\\s]|$)', chr(10), 'g'), '\\n'),
-      lambda x: trim(regexp_replace(translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', ' ', 'g'))), lambda x: x <> '') AS s FROM documents),
-m AS (SELECT doc_id, count(*) AS n_known, count(*) FILTER (licence <> '') AS n_matches, string_agg(DISTINCT licence, ',' ORDER BY licence) FILTER (licence <> '') AS licences
-      FROM (SELECT doc_id, unnest(s) AS s FROM d) JOIN t USING (s) GROUP BY doc_id)
-SELECT doc_id, coalesce(licences, '') AS licences, coalesce(n_known, 0) AS n_known, coalesce(n_matches, 0) AS n_matches FROM d LEFT JOIN m USING (doc_id)
+lines AS (SELECT doc_id, n, i, trim(regexp_replace(l, '[^a-z0-9]+', ' ', 'g')) = '' AS blank, regexp_replace(regexp_replace(concat(l, ' '), '[.!?]+\\s', chr(10), 'g'), '[:;]+\\s', chr(9), 'g') AS l
+  FROM (SELECT doc_id, n, unnest(ls) AS l, generate_subscripts(ls, 1) AS i FROM (
+    SELECT doc_id, row_number() OVER () AS n, string_split(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' || chr(9) || chr(13), 'abcdefghijklmnopqrstuvwxyz  '), chr(10)) AS ls FROM documents WHERE text IS NOT NULL))),
+joined AS (SELECT doc_id, n, string_agg(CASE WHEN blank AND NOT contains(l, chr(10)) THEN chr(10) ELSE l END, chr(9) ORDER BY i) AS x FROM lines GROUP BY doc_id, n),
+hard AS (SELECT doc_id, n, generate_subscripts(hs, 1) AS h, list_filter(list_transform(string_split(unnest(hs), chr(9)), lambda x: trim(regexp_replace(x, '[^a-z0-9]+', ' ', 'g'))), lambda x: x <> '') AS soft
+  FROM (SELECT doc_id, n, string_split(x, chr(10)) AS hs FROM joined)),
+starts AS (SELECT doc_id, n, h, soft, unnest(range(1, len(soft) + 1)) AS a FROM hard),
+runs AS (SELECT doc_id, n, h, a, k, list_aggregate(soft[a : a + k - 1], 'string_agg', ' ') AS s FROM (SELECT *, unnest(range(1, least(20, len(soft) - a + 1) + 1)) AS k FROM starts)),
+m AS (SELECT n, count(*) AS n_known, count(*) FILTER (licence <> '') AS n_matches, string_agg(DISTINCT licence, ',' ORDER BY licence) FILTER (licence <> '') AS licences
+  FROM (SELECT n, h, a, arg_max(licence, k) AS licence FROM runs JOIN t USING (s) GROUP BY n, h, a) GROUP BY n)
+SELECT doc_id, coalesce(licences, '') AS licences, coalesce(n_known, 0) AS n_known, coalesce(n_matches, 0) AS n_matches
+FROM (SELECT doc_id, n FROM joined UNION ALL SELECT doc_id, NULL FROM documents WHERE text IS NULL) LEFT JOIN m USING (n)
 """
 
 

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from grainfold.llm.frames import BROADCAST_ROWS, discard, keep_in_folder, keep_narrow, parts, pick
+from grainfold.llm.frames import BROADCAST_ROWS, discard, keep_in_folder, parts, pick
 
 SCALE, PARTS, ENTRIES, ROUNDS = 4096, 8, 16, 6
 LARGEST = 1 << 25  # of a scaled component
@@ -207,6 +207,6 @@ def compress(vectors: DataFrame, *, vec_id: str = "vec_id", vector: str = "embed
         raise ValueError("a code is a byte: 1 to 256 entries")
     rows = keep_in_folder(scaled(vectors, vec_id=vec_id, vector=vector, label=label), "scaled-vectors")
     length, books = train(rows, n_parts=n_parts, entries=entries, rounds=rounds)
-    coded = keep_narrow(encode(rows, length, books), "vector-codes")
+    coded = keep_in_folder(encode(rows, length, books), "vector-codes")
     discard(rows)
     return with_label_error(coded), books

@@ -37,6 +37,12 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
+def forget() -> None:
+    """Powers that one very long text has asked for are not kept."""
+    if len(_powers[0]) > SLICE_BYTES + 1:
+        _powers[:] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every bit over all others."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

@@ -223,10 +223,75 @@ def test_licences_follow_ordered_rules(spark):
     found = sorted([(r.doc_id, tuple(r.licences), r.n_known) for r in got.collect()], key=repr)
     assert found == sorted([
         (1, ("MIT",), 1), (2, ("MIT",), 2), (2, ("MIT",), 2), (3, ("BSD-3-Clause",), 4), (4, ("BSD-2-Clause",), 3), (5, ("LicenseRef-all-rights-reserved",), 4), (6, (), 0), (7, (), 0),
-        (8, ("Apache-2.0", "CC-BY-NC-4.0"), 2), (None, (), 0)], key=repr)
+        (8, ("Apache-2.0", "CC-BY-NC-4.0"), 2), (None, ("MIT",), 1)], key=repr)
     assert licenses.scan(documents(spark, [])).collect() == []
 
 
+MIT = """MIT License
+
+Copyright (c) 2024 The Authors
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+"""
+BSD_2 = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+BSD_3 = BSD_2 + """
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+APACHE = """/*
+ * Licensed under the Apache License, Version 2.0 (the "License");
+ * you may not use this file except in compliance with the License.
+ * You may obtain a copy of the License at
+ *
+ *     http://www.apache.org/licenses/LICENSE-2.0
+ *
+ * Unless required by applicable law or agreed to in writing, software
+ * distributed under the License is distributed on an "AS IS" BASIS,
+ * WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+ */
+int main() { return 0; }
+"""
+GPL = """# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation, either version 3 of the License, or
+# (at your option) any later version.
+#
+# This program is distributed in the hope that it will be useful,
+# but WITHOUT ANY WARRANTY; without even the implied warranty of
+# MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.
+"""
+
+
+@pytest.mark.parametrize("text,licences,sequence", [
+    (MIT, ["MIT"], 3), (MIT.replace("\n", "\r\n"), ["MIT"], 3), (BSD_2, ["BSD-2-Clause"], 3), (BSD_3, ["BSD-3-Clause"], 4), (APACHE, ["Apache-2.0"], 4), (GPL, ["GPL-3.0-or-later"], 2),
+    ("// SPDX-License-Identifier: MIT\n#include <x.h>", ["MIT"], 1), ("# SPDX-License-Identifier: Apache-2.0\n\nimport x", ["Apache-2.0"], 1),
+    ("/* SPDX-License-Identifier: GPL-3.0-or-later */", ["GPL-3.0-or-later"], 1), ("SPDX-License-Identifier: MIT-0", [], 0),
+    ("a line\nReleased under the MIT License\nand another", ["MIT"], 1), ("It is not released under the MIT license.", [], 0),
+    ("Released under the ~ | MIT | license.", ["MIT"], 1), ("日本語。\n\nAll rights reserved.", ["LicenseRef-all-rights-reserved"], 1),
+])
+def test_wrapped_licences_headers_and_tags(spark, text, licences, sequence):
+    found = licenses.scan(documents(spark, [(1, text), (2, "Words before. " + text + "\n\nWords after.")])).orderBy("doc_id").collect()
+    assert [r.licences for r in found] == [licences] * 2 and [r.n_known for r in found] == [sequence] * 2
+
+
 # -- URLs --------------------------------------------------------------------------------------------------------------
 
 URL_RULES = (urls.HostRule("block", "net", "/"), urls.HostRule("allow", "example.net", "/en/"), urls.HostRule("allow", "org", "/fr/"))
@@ -284,6 +349,29 @@ def test_language_without_labels(spark):
     assert langid.predict(docs.limit(0), langid.fit(docs.limit(0), F.lit(True))).collect() == []
 
 
+def test_held_out_texts_leave_no_trace_in_the_model(spark):
+    r = random.Random(2)
+    say = lambda letters: " ".join("".join(r.choice(letters) for _ in range(5)) for _ in range(12))
+    rows = [(i, say("abcd" if i % 2 else "wxyz"), "one" if i % 2 else "two") for i in range(300)]
+    models = []
+    for changed in (lambda t: t, lambda t: "ÄÖÜ " + t[::-1], lambda t: None):
+        out = [(i, t if zlib.crc32(str(i).encode()) % 3 != 1 else changed(t), v) for i, t, v in rows] + [(1000, changed("no language"), None)]
+        models.append(langid.fit(spark.createDataFrame(out, "doc_id bigint, text string, lang string"), ~held_out("doc_id")))
+    for m in models[1:]:
+        assert (m.idf == models[0].idf).all() and (m.weights == models[0].weights).all() and m.temperature == models[0].temperature
+
+
+def test_a_rare_language_is_learnt_from_a_large_table(spark):
+    r = random.Random(6)
+    say = lambda letters: " ".join("".join(r.choice(letters) for _ in range(5)) for _ in range(20))
+    rows = [(i, say("abcdef" if i % 2 else "uvwxyz"), "one" if i % 2 else "two") for i in range(20_000)] + [(10**6 + i, say("жзийкл"), "rare") for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = langid.fit(docs, F.lit(True), max_labelled=300, least=50)
+    assert model.langs == ["one", "rare", "two"]
+    asked = documents(spark, [(1, say("жзийкл")), (2, say("abcdef")), (3, say("uvwxyz"))])
+    assert [x.lang_pred for x in langid.predict(asked, model).orderBy("doc_id").collect()] == ["rare", "one", "two"]
+
+
 def test_temperature_lowers_the_loss():
     r = np.random.default_rng(1)
     logits = r.normal(size=(500, 3))
@@ -380,6 +468,44 @@ def test_removed_bytes_equal_brute_force(spark, rows, slice_bytes):
     assert len(left.collect()) == len(rows) - sum(n > 0 and n == g for _, n, g, _, _ in want)
 
 
+def test_an_anchor_with_many_strings_is_ordered_in_several_collections(spark):
+    r = random.Random(8)
+    say = lambda n: "".join(r.choice("abcdefgh") for _ in range(n))
+    common = say(45)  # every text has it, in surroundings of its own or of a few others
+    around = [(say(30), say(30)) for _ in range(60)]
+    rows = [(i, say(20) + r.choice(around)[0] + common + r.choice(around)[1] + say(20)) for i in range(400)] + [(1000 + i, say(60) + common + say(60)) for i in range(100)]
+    got = suffix_dedup.measure(documents(spark, rows), collection_bytes=2_000)
+    assert sorted([tuple(x) for x in got.collect()], key=repr) == brute_removed(rows)
+    whole = suffix_dedup.measure(documents(spark, rows))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, whole.collect()))
+
+
+def test_collections_part_only_an_anchor_that_holds_too_much():
+    anchor, size, alone = np.array([1, 1, 2, 3, 3, 3, 3, 4, 5]), np.array([3, 3, 9, 4, 4, 4, 4, 2, 2]), np.array([0, 0, 1, 0, 0, 0, 0, 0, 0], bool)
+    assert [*suffix_dedup._collections(anchor, size, alone, 8)] == [[(0, 3)], [(3, 5), (5, 7)], [(7, 9)]]
+    assert [*suffix_dedup._collections(anchor, size, alone, 1)] == [[(0, 1), (1, 2)], [(3, 4), (4, 5), (5, 6), (6, 7)], [(7, 8)], [(8, 9)]]
+
+
+def test_more_slices_than_spark_allows_buckets_and_no_table_left_behind(spark, rows):
+    before = {t.name for t in spark.catalog.listTables()}
+    spark.conf.set("spark.sql.sources.bucketing.maxBuckets", "4")
+    try:
+        got = suffix_dedup.measure(documents(spark, rows, **CLASH), slice_bytes=10_000)
+        assert sorted([tuple(x) for x in got.collect()], key=repr) == brute_removed(rows)
+    finally:
+        spark.conf.unset("spark.sql.sources.bucketing.maxBuckets")
+    assert {t.name for t in spark.catalog.listTables()} == before
+
+
+def test_ids_above_the_whole_numbers_of_a_double_beside_null_ids(spark):
+    r = random.Random(1)
+    text = "".join(r.choice("abcdefgh") for _ in range(300))
+    big = 1 << 60
+    rows = [(big + 1, "x" + text), (big, "y" + text), (big + 2, "z" + text[100:]), (None, text), (None, None)]
+    got = suffix_dedup.measure(documents(spark, rows))
+    assert sorted([tuple(x) for x in got.collect()], key=repr) == brute_removed(rows)
+
+
 def test_removed_bytes_of_an_empty_table(spark):
     assert suffix_dedup.measure(documents(spark, [])).collect() == []
 
@@ -474,6 +600,21 @@ def test_prefixes_of_similar_texts_meet():
             assert set(minhash.prefix(a, count, 0.8)) & set(minhash.prefix(b, count, 0.8))
 
 
+def test_sketches_of_similar_texts_are_near():
+    r = np.random.default_rng(4)
+    most, far = minhash.differing(0.8), 0
+    for _ in range(60):
+        a = r.integers(0, 1 << 32, 400, dtype=np.uint32)
+        b = np.concatenate([a[:356], r.integers(0, 1 << 32, 44, dtype=np.uint32)])  # 356 of 444 in common
+        c = np.concatenate([a[:270], r.integers(0, 1 << 32, 130, dtype=np.uint32)])  # half in common
+        weighted = np.repeat(a, r.integers(1, 3, 400))
+        plain, heavy = minhash.sketches([np.sort(x) for x in (a, b, c, weighted)])
+        gap = lambda x, y: int(np.bitwise_count(x ^ y).sum())
+        assert gap(plain[0], plain[1]) <= most and gap(plain[0], plain[3]) == 0 and gap(heavy[0], heavy[3]) > 0
+        far += gap(plain[0], plain[2]) > most
+    assert far == 60
+
+
 def test_a_repeated_block_does_not_part_near_copies(spark):
     names = [f"v{i}" for i in range(200)]
     texts = [(i, " ".join(w)) for i, w in enumerate((names, names + names[:24] * 20, names[:100] + names[60:100] * 15 + names[100:], ["other", *names[:24]]))]
