@@ -14,7 +14,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from grainfold.functions.columns import stable_order
@@ -40,12 +40,16 @@ Kernel = Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]
 def block_join(
     queries: DataFrame, points: DataFrame, kernel: Kernel, schema: str, reach: float | None = None, k: int | None = None,
     broadcast_points: int = BROADCAST_POINTS, block: int = BLOCK, pivots: int = PIVOTS,
+    about: dict[str, Column] | None = None, choose: Callable | None = None,
 ) -> DataFrame:
     """Apply ``kernel(queries, points)`` to all block pairs that may lie within reach.
 
     Both sides have columns ``id`` and ``v`` (array of doubles), points may carry
     more. ``reach`` is a fixed distance; with ``k`` the reach of each query cell is
-    a proven bound on the distance to its k-th nearest point.
+    a proven bound on the distance to its k-th nearest point. Where neither says
+    which cells matter, ``choose(query cells, point cells, distances of pivots)``
+    gives the pairs; the cells have their number, their rows ``rows``, their radius
+    ``r`` and the aggregates ``about``.
     """
     spark = queries.sparkSession
     # The width of a row is taken as that of its vector; points may carry one more array of that width.
@@ -76,9 +80,11 @@ def block_join(
         return df.mapInPandas(assign, f"{fields}, cell int, gap double")
 
     q, p = placed(queries), placed(points)
-    q_cells, p_cells = (df.groupBy("cell").agg(F.count("*").alias("n"), F.max("gap").alias("r")).toPandas() for df in (q, p))
-    pairs = _cell_pairs(q_cells, p_cells, distances(centres, centres), reach, k)
-    blocks = lambda cells: {int(c): max(1, math.ceil(n / block)) for c, n in zip(cells["cell"], cells["n"])}
+    more = [c.alias(name) for name, c in (about or {}).items()]
+    q_cells, p_cells = (df.groupBy("cell").agg(F.count("*").alias("rows"), F.max("gap").alias("r"), *more).toPandas() for df in (q, p))
+    between = distances(centres, centres)
+    pairs = choose(q_cells, p_cells, between) if choose else _cell_pairs(q_cells, p_cells, between, reach, k)
+    blocks = lambda cells: {int(c): max(1, math.ceil(n / block)) for c, n in zip(cells["cell"], cells["rows"])}
     q_parts, p_parts = blocks(q_cells), blocks(p_cells)
     # At most `pivots` squared rows; the far more numerous block pairs are made next to the rows.
     near = spark.createDataFrame([(i, j, q_parts[i], p_parts[j]) for i, j in pairs], "qc int, pc int, qn int, pn int")
@@ -102,7 +108,7 @@ def block_join(
 def _cell_pairs(q_cells, p_cells, between, reach, k) -> list[tuple[int, int]]:
     """Pairs of cells whose smallest possible distance is within reach."""
     out = []
-    p_id, p_r, p_n = p_cells["cell"].to_numpy(), p_cells["r"].to_numpy(), p_cells["n"].to_numpy()
+    p_id, p_r, p_n = p_cells["cell"].to_numpy(), p_cells["r"].to_numpy(), p_cells["rows"].to_numpy()
     for i, rq in zip(q_cells["cell"], q_cells["r"]):
         d = between[int(i), p_id]
         limit = reach

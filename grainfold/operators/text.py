@@ -101,25 +101,79 @@ def vocabulary(columns: Sequence[str] = ()) -> list[str]:
     return sorted(words)
 
 
-def spelling_table(texts: DataFrame, text: str, words: Sequence[str]) -> DataFrame:
+# A word and its repair have a common subsequence of at least SIMILARITY / 2 of their letters together, so both become the same string
+# when some letters are deleted. Words of up to SHORT letters are found by all those strings; the deletions of longer ones would be
+# too many, but at most a bounded number of letters lies between them, so one of a few pieces of the word stands whole in the token.
+SHORT = 14
+_HALF = SIMILARITY / 2
+
+
+def _common(letters: Column) -> Column:
+    """The least common letters of two words with so many letters together."""
+    return F.ceil(letters * _HALF - 1e-9).cast("int")
+
+
+def _deletions(word: Column) -> Column:
+    """A word and what is left of it when letters are deleted, as many as a repair can need."""
+    n = F.length(word)
+    fewer = lambda w: F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, n)))
+    # the other word may consist of the common letters alone
+    most = F.floor(n * (1 - _HALF / (1 - _HALF)) + 1e-9).cast("int")
+    rounds = F.when(most > 0, F.sequence(F.lit(1), most)).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(rounds, F.array(word), lambda found, _: F.array_distinct(F.concat(found, F.flatten(F.transform(found, fewer)))))
+
+
+def _pieces(word: Column, length: Column) -> Column:
+    """(number, start, piece): the word of ``length`` letters cut into one piece more than letters can differ from a token."""
+    widest = F.floor(length * ((1 - _HALF) / _HALF) + 1e-9).cast("int")  # letters of the longest token
+    count = F.least(length, length + widest - 2 * _common(length + widest) + 2)  # the number goes up and down by one with the letters
+    cut = lambda i: F.floor(i * length / count).cast("int")
+    return F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.struct(
+        i.alias("number"), (cut(i) + 1).alias("start"), F.substring(word, cut(i) + 1, cut(i + 1) - cut(i)).alias("piece")))
+
+
+def spelling_candidates(tokens: DataFrame, words: DataFrame) -> DataFrame:
+    """(token, word): all pairs that can be similar enough, each once, by equality of strings; ``tokens`` (token), ``words`` (word)."""
+    length = F.length
+    left = tokens.where(length("token") <= SHORT).select("token", F.explode(_deletions(F.col("token"))).alias("_s"))
+    right = words.where(length("word") <= SHORT).select("word", F.explode(_deletions(F.col("word"))).alias("_s"))
+    short = left.join(right, "_s").where(length("_s") >= _common(length("token") + length("word"))).select("token", "word")
+    least = int((SHORT + 1) * _HALF / (1 - _HALF))  # letters of a word that a longer one can be similar to
+    index = words.where(length("word") >= least).select("word", length("word").alias("_n"), F.explode(_pieces(F.col("word"), length("word"))).alias("_p"))
+    index = index.select("word", "_n", "_p.number", "_p.piece")
+    n = length("token")
+    asked = tokens.where(n >= least).select("token", F.explode(F.sequence(F.ceil(n * (_HALF / (1 - _HALF)) - 1e-9).cast("int"), F.floor(n * ((1 - _HALF) / _HALF) + 1e-9).cast("int"))).alias("_n"))
+    asked = asked.where(F.greatest(n, F.col("_n")) > SHORT).withColumn("_d", n + F.col("_n") - 2 * _common(n + F.col("_n")))
+    # the pieces of any word of that length stand at the same places; in the token they may be shifted
+    places = asked.select("token", "_n", "_d", F.explode(_pieces(F.repeat(F.lit("-"), F.col("_n")), F.col("_n"))).alias("_p"))
+    start = F.explode(F.sequence(F.greatest(F.lit(1), F.col("_p.start") - F.col("_d")), F.greatest(F.lit(1), F.col("_p.start") + F.col("_d"))))
+    places = places.select("token", "_n", F.col("_p.number").alias("number"), F.length("_p.piece").alias("_l"), start.alias("_at"))
+    places = places.where(F.col("_at") + F.col("_l") - 1 <= n).select("token", "_n", "number", F.substring("token", F.col("_at"), F.col("_l")).alias("piece")).distinct()
+    return short.unionByName(places.join(index, ["_n", "number", "piece"]).select("token", "word")).distinct()
+
+
+def spelling_table(texts: DataFrame, text: str, words: Sequence[str] | DataFrame) -> DataFrame:
     """(token, target): unknown tokens of a text column and the word each should become.
 
-    Every distinct token is compared once, whatever the number of texts. The
-    comparison runs in batches next to the data.
+    Every distinct token is looked up once, whatever the number of texts, and
+    meets only the words that an index of strings brings to it, whatever the
+    number of words. Of these the most similar counts, of equals the greater one.
     """
-    known = list(words)
+    if not isinstance(words, DataFrame):
+        words = texts.sparkSession.createDataFrame([(w,) for w in words], "word string")
+    known = words.select(F.col(words.columns[0]).alias("word")).where("word IS NOT NULL").distinct()
     tokens = (
         texts.select(F.explode(F.regexp_extract_all(F.lower(ref(text)), F.lit(f"({_TOKEN})"), F.lit(0))).alias("token"))
-        .where(F.length("token") >= 4).distinct().where(~F.col("token").isin(*STOP_WORDS, *known))
+        .where((F.length("token") >= 4) & ~F.col("token").isin(*STOP_WORDS)).distinct()
     )
+    unknown = tokens.join(known, F.col("token") == F.col("word"), "left_anti")
 
-    def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def ratios(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            best = [difflib.get_close_matches(t, known, n=1, cutoff=SIMILARITY) for t in batch["token"]]
-            out = batch.assign(target=[b[0] if b else None for b in best])
-            yield out[out["target"].notna()]
+            yield batch.assign(ratio=[difflib.SequenceMatcher(None, w, t).ratio() for t, w in zip(batch["token"], batch["word"])])
 
-    return tokens.mapInPandas(nearest, "token string, target string")
+    measured = spelling_candidates(unknown, known).mapInPandas(ratios, "token string, word string, ratio double")
+    return measured.where(F.col("ratio") >= SIMILARITY).groupBy("token").agg(F.max_by("word", F.struct("ratio", "word")).alias("target"))
 
 
 def correct_spelling(texts: DataFrame, key: str, text: str, columns: Sequence[str] = ()) -> DataFrame:

@@ -246,7 +246,40 @@ def _(t):
     return text.resolve_follow_ups(t.conversations).select("conv_id", "turn", "follow_up", "intent")
 
 
-@query("txt_spell")
+def spelling_sql(columns: list[str]) -> str:
+    """Every unknown token beside every word: the longest common block, then the same on both sides of it, until nothing is common."""
+    words = ", ".join(f"('{w}')" for w in text.vocabulary(columns))
+    stop = ", ".join(f"'{w}'" for w in text.STOP_WORDS)
+    same = "list_transform(range(0, least(ahi - i, bhi - j)), lambda k: substr(w, i + k, 1) = substr(t, j + k, 1))"
+    letters = "list_sum(list_transform(list_distinct(string_split(w, '')), lambda c: least(length(w) - length(replace(w, c, '')), length(t) - length(replace(t, c, '')))))"
+    return f"""WITH RECURSIVE voc AS (SELECT w FROM (VALUES {words}) AS v(w)),
+    tok AS (SELECT DISTINCT t FROM (SELECT unnest(regexp_extract_all(lower(text), '[A-Za-z][A-Za-z0-9_]*')) AS t FROM conversations)
+            WHERE length(t) >= 4 AND t NOT IN ({stop}) AND t NOT IN (SELECT w FROM voc)),
+    pairs AS MATERIALIZED (SELECT t, w FROM tok JOIN voc ON 2.0 * least(length(t), length(w)) / (length(t) + length(w)) >= {text.SIMILARITY}
+              WHERE 2.0 * {letters} / (length(t) + length(w)) >= {text.SIMILARITY}),
+    blocks(t, w, alo, ahi, blo, bhi, got) AS (
+      SELECT t, w, 1::BIGINT, length(w) + 1, 1::BIGINT, length(t) + 1, 0::BIGINT FROM pairs
+      UNION ALL
+      SELECT t, w, CASE WHEN side = 0 THEN alo ELSE best[1] - best[2] END, CASE WHEN side = 0 THEN -best[2] ELSE ahi END,
+             CASE WHEN side = 0 THEN blo ELSE best[1] - best[3] END, CASE WHEN side = 0 THEN -best[3] ELSE bhi END, CASE WHEN side = 0 THEN best[1] ELSE 0 END
+      FROM (SELECT *, unnest([0, 1]) AS side FROM (
+        SELECT t, w, alo, ahi, blo, bhi, max([k, -i, -j]) AS best FROM (
+          SELECT *, coalesce(list_position({same}, false) - 1, least(ahi - i, bhi - j))::BIGINT AS k FROM (
+            SELECT *, unnest(range(blo, bhi)) AS j FROM (SELECT t, w, alo, ahi, blo, bhi, unnest(range(alo, ahi)) AS i FROM blocks WHERE alo < ahi AND blo < bhi)))
+        GROUP BY t, w, alo, ahi, blo, bhi) WHERE best[1] > 0)),
+    ratios AS (SELECT t, w, 2.0 * sum(got) / (length(t) + length(w)) AS ratio FROM blocks GROUP BY t, w),
+    fixes AS MATERIALIZED (SELECT t, arg_max(w, [ratio::VARCHAR, w]) AS target FROM (SELECT *, rank() OVER (PARTITION BY t ORDER BY ratio DESC) AS r FROM ratios WHERE ratio >= {text.SIMILARITY}) WHERE r = 1 GROUP BY t),
+    pieces AS (SELECT key, unnest(ps) AS p, generate_subscripts(ps, 1) AS i FROM (
+      SELECT concat(conv_id, '-', turn) AS key, regexp_extract_all(text, '[A-Za-z][A-Za-z0-9_]*|[^A-Za-z]+') AS ps FROM conversations)),
+    built AS (SELECT key, string_agg(CASE WHEN target IS NULL THEN p WHEN regexp_matches(p, '^[A-Z]') THEN concat(upper(target[1]), target[2:]) ELSE target END, '' ORDER BY i) AS fixed
+              FROM pieces LEFT JOIN fixes ON t = lower(p) GROUP BY key)
+    SELECT key, CASE WHEN text IS NOT NULL THEN coalesce(fixed, '') END AS corrected FROM (SELECT concat(conv_id, '-', turn) AS key, text FROM conversations) LEFT JOIN built USING (key)"""
+
+
+SPELLED = ["customer_segment", "total_price"]
+
+
+@query("txt_spell", spelling_sql(SPELLED))
 def _(t):
     keyed = t.conversations.select(F.concat_ws("-", "conv_id", "turn").alias("key"), "text")
-    return text.correct_spelling(keyed, "key", "text", ["customer_segment", "total_price"])
+    return text.correct_spelling(keyed, "key", "text", SPELLED)

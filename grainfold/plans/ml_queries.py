@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from grainfold.functions import columns as fc
 from grainfold.functions.columns import ref
 from grainfold.operators import cleaning
-from grainfold.operators.ml import cluster, discovery, graph, metrics, models, neighbors, policy, prep, semi, series
+from grainfold.operators.ml import cluster, discovery, graph, linkage, metrics, models, neighbors, policy, prep, semi, series
 from grainfold.operators.ml import train as tr
 from grainfold.operators.profile import Profile
 from grainfold.plans.base import Tables, query
@@ -446,6 +446,52 @@ def _(t):
     return cluster.hierarchical(clustered(t).drop("cluster"), 5).select("id", "cluster")
 
 
+def customers(t: Tables) -> DataFrame:
+    return t.customer.select(F.col("c_custkey").alias("id"), F.array(F.col("c_acctbal") / 1000, F.col("c_nationkey") / 2.0).alias("v"))
+
+
+def spanning_tree_sql(rounds: int = 11) -> str:
+    """The rounds of the spanning tree written out, for up to 2 ** rounds customers: every component takes its least way out."""
+    steps = ["p AS MATERIALIZED (SELECT c_custkey AS id, c_acctbal / 1000 AS x, c_nationkey / 2.0 AS y FROM customer)",
+             "e AS MATERIALIZED (SELECT a.id AS a, b.id AS b, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) AS d FROM p a JOIN p b ON a.id <> b.id)",
+             "c0 AS MATERIALIZED (SELECT id, id AS c FROM p)"]
+    for r in range(rounds):
+        steps += [
+            f"w{r} AS MATERIALIZED (SELECT s.c, min([d, least(a, b), greatest(a, b)]) AS w FROM e JOIN c{r} s ON s.id = a JOIN c{r} t ON t.id = b WHERE s.c <> t.c GROUP BY 1)",
+            f"o{r} AS MATERIALIZED (SELECT w.c, w, CASE WHEN lo.c = w.c THEN hi.c ELSE lo.c END AS other FROM w{r} w JOIN c{r} lo ON lo.id = w[2] JOIN c{r} hi ON hi.id = w[3])",
+            f"u{r}_0 AS MATERIALIZED (SELECT o.c, CASE WHEN back.w = o.w AND o.c < o.other THEN o.c ELSE o.other END AS up FROM o{r} o JOIN o{r} back ON back.c = o.other)",
+            *[f"u{r}_{i + 1} AS MATERIALIZED (SELECT a.c, b.up FROM u{r}_{i} a JOIN u{r}_{i} b ON b.c = a.up)" for i in range(rounds)],
+            f"c{r + 1} AS MATERIALIZED (SELECT id, coalesce(up, c.c) AS c FROM c{r} c LEFT JOIN u{r}_{rounds} u ON u.c = c.c)"]
+    found = " UNION ".join(f"SELECT w[1] AS d, w[2]::BIGINT AS a, w[3]::BIGINT AS b FROM w{r}" for r in range(rounds))
+    return ",\n".join([*steps, f"tree AS MATERIALIZED ({found})"])
+
+
+@query("clu_linkage_tree", f"WITH {spanning_tree_sql()} SELECT a, b, round(sqrt(d), 6) AS height FROM tree")
+def _(t):
+    return linkage.tree(customers(t), "single").select("a", "b", F.round("height", 6).alias("height"))
+
+
+@query("clu_linkage", f"""WITH RECURSIVE {spanning_tree_sql()},
+    cut AS MATERIALIZED (SELECT * FROM tree ORDER BY d DESC, a DESC, b DESC LIMIT 6),
+    kept AS MATERIALIZED (SELECT a, b FROM tree EXCEPT SELECT a, b FROM cut),
+    both_ways AS MATERIALIZED (SELECT a, b FROM kept UNION ALL SELECT b, a FROM kept),
+    reach(start, id) AS (SELECT DISTINCT a, a FROM (SELECT a FROM cut UNION SELECT b FROM cut) UNION SELECT start, b FROM reach JOIN both_ways ON a = id),
+    least AS (SELECT start, min(id) AS root FROM reach GROUP BY 1)
+    SELECT id, dense_rank() OVER (ORDER BY root) - 1 AS cluster FROM (SELECT id, min(root) AS root FROM reach JOIN least USING (start) GROUP BY 1)""")
+def _(t):
+    return linkage.agglomerative(customers(t), 7, "single")
+
+
+@query("clu_ward")
+def _(t):
+    return linkage.agglomerative(customers(t), 5, "ward")
+
+
+@query("clu_average")
+def _(t):
+    return linkage.agglomerative(vectors(t).select("id", "v"), 5, "average")
+
+
 @query("clu_metrics", """WITH p AS (SELECT label AS c, unnest(range(1, len(embedding) + 1)) AS i, unnest(CAST(embedding AS DOUBLE[])) AS x, vec_id FROM embeddings),
     m AS (SELECT c, i, avg(x) AS m FROM p GROUP BY 1, 2),
     s AS (SELECT c, avg(d) AS s FROM (SELECT p.c, vec_id, sqrt(sum((x - m) ** 2)) AS d FROM p JOIN m ON p.c = m.c AND p.i = m.i GROUP BY 1, 2) GROUP BY 1),

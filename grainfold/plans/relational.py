@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from grainfold.functions import columns as fc
 from grainfold.functions.columns import ref
-from grainfold.operators import frames, ordering, stats
+from grainfold.operators import frames, ordering, stats, windows
 from grainfold.operators.profile import Profile
 from grainfold.plans.base import Tables, query
 from grainfold.session import scratch_path
@@ -476,6 +476,38 @@ same_sql("win_sql", """
     FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)""", "orders")
 
 
+def framed_sql(excludes: dict[str, str], frame: str) -> str:
+    columns = ", ".join(f"round({fn}(o_totalprice) OVER (PARTITION BY o_orderpriority ORDER BY CAST(o_orderdate AS DATE) {frame} {exclude}), 2) AS {fn}_{name}"
+                        for name, exclude in excludes.items() for fn in ("sum", "count", "min", "max"))
+    return f"SELECT o_orderkey, {columns} FROM orders"
+
+
+def framed_orders(t, excludes: dict[str, str], start, end) -> DataFrame:
+    out = t.orders.select("o_orderkey", "o_orderpriority", "o_totalprice", F.col("o_orderdate").cast("date").alias("day"))
+    for name, exclude in excludes.items():
+        measures = {f"{fn}_{name}": (fn, "o_totalprice") for fn in ("sum", "count", "min", "max")}
+        out = windows.framed(out, measures, ["o_orderpriority"], ["day"], "groups", start, end, exclude.lower().removeprefix("exclude "))
+    return out.select("o_orderkey", *[F.round(f"{fn}_{name}", 2).alias(f"{fn}_{name}") for name in excludes for fn in ("sum", "count", "min", "max")])
+
+
+@query("win_groups", framed_sql({"near": ""}, "GROUPS BETWEEN 2 PRECEDING AND 1 FOLLOWING"))
+def _(t):
+    return framed_orders(t, {"near": "EXCLUDE NO OTHERS"}, -2, 1)
+
+
+@query("win_groups_open", framed_sql({"upto": ""}, "GROUPS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"))
+def _(t):
+    return framed_orders(t, {"upto": "EXCLUDE NO OTHERS"}, None, -1)
+
+
+EXCLUDES = {"others": "EXCLUDE CURRENT ROW", "groups": "EXCLUDE GROUP", "ties": "EXCLUDE TIES"}
+
+
+@query("win_exclude", framed_sql(EXCLUDES, "GROUPS BETWEEN 2 PRECEDING AND 1 FOLLOWING"))
+def _(t):
+    return framed_orders(t, EXCLUDES, -2, 1)
+
+
 # --- sorts, limits, samples ------------------------------------------------------------------
 
 @query("srt_topn", "SELECT o_custkey, round(sum(o_totalprice), 2) AS value FROM orders GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")

@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
 from grainfold.functions.columns import ref
 
@@ -128,24 +129,94 @@ def _spells(keyed: DataFrame, max_requests: int, width: int) -> tuple[DataFrame,
     return marks.where("_cut IS NOT NULL").select("_k", "_b", "_cut"), marks
 
 
+class _Admission(StatefulProcessor):
+    """One key of a stream: events wait until the watermark has passed them, and then come in the order of their time.
+
+    State is what waits and the admitted moments of one window. A single timer
+    stands at the next moment at which either changes; once the watermark has
+    left the last window behind, nothing of the key is kept.
+    """
+
+    def __init__(self, max_requests: int, width: int, order_type: str):
+        self.max_requests, self.width, self.order_type = max_requests, width, order_type
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.held = handle.getListState("held", "u bigint")
+        self.waiting = handle.getListState("waiting", f"u bigint, o {self.order_type}")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        first = None
+        for batch in rows:
+            if len(batch):
+                self.waiting.appendList([(int(u), o) for u, o in zip(batch["u"], batch["o"].tolist())])
+                first = min(int(batch["u"].min()), first if first is not None else int(batch["u"].max()))
+        timers = list(self.handle.listTimers())
+        if first is not None and (not timers or _millis(first) < min(timers)):
+            self._wake(timers, first)
+        yield pd.DataFrame()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        due, later = [], []
+        for u, o in self.waiting.get():
+            (due if u <= passed else later).append((u, o))
+        held = deque(u for (u,) in self.held.get())
+        due.sort()
+        results = [(key[0], o, u, *_admit(u, held, self.max_requests, self.width)) for u, o in due]
+        while held and held[0] <= passed - self.width:  # events to come are later than ``passed``
+            held.popleft()
+        for state, rows in ((self.held, [(u,) for u in held]), (self.waiting, later)):
+            state.put(rows) if rows else state.clear()
+        following = [min(later)[0]] if later else []
+        following += [held[-1] + self.width] if held else []
+        self._wake([t for t in self.handle.listTimers() if t > timerValues.getCurrentWatermarkInMs()], *following)
+        yield pd.DataFrame(results, columns=["k", "o", "u", "admitted", "remaining", "retry_after"])
+
+    def _wake(self, timers: list[int], *moments: int) -> None:
+        for t in timers:
+            self.handle.deleteTimer(t)
+        if moments:
+            self.handle.registerTimer(_millis(min(moments)))
+
+    def close(self) -> None:
+        pass
+
+
+def _millis(micros: int) -> int:
+    """The first millisecond at which a moment has passed."""
+    return -(-micros // 1000)
+
+
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def admit_stream(
-    events: DataFrame, key: str, ts: str, order: str, max_requests: int = MAX_REQUESTS, window_seconds: int = WINDOW_SECONDS,
+    events: DataFrame, key: str, ts: str, order: str, max_requests: int = MAX_REQUESTS, window_seconds: int = WINDOW_SECONDS, late: str = "10 minutes",
 ) -> DataFrame:
-    """The same filter over a stream; the state of a key is its admitted moments of one window."""
-    width = window_seconds * 1_000_000
-    held_events = events.select(ref(key).alias("k"), ref(order).cast("bigint").alias("o"), _micros(ref(ts)).alias("u"))
-
-    def run(group, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values(["u", "o"])  # the rows of one trigger
-        held = deque(state.get[0] if state.exists else ())
-        results = [_admit(int(u), held, max_requests, width) for u in rows["u"]]
-        state.update((list(held),))
-        if results:
-            rows["admitted"], rows["remaining"], rows["retry_after"] = zip(*results)
-            yield rows[["k", "o", "u", "admitted", "remaining", "retry_after"]]
-
-    return held_events.groupBy("k").applyInPandasWithState(
-        run, f"k bigint, o bigint, u bigint, {_OUT}", "held array<bigint>", "append", "NoTimeout")
+    """The same filter over a stream: key, order, ts and the verdict, the same rows that ``admit`` gives.
+
+    Events may come in any order. A verdict is given once the watermark, ``late``
+    behind the latest event, has passed the event; what comes later still is left
+    out, as everywhere behind a watermark. Events without a moment come back at
+    once with null results. The key has any type, null is a key; the state of a
+    key goes when its last window has passed.
+
+    The state lies in RocksDB; the session is set to it if it names no store of its own.
+    """
+    spark = events.sparkSession
+    setting = "spark.sql.streaming.stateStore.providerClass"
+    if "RocksDB" not in spark.conf.get(setting, ""):
+        spark.conf.set(setting, ROCKSDB)
+    types = {f.name: f.dataType.simpleString() for f in events.schema.fields}
+    named = events.select(ref(key).alias("k"), ref(order).alias("o"), ref(ts).alias("t"))
+    timed = named.where("t IS NOT NULL").withColumn("w", F.col("t").cast("timestamp")).withWatermark("w", late)
+    keyed = timed.select("k", "o", _micros(F.col("w")).alias("u"), "w")
+    out = keyed.groupBy("k").transformWithStateInPandas(
+        _Admission(max_requests, window_seconds * 1_000_000, types[order]), f"k {types[key]}, o {types[order]}, u bigint, {_OUT}", "Append", "EventTime")
+    done = out.select(F.col("k").alias(key), F.col("o").alias(order), F.timestamp_micros("u").cast(types[ts]).alias(ts), "admitted", "remaining", "retry_after")
+    nothing = [F.lit(None).cast(t).alias(n) for n, t in (part.split() for part in _OUT.split(", "))]
+    return done.unionByName(named.where("t IS NULL").select(F.col("k").alias(key), F.col("o").alias(order), F.col("t").alias(ts), *nothing))
 
 
 def window_hits_stream(events: DataFrame, key: str, ts: str, window_seconds: int = WINDOW_SECONDS, late: str = "10 minutes") -> DataFrame:

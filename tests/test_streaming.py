@@ -40,17 +40,45 @@ def test_hits(events):
         assert r["hits"] == sum(1 for x in rows if x["k"] == r["k"] and 0 <= (r["ts"] - x["ts"]).total_seconds() <= 40)
 
 
-def test_stream(spark, events, tmp_path):
-    path = str(tmp_path / "in")
-    # Time-ordered files, one per trigger.
-    for i, (a, b) in enumerate([(0, 700), (700, 1500)]):
-        events.where((F.col("o") >= a) & (F.col("o") < b)).drop("s").coalesce(1).write.mode("append").parquet(path)
-    stream = spark.readStream.schema(events.drop("s").schema).option("maxFilesPerTrigger", 1).parquet(path)
-    run = admission.admit_stream(stream, "k", "ts", "o", 5, 60).writeStream.format("memory").queryName("admitted").outputMode("append").start()
+def streamed(spark, events, path, files, **how):
+    """What the stream gives for rows dealt to some files, one per trigger; ``files`` are conditions on the rows."""
+    for where in files:
+        events.where(where).coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    name = f"admitted_{abs(hash(path))}"
+    run = admission.admit_stream(stream, "k", "ts", "o", **how).writeStream.format("memory").queryName(name).outputMode("append").start()
     run.processAllAvailable()
+    state = [p["stateOperators"][0]["numRowsTotal"] for p in run.recentProgress if p["stateOperators"]]
     run.stop()
-    got = {r["o"]: (r["admitted"], r["remaining"], r["retry_after"]) for r in spark.table("admitted").collect()}
-    assert got == plain(events, 5, 60)
+    return {r["o"]: (r["k"], r["ts"], r["admitted"], r["remaining"], r["retry_after"]) for r in spark.table(name).collect()}, state
+
+
+FAR = 10_000_000  # seconds after all events
+
+
+def test_stream_is_the_batch_whatever_the_order_of_arrival(spark, events, tmp_path):
+    late = F.pmod(F.xxhash64("o"), F.lit(4))  # rows of one moment come in different triggers
+    rows = events.where("o < 900").select("o", F.when(F.col("k") != 1, F.concat(F.lit("key "), "k")).alias("k"), "s", "ts")  # text keys and a null one
+    untimed = rows.where("o < 5").select((F.col("o") + 5000).alias("o"), "k", F.lit(None).cast("bigint").alias("s"), F.lit(None).cast("timestamp_ntz").alias("ts"))
+    last = spark.createDataFrame([(9999, "end", FAR)], "o bigint, k string, s bigint").withColumn("ts", F.timestamp_seconds("s").cast("timestamp_ntz"))
+    whole = rows.unionByName(untimed)
+    # the end comes as a trigger of its own, so that the watermark passes all others
+    files = [(late == i) & (F.coalesce("s", F.lit(0)) < FAR) for i in range(4)] + [F.col("s") == FAR]
+    got, state = streamed(spark, whole.unionByName(last).drop("_"), str(tmp_path / "in"), files, max_requests=5, window_seconds=60, late="2 days")
+    want = {r["o"]: (r["k"], r["ts"], r["admitted"], r["remaining"], r["retry_after"]) for r in admission.admit(whole, "k", "ts", "o", 5, 60).collect()}
+    assert got == want and any(v[0] is None for v in got.values()) and sum(v[2] is False for v in got.values()) > 10
+
+
+def test_verdicts_come_with_the_watermark_and_idle_keys_leave_no_state(spark, events, tmp_path):
+    path = str(tmp_path / "in")
+    ends = spark.createDataFrame([(9000 + i, 90 + i, FAR * (i + 1)) for i in range(2)], "o bigint, k bigint, s bigint").withColumn("ts", F.timestamp_seconds("s").cast("timestamp_ntz"))
+    rows = events.unionByName(ends)
+    files = [(F.col("s") < FAR) & (F.col("o") < 700), (F.col("s") < FAR) & (F.col("o") >= 700), F.col("s") == FAR, F.col("s") == 2 * FAR]
+    got, state = streamed(spark, rows, path, files, max_requests=5, window_seconds=60, late="1 minute")
+    want = plain(events, 5, 60)
+    assert {o: v[2:] for o, v in got.items() if o < 9000} == want
+    # at the end only the event that waits is kept, and its timer; keys without events in the window are gone
+    assert max(state) > 20 and state[-1] < 10
 
 
 def test_stream_hits(spark, events, tmp_path):
