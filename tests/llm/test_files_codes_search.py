@@ -194,7 +194,7 @@ def test_the_trie_shares_vectors_of_common_prefixes():
     trie = vector_codes.Trie(np.array([[0, 0, 0], [5, 5, 5]]))
     trie.nearest(np.array([[1, 2, 3]]))
     trie.path[2] += 1000  # mark the vector of the prefix (1, 2)
-    assert trie.nearest(np.array([[1, 2, 4]]))[1].tolist() == [1014]
+    assert trie.nearest(np.array([[1, 2, 4]]))[1].tolist() == [1021]
     assert trie.nearest(np.array([[1, 3, 0]]))[1].tolist() == [10]
 
 
