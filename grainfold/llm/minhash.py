@@ -209,14 +209,14 @@ def sketches(names: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return plain, weighted
 
 
-def differing(threshold: float) -> int:
-    """Bits in which the sketches of two texts at the threshold differ at most, but for one pair in three million."""
+def differing(threshold: float, deviations: float = 5) -> int:
+    """Bits in which the sketches of two texts at the threshold differ at most, but for one pair in three million (at five deviations)."""
     share = (1 - threshold) / 2  # half of the registers that differ agree in their bit
-    return math.ceil(BITS * share + 5 * math.sqrt(BITS * share * (1 - share)))
+    return math.ceil(BITS * share + deviations * math.sqrt(BITS * share * (1 - share)))
 
 
 def _sharing(names: DataFrame, owned: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) of different roots that share a shingle of their prefixes and whose sketches are near, each once; from (id, names) and (id, root).
+    """The pairs (a, b, gap) of different roots that share a shingle of their prefixes and whose sketches differ in ``gap`` bits, each once; from (id, names) and (id, root).
 
     Members of a shingle are compared inside of a task; a pair counts at the rarest shingle that both hold, and only pairs that can be links leave the task.
     """
@@ -275,13 +275,13 @@ def _sharing(names: DataFrame, owned: DataFrame, threshold: float) -> DataFrame:
             b = right[right > a] if i == j else right
             b = b[root[b] != root[a]]
             if len(b):
-                near = (np.bitwise_count(bits[b] ^ bits[a]).sum(axis=2, dtype=np.int64) <= most).any(axis=1)
-                out += [(a, x) for x in b[near] if _first(about[a], about[x]) == name]
+                gap = np.bitwise_count(bits[b] ^ bits[a]).sum(axis=2, dtype=np.int64).min(axis=1)
+                out += [(a, x, g) for x, g in zip(b[gap <= most], gap[gap <= most]) if _first(about[a], about[x]) == name]
         if out:
-            ends = [(min(ids[a], ids[b]), max(ids[a], ids[b])) for a, b in out]
-            yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in ends], rows.schema.field("id").type) for k in (0, 1)], names=["a", "b"])
+            ends = [(min(ids[a], ids[b]), max(ids[a], ids[b])) for a, b, _ in out]
+            yield pa.RecordBatch.from_arrays([*[pa.array([e[k] for e in ends], rows.schema.field("id").type) for k in (0, 1)], pa.array([g for *_, g in out], pa.int64())], names=["a", "b", "gap"])
 
-    pairs = keep_in_folder(dealt.mapInArrow(compare, f"a {id_type}, b {id_type}"), "sharing")
+    pairs = keep_in_folder(dealt.mapInArrow(compare, f"a {id_type}, b {id_type}, gap bigint"), "sharing")
     discard(rows)
     return pairs
 
@@ -333,8 +333,8 @@ class _Proof:
         self._make(ids)
         return self.names.join(ids, "id", "left_semi")
 
-    def __call__(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) whose similarity reaches the threshold, as a table."""
+    def __call__(self, pairs: DataFrame, sketched: bool = False) -> DataFrame:
+        """The pairs (a, b) whose similarity reaches the threshold, as a table; ``sketched`` pairs have been compared by more than their signatures."""
         agree, threshold = int((self.threshold - MARGIN) * REGISTERS), self.threshold
 
         @tidy
@@ -357,7 +357,7 @@ class _Proof:
             return rows.join(of("b"), "b").join(of("a"), "a").select("a", "b", f"{what}_a", f"{what}_b")
 
         schema = f"a {self.id_type}, b {self.id_type}"
-        near = keep_narrow(beside(pairs, self.signed, "sig").mapInArrow(could, schema), "near-pairs")
+        near = keep_narrow(pairs if sketched else beside(pairs, self.signed, "sig").mapInArrow(could, schema), "near-pairs")
         self._make(near.select(F.col("a").alias("id")).unionByName(near.select(F.col("b").alias("id"))).distinct())
         met = keep_narrow(beside(near, self.names, "names").mapInArrow(meet, schema), "links")
         discard(near)
@@ -371,9 +371,9 @@ def linked(kept: DataFrame, signed: DataFrame, threshold: float = THRESHOLD) ->
     """
     proof, found, roots, rooted = _Proof(kept, signed, threshold), None, None, 0
 
-    def add(pairs: DataFrame) -> bool:
+    def add(pairs: DataFrame, sketched: bool = False) -> bool:
         nonlocal found, roots, rooted
-        new = proof(pairs)
+        new = proof(pairs, sketched)
         if found is not None and new.isEmpty():
             discard(new)
             return False
@@ -411,7 +411,12 @@ def linked(kept: DataFrame, signed: DataFrame, threshold: float = THRESHOLD) ->
     if not large.isEmpty():
         owned = large.join(sent(roots.withColumnRenamed("node", "id"), rooted), "id", "left").select("id", F.coalesce("root", "id").alias("root"))
         pairs = _sharing(proof.names_of(large), owned, threshold)
-        add(pairs)
+        # The likely links first: what they join needs no further look.
+        likely = differing(threshold, 1)
+        add(pairs.where(F.col("gap") <= likely).select("a", "b"), True)
+        root = lambda end: sent(roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), rooted)
+        rest = pairs.where(F.col("gap") > likely).join(root("a"), "a", "left").join(root("b"), "b", "left")
+        add(rest.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b"), True)
         discard(pairs)
     discard(large, *proof.written)
     return found, roots
