@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from itertools import combinations
 
 from pyspark.ml.feature import VectorAssembler
@@ -103,15 +105,15 @@ SCAN_SCHEMA = ("target string, task string, primary_metric string, test_score do
                "n_features int, leaky boolean, driver string, error string")
 
 
-def scan(df: DataFrame, key: list[str], max_targets: int | None = None, cv_folds: int = 3, params: dict[str, dict] | None = None) -> DataFrame:
+PARALLEL = 6  # targets whose models are fitted at the same time; on small tables a single model leaves most cores idle
+
+
+def scan(df: DataFrame, key: list[str], max_targets: int | None = None, cv_folds: int = 3, params: dict[str, dict] | None = None, parallel: int = PARALLEL) -> DataFrame:
     """One row per viable target with its reachable score and leak check; best first, failures last."""
     held = df.persist()
     profile = Profile(held)
-    rows = []
-    for r in viable_targets(profile, max_targets).collect():
-        target = r["target"]
-        if target in key:
-            continue
+
+    def one(target: str) -> dict:
         entry = {"target": target, "leaky": False}
         try:
             plan = prep.make_plan(held, target, profile=profile, features=[c for c in df.columns if c not in key])
@@ -124,7 +126,11 @@ def scan(df: DataFrame, key: list[str], max_targets: int | None = None, cv_folds
                       "cv_std": top.get("cv_std"), "best_model": model, "n_features": len(plan.features), "leaky": leaky, "driver": driver}
         except Exception as e:  # noqa: BLE001 - one bad target must not end the scan
             entry["error"] = str(e)[:200]
-        rows.append(entry)
+        return entry
+
+    targets = [r["target"] for r in viable_targets(profile, max_targets).collect() if r["target"] not in key]
+    with ThreadPoolExecutor(max_workers=parallel) as pool:
+        rows = list(pool.map(one, targets))
     rows.sort(key=lambda e: ("error" in e, -(e.get("test_score") or 0.0)))
     names = [f.split()[0] for f in SCAN_SCHEMA.split(", ")]
     held.unpersist()

@@ -19,6 +19,7 @@ from grainfold.operators.ml import metrics, models, prep
 from grainfold.operators.ml.prep import Plan, TrainingError
 
 TOP = 3
+ROWS_A_PART = 20_000
 GRID_LIMIT = 48
 LEARNING_SHARES = (0.1, 0.325, 0.55, 0.775, 1.0)
 BOARD_SCHEMA = (
@@ -52,7 +53,8 @@ def prepare(df: DataFrame, plan: Plan, key: list[str], share: float = 0.8) -> Pr
         raise TrainingError(f"need at least {prep.MIN_ROWS} labelled rows to train models")
     train = rows.where("is_train")
     pipeline = prep.preprocessor(train, plan).fit(train)
-    ready = pipeline.transform(rows).select(*[ref(k) for k in key], "features", "label", "is_train").persist()
+    ready = pipeline.transform(rows).select(*[ref(k) for k in key], "features", "label", "is_train")
+    ready = ready.coalesce(max(1, -(-n // ROWS_A_PART))).persist()  # a model runs hundreds of jobs over these rows: no more tasks than they ask for
     n_train = ready.where("is_train").count()
     return Prepared(plan, key, rows, pipeline, ready.where("is_train").drop("is_train"), ready.where("NOT is_train").drop("is_train"), n_train)
 
@@ -77,7 +79,7 @@ def cross_validate(data: Prepared, key: str, params: dict | None = None, folds:
     for f in range(folds):
         inside, outside = rows.where(F.col("_fold") != f), rows.where(F.col("_fold") == f)
         pipeline = prep.preprocessor(inside, data.plan).fit(inside)
-        model = models.build(key, data.n_train, data.classes, params).fit(pipeline.transform(inside))
+        model = models.build(key, data.n_train, data.classes, params).fit(pipeline.transform(inside).coalesce(max(1, -(-data.n_train // ROWS_A_PART))))
         scores.append(evaluate(model.transform(pipeline.transform(outside)), data.plan, area=False).get(data.plan.primary, 0.0))
     mean = sum(scores) / folds
     return mean, (sum((s - mean) ** 2 for s in scores) / folds) ** 0.5

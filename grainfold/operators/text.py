@@ -145,11 +145,14 @@ def spelling_candidates(tokens: DataFrame, words: DataFrame) -> DataFrame:
     asked = tokens.where(n >= least).select("token", F.explode(F.sequence(F.ceil(n * (_HALF / (1 - _HALF)) - 1e-9).cast("int"), F.floor(n * ((1 - _HALF) / _HALF) + 1e-9).cast("int"))).alias("_n"))
     asked = asked.where(F.greatest(n, F.col("_n")) > SHORT).withColumn("_d", n + F.col("_n") - 2 * _common(n + F.col("_n")))
     # the pieces of any word of that length stand at the same places; in the token they may be shifted
-    places = asked.select("token", "_n", "_d", F.explode(_pieces(F.repeat(F.lit("-"), F.col("_n")), F.col("_n"))).alias("_p"))
+    shape = asked.withColumn("_ps", _pieces(F.repeat(F.lit("-"), F.col("_n")), F.col("_n")))
+    # a letter that differs spoils one piece at most: the others stand whole
+    places = shape.select("token", "_n", "_d", F.greatest(F.lit(1), F.size("_ps") - F.col("_d")).alias("_need"), F.explode("_ps").alias("_p"))
     start = F.explode(F.sequence(F.greatest(F.lit(1), F.col("_p.start") - F.col("_d")), F.greatest(F.lit(1), F.col("_p.start") + F.col("_d"))))
-    places = places.select("token", "_n", F.col("_p.number").alias("number"), F.length("_p.piece").alias("_l"), start.alias("_at"))
-    places = places.where(F.col("_at") + F.col("_l") - 1 <= n).select("token", "_n", "number", F.substring("token", F.col("_at"), F.col("_l")).alias("piece")).distinct()
-    return short.unionByName(places.join(index, ["_n", "number", "piece"]).select("token", "word")).distinct()
+    places = places.select("token", "_n", "_need", F.col("_p.number").alias("number"), F.length("_p.piece").alias("_l"), start.alias("_at"))
+    places = places.where(F.col("_at") + F.col("_l") - 1 <= n).select("token", "_n", "_need", "number", F.substring("token", F.col("_at"), F.col("_l")).alias("piece")).distinct()
+    whole = places.join(index, ["_n", "number", "piece"]).groupBy("token", "word", "_need").agg(F.count_distinct("number").alias("_whole"))
+    return short.unionByName(whole.where("_whole >= _need").select("token", "word")).distinct()
 
 
 def spelling_table(texts: DataFrame, text: str, words: Sequence[str] | DataFrame) -> DataFrame:

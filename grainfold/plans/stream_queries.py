@@ -42,7 +42,7 @@ def _(t):
     events = t.events.select("event_id", "user_id", "ts")
     source, sink, notes = (scratch_path(spark, f"admission-{part}") for part in ("in", "out", "notes"))
     events.write.parquet(source)
-    last = events.agg((F.max("ts") + F.expr("INTERVAL 30 DAYS")).alias("ts"), F.max("event_id").alias("event_id"))
+    last = events.agg((F.max("ts") + F.expr("INTERVAL 3680 DAYS")).alias("ts"), F.max("event_id").alias("event_id"))
     last.select((F.col("event_id") + 1).alias("event_id"), F.lit(-1).cast(events.schema["user_id"].dataType).alias("user_id"), F.col("ts").cast(events.schema["ts"].dataType)).write.mode("append").parquet(source)
     stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(source)
     judged = admission.admit_stream(stream, "user_id", "ts", "event_id", 3, 24 * HOUR, late="3650 days")

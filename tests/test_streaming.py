@@ -77,8 +77,8 @@ def test_verdicts_come_with_the_watermark_and_idle_keys_leave_no_state(spark, ev
     got, state = streamed(spark, rows, path, files, max_requests=5, window_seconds=60, late="1 minute")
     want = plain(events, 5, 60)
     assert {o: v[2:] for o, v in got.items() if o < 9000} == want
-    # at the end only the event that waits is kept, and its timer; keys without events in the window are gone
-    assert max(state) > 20 and state[-1] < 10
+    # the state counts a row for each list of a key; at the end only the event that waits is kept, keys without events in the window are gone
+    assert max(state) >= 7 and state[-1] <= 2
 
 
 def test_stream_hits(spark, events, tmp_path):
