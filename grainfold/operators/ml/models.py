@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from grainfold.operators.ml import neighbors
+from grainfold.operators.ml.boosting import AdaBoostR2
+from grainfold.operators.ml.kernels import KernelMachine
 from grainfold.session import cut_lineage
 
 SEED = 42
@@ -248,6 +250,10 @@ def _svc(classes: int, **kw):
     return model if classes == 2 else C.OneVsRest(**_cols(classifier=model, parallelism=4))
 
 
+def _rbf(linear: Callable[..., object], gamma: float | None = None, size: int = 300, **kw) -> KernelMachine:
+    return KernelMachine(linear(**kw), gamma, size)
+
+
 @dataclass(frozen=True)
 class Spec:
     key: str
@@ -272,6 +278,7 @@ for _s in (
     Spec("gradient_boosting_clf", "Gradient Boosting", _CLF, lambda n, c, **kw: GradientBoosting(c, **{"maxIter": 100, "maxDepth": 3, "stepSize": 0.1, **kw}), ("tree",)),
     Spec("adaboost_clf", "AdaBoost", _CLF, lambda n, c, **kw: AdaBoost(c, **kw), ("tree",)),
     Spec("svm_clf", "Linear SVM", _CLF, lambda n, c, **kw: _svc(c, **kw), ("linear",)),
+    Spec("svm_rbf_clf", "SVM (RBF)", _CLF, lambda n, c, **kw: _rbf(lambda **own: _svc(c, **own), **kw), ("distance",)),
     Spec("knn_clf", "k-Nearest Neighbours", _CLF, lambda n, c, **kw: Knn(c, **kw), ("distance",)),
     Spec("naive_bayes", "Gaussian Naive Bayes", _CLF, lambda n, c, **kw: C.NaiveBayes(**_cols(modelType="gaussian", **kw)), ("bayes",)),
     Spec("linear_regression", "Linear Regression", _REG, lambda n, c, **kw: R.LinearRegression(**_cols(**kw)), ("linear",)),
@@ -282,6 +289,8 @@ for _s in (
     Spec("decision_tree_reg", "Decision Tree", _REG, lambda n, c, **kw: R.DecisionTreeRegressor(**_cols(seed=SEED, **{"maxDepth": 10, **kw})), ("tree",)),
     Spec("random_forest_reg", "Random Forest", _REG, lambda n, c, **kw: R.RandomForestRegressor(**_cols(seed=SEED, **{"numTrees": 200, "maxDepth": 10, **kw})), ("tree",)),
     Spec("gradient_boosting_reg", "Gradient Boosting", _REG, lambda n, c, **kw: R.GBTRegressor(**_cols(seed=SEED, **{"maxIter": 100, "maxDepth": 3, "stepSize": 0.1, **kw})), ("tree",)),
+    Spec("adaboost_reg", "AdaBoost", _REG, lambda n, c, **kw: AdaBoostR2(**kw), ("tree",)),
+    Spec("kernel_ridge", "Kernel Ridge (RBF)", _REG, lambda n, c, **kw: _rbf(lambda **own: R.LinearRegression(**_cols(**{"regParam": 1.0 / max(n, 1), "elasticNetParam": 0.0, "standardization": False, **own})), **kw), ("distance",)),
     Spec("knn_reg", "k-Nearest Neighbours", _REG, lambda n, c, **kw: Knn(0, **kw), ("distance",)),
 ):
     register(_s)

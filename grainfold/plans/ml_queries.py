@@ -149,7 +149,8 @@ for _name, _key, _table in (
     ("ml_forest_clf", "random_forest_clf", "docs"), ("ml_forest_reg", "random_forest_reg", "parts"), ("ml_gbt_clf", "gradient_boosting_clf", "docs"),
     ("ml_gbt_reg", "gradient_boosting_reg", "parts"), ("ml_adaboost_clf", "adaboost_clf", "docs"), ("ml_svc_linear", "svm_clf", "docs"),
     ("ml_gnb", "naive_bayes", "docs"), ("ml_linear", "linear_regression", "parts"), ("ml_ridge", "ridge", "parts"), ("ml_lasso", "lasso", "parts"),
-    ("ml_enet", "elastic_net", "parts"), ("ml_knn_reg", "knn_reg", "parts"),
+    ("ml_enet", "elastic_net", "parts"), ("ml_knn_reg", "knn_reg", "parts"), ("ml_adaboost_reg", "adaboost_reg", "parts"),
+    ("ml_svc_rbf", "svm_rbf_clf", "docs"), ("ml_kernel_ridge", "kernel_ridge", "parts"),
 ):
     fit_one(_name, _key, _table)
 
