@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -63,10 +64,25 @@ def held_out(id_column: str) -> F.Column:
     return F.crc32(F.col(id_column).cast("string").cast("binary")) % 3 == 1
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_dropped(spark: SparkSession):
+    """Shuffle files of a table written inside go as soon as it is written, instead of when the driver next collects garbage."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+
+
 def keep_in_folder(df: DataFrame, name: str) -> DataFrame:
     """Write a table below the shared folder and go on from its files, so lost executors cost no recomputation."""
     path = scratch_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    with shuffles_dropped(df.sparkSession):
+        df.write.option("compression", "zstd").parquet(path)
     kept = df.sparkSession.read.schema(df.schema).parquet(path)
     kept._folder = path  # for discard
     return kept
