@@ -54,6 +54,21 @@ def test_quantiles_agree(spark):
             assert np.allclose(got[g], q)
 
 
+def test_ranked_quantiles_leave_no_column_to_one_task(spark, monkeypatch):
+    random.seed(4)
+    rows = [("hot" if i % 3 else f"g{i % 50}", random.choice([random.gauss(0, 9), float(i % 5), float("nan"), None])) for i in range(2000)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    probs = [0.0, 0.25, 0.5, 0.9, 1.0]
+    plan = stats.quantiles(df, {"v": ref("v")}, probs, distinct_limit=0)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan  # else all values of a column meet at one key
+    want = {by: stats.quantiles(df, {"v": ref("v")}, probs, by).orderBy(*(by or ("v",))).collect() for by in ((), ("g",))}
+    for few in (2000, 0):  # the second time rows and groups meet by group and salt
+        monkeypatch.setattr(stats, "_FEW_GROUPS", few)
+        for by, rows in want.items():
+            got = stats.quantiles(df, {"v": ref("v")}, probs, by, distinct_limit=0, bins=8).orderBy(*(by or ("v",))).collect()
+            assert [r[:-1] for r in got] == [r[:-1] for r in rows] and np.allclose([r["v"] for r in got], [r["v"] for r in rows], equal_nan=True)
+
+
 def test_correlations(spark):
     random.seed(5)
     rows = [(float(i), random.random(), None if i % 4 == 0 else float(i * 2 + random.random()), 3.5) for i in range(200)]
