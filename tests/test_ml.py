@@ -102,6 +102,32 @@ def test_neighbours_by_blocks_and_broadcast(blobs):
             assert got[i] == [j for _, j in want]
 
 
+def test_a_row_goes_to_few_tasks_however_small_the_blocks(blobs):
+    rows = blobs.select("id", "v")
+
+    def kernel(a, b):
+        assert len(a) <= 2 and len(b) <= 2
+        return a[["id"]]
+
+    seen = neighbors.block_join(rows, rows, kernel, "id bigint", reach=1e9, broadcast_points=0, block=2, pivots=6, fold=lambda x: x.drop_duplicates())
+    n = rows.count()
+    assert n <= seen.count() <= 2 * neighbors.GROUPS * n  # pairs of blocks were n / 2 for every row
+
+
+def test_box_search_is_brute_force(monkeypatch):
+    monkeypatch.setattr(neighbors, "LEAF", 4)
+    random = np.random.default_rng(1)
+    a, b = random.integers(0, 4, (30, 2)).astype(float), random.integers(0, 4, (50, 2)).astype(float)
+    b[7], ids = np.nan, np.arange(50)
+    for own in (None, np.arange(30)):
+        found = {}
+        for i, j, d in zip(*neighbors._search(a, b, 6, own, ids)):
+            found.setdefault(int(i), []).append((round(float(d), 9), int(j)))
+        for i in range(30):
+            near = sorted((round(float(np.linalg.norm(a[i] - b[j])), 9), j) for j in range(50) if j != 7 and not (own is not None and i == j))
+            assert sorted(found[i]) == near[:6]
+
+
 def test_density_clusters(blobs):
     for settings in ({}, BLOCKS):
         got = {r["id"]: r["cluster"] for r in graph.dbscan(blobs.select("id", "v"), 1.5, 5, **settings).collect()}
