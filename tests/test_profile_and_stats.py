@@ -69,6 +69,16 @@ def test_ranked_quantiles_leave_no_column_to_one_task(spark, monkeypatch):
             assert [r[:-1] for r in got] == [r[:-1] for r in rows] and np.allclose([r["v"] for r in got], [r["v"] for r in rows], equal_nan=True)
 
 
+def test_many_distinct_values_meet_in_no_map_of_one_task(spark):
+    df = spark.range(150_000).select((F.col("id") * 7 % 150_001).cast("double").alias("v"))
+    found = stats.quantiles(df, {"v": ref("v")}, [0.25, 0.5])
+    assert " percentile(" not in found._jdf.queryExecution().optimizedPlan().toString()
+    want = np.quantile([i * 7 % 150_001 for i in range(150_000)], [0.25, 0.5])
+    assert np.allclose(found.first()["v"], want)
+    row = Profile(df).rows[0]
+    assert row["unique"] == 150_000 and [row["q1"], row["median"]] == list(want)
+
+
 def test_correlations(spark):
     random.seed(5)
     rows = [(float(i), random.random(), None if i % 4 == 0 else float(i * 2 + random.random()), 3.5) for i in range(200)]
