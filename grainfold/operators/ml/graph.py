@@ -33,58 +33,97 @@ def connected_components(edges: DataFrame, nodes: DataFrame, max_rounds: int = 1
     raise RuntimeError("components did not settle")
 
 
+def _spot(eps: float):
+    """Cell of a grid in which any two points lie within ``eps``; null where a coordinate has no safe cell."""
+    side = F.lit(0.999 * eps) / F.sqrt(F.greatest(F.size("v"), F.lit(1)))
+    return F.when(F.forall("v", lambda x: F.abs(x / side) < 1e12), F.transform("v", lambda x: F.floor(x / side)))
+
+
 def dbscan(points: DataFrame, eps: float = 0.5, min_points: int = 5, **settings) -> DataFrame:
     """(id, cluster): density clusters of ``points`` (id, v); -1 is noise, clusters are numbered by smallest member.
 
-    Neighbour counts, local groups and contacts between groups are found inside
-    blocks; only the group graph, which is far smaller than the points, is iterated.
+    Points of one grid cell that fits within ``eps`` need no comparison: a cell of
+    ``min_points`` is dense, its core points are one node of the group graph. Only points of other
+    cells are counted, up to ``min_points``; contacts are looked for between leaves
+    that are near and not yet joined. Only the graph of cells is iterated.
     """
     def count(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        d = distances(matrix(a["v"]), matrix(b["v"]))
-        return pd.DataFrame({"id": a["id"], "n": (d <= eps).sum(1)})
+        va, vb = matrix(a["v"]), matrix(b["v"])
+        n = np.zeros(len(a), dtype="int64")
+        for rows, near in neighbors.near_leaves(va, vb, eps):
+            for leaf in near:
+                rows = rows[n[rows] < min_points]
+                if not len(rows):
+                    break
+                n[rows] += (distances(va[rows], vb[leaf]) <= eps).sum(1)
+        return pd.DataFrame({"id": a["id"], "n": n})
 
     id_type = dict(points.dtypes)["id"]
     noise = id_type if id_type == "string" else "bigint"
-    near = neighbors.block_join(points, points, count, f"id {id_type}, n bigint", reach=eps, fold=lambda x: x.groupby("id", as_index=False)["n"].sum(), **settings)
-    core_ids = near.groupBy("id").agg(F.sum("n").alias("n")).where(F.col("n") >= min_points).select("id")
-    core = cut_lineage(points.join(core_ids, "id"))
+    placed = points.select("id", "v", (_spot(eps) if eps > 0 else F.lit(None).cast("array<bigint>")).alias("spot"))
+    full = placed.where("spot IS NOT NULL").groupBy("spot").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_points).select("spot", F.lit(True).alias("_full"))
+    placed = cut_lineage(placed.join(full, "spot", "left").select("id", "v", "spot", F.col("_full").isNotNull().alias("full")))
+    alone = placed.where("NOT full").select("id", "v")
+    near = neighbors.block_join(alone, points, count, f"id {id_type}, n bigint", reach=eps, whole_groups=True, **settings)
+    counted = near.groupBy("id").agg(F.sum("n").alias("n")).where(F.col("n") >= min_points).select("id")
+    core_ids = cut_lineage(counted.unionByName(placed.where("full").select("id")).where("id IS NOT NULL").distinct())
+    held = placed.join(core_ids, "id")
+    # A node is the least id of the core points of a cell, or the id where there is no cell.
+    nodes = held.where("spot IS NOT NULL").groupBy("spot").agg(F.min("id").alias("_least"))
+    core = cut_lineage(held.join(nodes, "spot", "left").select("id", "v", F.coalesce("_least", "id").alias("node")))
     if core.isEmpty():
         return points.select("id", F.lit(-1).cast(noise).alias("cluster"))
 
     def contacts(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        """A spanning set of contacts: enough edges to join what touches, not all pairs."""
-        d = distances(matrix(a["v"]), matrix(b["v"])) <= eps
-        r, c = np.nonzero(d)
-        return spanning(pd.DataFrame({"a": a["id"].to_numpy()[r], "b": b["id"].to_numpy()[c]}))
-
-    def spanning(edges: pd.DataFrame) -> pd.DataFrame:
-        names, which = np.unique(np.concatenate([edges["a"].to_numpy(), edges["b"].to_numpy()]), return_inverse=True)
-        x, y = which[: len(edges)], which[len(edges) :]
-        root = np.arange(len(names))
-        while True:  # the least name of each group, for all contacts at once
+        """A spanning set of contacts between nodes: enough edges to join what touches, not all pairs."""
+        va, vb = matrix(a["v"]), matrix(b["v"])
+        names, which = np.unique(np.concatenate([a["node"].to_numpy(), b["node"].to_numpy()]), return_inverse=True)
+        x, y, root = which[: len(a)], which[len(a) :], np.arange(len(names))
+        for rows, near in neighbors.near_leaves(va, vb, eps):
+            for leaf in near:
+                mine, other = root[x[rows]], root[y[leaf]]
+                if mine[0] == other[0] and (mine == mine[0]).all() and (other == mine[0]).all():
+                    continue  # one group already
+                r, c = np.nonzero(distances(va[rows], vb[leaf]) <= eps)
+                linked = np.unique(mine[r] * len(names) + other[c])
+                root = joined(root, linked // len(names), linked % len(names))
+        other = np.flatnonzero(root != np.arange(len(names)))
+        return pd.DataFrame({"a": names[other], "b": names[root[other]]})
+
+    def joined(root: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Roots after the edges (x, y): the least name of each group, for all edges at once."""
+        if (root[x] == root[y]).all():
+            return root
+        while True:
             low = np.minimum(root[x], root[y])
             after = root.copy()
             np.minimum.at(after, root[x], low)
             np.minimum.at(after, root[y], low)
             after = after[after]
             if (after == root).all():
-                break
+                return root
             root = after
-        other = np.flatnonzero(root != np.arange(len(names)))
-        return pd.DataFrame({"a": names[other], "b": names[root[other]]})
 
-    edges = neighbors.block_join(core, core, contacts, f"a {id_type}, b {id_type}", reach=eps, fold=spanning, **settings)
-    groups = cut_lineage(connected_components(edges, core.select(F.col("id").alias("node"))))
-    marked = core.join(groups, F.col("id") == F.col("node")).select("id", "v", F.col("component").alias("cluster"))
+    edges = neighbors.block_join(core, core, contacts, f"a {id_type}, b {id_type}", reach=eps, whole_groups=True, **settings)
+    # Rows that share an id are one point of the graph, wherever they lie.
+    spread = core.groupBy("id").agg(F.collect_set("node").alias("_s")).where(F.size("_s") > 1)
+    edges = edges.unionByName(spread.select(F.col("_s")[0].alias("a"), F.explode("_s").alias("b")).where("a <> b"))
+    groups = cut_lineage(connected_components(edges, core.select("node").distinct()))
+    marked = cut_lineage(core.join(groups, "node").select("id", "v", F.col("component").alias("cluster")))
 
     def touch(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        d = distances(matrix(a["v"]), matrix(b["v"])) <= eps
         order = np.argsort(b["cluster"].to_numpy(), kind="stable")  # ids keep their type: the first of the sorted clusters that touches
-        held = d[:, order]
-        return pd.DataFrame({"id": a["id"], "cluster": b["cluster"].to_numpy()[order][held.argmax(1)]})[held.any(1)]
-
-    edge = points.join(core_ids, "id", "left_anti")
-    border = neighbors.block_join(edge, marked, touch, f"id {id_type}, cluster {id_type}", reach=eps, fold=lambda x: x.groupby("id", as_index=False)["cluster"].min(), **settings)
+        va, vb, cluster, ids = matrix(a["v"]), matrix(b["v"])[order], b["cluster"].to_numpy()[order], a["id"].to_numpy()
+        first = np.full(len(a), len(b))
+        for rows, near in neighbors.near_leaves(va, vb, eps):
+            for leaf in near:
+                d = distances(va[rows], vb[leaf]) <= eps
+                first[rows] = np.minimum(first[rows], np.where(d, leaf[None, :], len(b)).min(1))
+        hit = first < len(b)
+        return pd.DataFrame({"id": ids[hit], "cluster": cluster[first[hit]]})
+
+    edge = placed.join(core_ids, "id", "left_anti").select("id", "v")
+    border = neighbors.block_join(edge, marked, touch, f"id {id_type}, cluster {id_type}", reach=eps, whole_groups=True, **settings)
     border = border.groupBy("id").agg(F.min("cluster").alias("cluster"))
     known = marked.select("id", "cluster").unionByName(border)
     return points.select("id").join(known, "id", "left").select("id", F.coalesce("cluster", F.lit(-1).cast(noise)).alias("cluster"))

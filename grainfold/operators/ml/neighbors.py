@@ -12,7 +12,7 @@ count, are broadcast instead.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -197,14 +197,38 @@ def _leaves(v: np.ndarray, size: int) -> list[np.ndarray]:
     return out
 
 
+def _boxes(v: np.ndarray, leaves: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    return tuple(np.array([f(v[x], axis=0) for x in leaves]) for f in (np.min, np.max))
+
+
+def _slack(va: np.ndarray, vb: np.ndarray) -> float:
+    """More than rounding moves a distance."""
+    sizes = [np.abs(x[np.isfinite(x)]).max(initial=0.0) for x in (va, vb)]
+    return 1e-7 * (1.0 + max(sizes) * math.sqrt(max(1, va.shape[1])))
+
+
+def near_leaves(va: np.ndarray, vb: np.ndarray, reach: float) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+    """(rows of a, leaves of rows of b whose box may lie within ``reach`` of them, the nearest first) for every leaf of ``va``."""
+    if not len(va) or not len(vb):
+        return
+    leaves, slack = _leaves(vb, LEAF), _slack(va, vb)
+    low, high = _boxes(vb, leaves)
+    for rows in _leaves(va, LEAF):
+        q = va[rows]
+        with np.errstate(invalid="ignore"):
+            gap = np.maximum(0.0, np.maximum(low - q.max(0), q.min(0) - high))
+            bound = np.nan_to_num(np.sqrt((gap * gap).sum(1)), nan=0.0, posinf=np.inf)
+        order = np.argsort(bound, kind="stable")
+        yield rows, [leaves[i] for i in order[: np.searchsorted(bound[order], reach + slack, "right")]]
+
+
 def _search(va: np.ndarray, vb: np.ndarray, k: int, own: np.ndarray | None, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(rows of a, rows of b, distances): the k nearest of every row, ties by row of b; leaves whose box is out of reach are not read."""
     if not len(va) or not len(vb):
         return np.zeros(0, int), np.zeros(0, int), np.zeros(0)
     leaves = _leaves(vb, LEAF)
-    low, high = (np.array([f(vb[x], axis=0) for x in leaves]) for f in (np.min, np.max))
-    sizes = [np.abs(x[np.isfinite(x)]).max(initial=0.0) for x in (va, vb)]
-    slack = 1e-7 * (1.0 + max(sizes) * math.sqrt(max(1, va.shape[1])))  # more than rounding moves a distance
+    low, high = _boxes(vb, leaves)
+    slack = _slack(va, vb)
     found = []
     for rows in _leaves(va, LEAF):
         q = va[rows]

@@ -139,6 +139,39 @@ def test_density_clusters(blobs):
         assert all(len(labels - {-1}) == 1 for labels in found.values())
 
 
+def test_dense_cells_are_not_compared(spark, monkeypatch):
+    random.seed(8)
+    rows = [(i, [random.gauss(0, 0.3), random.gauss(i % 3 * 4.0, 0.3)]) for i in range(900)] + [(900 + i, [random.uniform(-3, 3), random.uniform(-3, 11)]) for i in range(60)]
+    rows += [(7, [0.0, 8.0]), (2000, [float("nan"), 0.0]), (None, [0.0, 0.0])]  # an id in two groups, a point nowhere, no id
+    df = spark.createDataFrame(rows, "id bigint, v array<double>")
+    v, ids = np.array([r[1] for r in rows]), np.array([-1 if r[0] is None else r[0] for r in rows])
+    near = neighbors.distances(v, v) <= 0.5
+    core = np.isin(ids, [i for i in set(ids) - {-1} if near[ids == i].sum() >= 5])
+    label = ids.copy()
+    for _ in range(len(rows)):  # the least id in reach over core points, and over rows of one id
+        label = np.array([min(label[(near[j] & core) | (ids == ids[j])]) if core[j] else -1 for j in range(len(rows))])
+        if all(len(set(label[near[j] & core])) <= 1 and len(set(label[(ids == ids[j]) & core])) <= 1 for j in range(len(rows)) if core[j]):
+            break
+    want = {int(i): label[j] if core[j] else min(label[near[j] & core], default=-1) for j, i in enumerate(ids) if i >= 0}
+    asked, join = [], neighbors.block_join
+    monkeypatch.setattr(neighbors, "block_join", lambda q, *a, **kw: asked.append(q.count()) or join(q, *a, **kw))
+    for settings in ({}, BLOCKS):
+        asked.clear()
+        got = graph.dbscan(df, 0.5, 5, **settings).collect()
+        assert {r["id"]: r["cluster"] for r in got if r["id"] is not None} == want
+        assert asked[0] < 300  # points of cells that hold five need no count
+
+
+def test_near_leaves_leave_out_what_is_far():
+    v = np.array([[float(i % 100), 0.0] for i in range(3000)])
+    read = 0
+    for rows, leaves in neighbors.near_leaves(v, v, 1.0):
+        seen = np.concatenate(leaves)
+        read += len(rows) * len(seen)
+        assert set(np.flatnonzero((neighbors.distances(v[rows], v) <= 1.0).any(0))) <= set(seen)
+    assert read < len(v) ** 2 / 3
+
+
 def test_smote_balances_inside_the_class(blobs):
     few = blobs.where("c = 1 OR (c = 2 AND id < 60)").withColumn("label", F.col("c").cast("double"))
     made = neighbors.smote(few, "label").collect()
