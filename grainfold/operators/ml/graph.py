@@ -138,6 +138,7 @@ def propagate(
     With ``alpha=None`` known labels are held fixed (propagation); otherwise each round
     mixes ``alpha`` of the neighbours with the start labels (spreading).
     """
+    points = cut_lineage(points.select("id", "v", labelled))
     near = neighbors.nearest(points.select("id", "v"), points.select("id", "v"), k, exclude_self=True, **settings)
     edges = cut_lineage(near.select("id", "other"))
     share = [F.when(F.col(labelled) == c, 1.0).when(F.col(labelled).isNotNull(), 0.0).otherwise(0.0).alias(f"s{i}") for i, c in enumerate(classes)]

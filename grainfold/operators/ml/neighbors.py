@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from grainfold.functions.columns import stable_order
+from grainfold.session import cut_lineage
 
 BROADCAST_POINTS, BROADCAST_BYTES = 20_000, 32 << 20
 CELLS = 4_000_000  # distances that a task holds at once
@@ -27,6 +28,7 @@ BLOCK = 2_048
 PIVOTS = 128
 GROUPS, GROUP_BYTES = 16, 32 << 20  # groups of a table whose groups fit a task; larger ones are cut by bytes
 LEAF = 256
+SAMPLE, SAMPLE_BYTES = 8_192, 8 << 20  # points that bound how far the neighbours of a row can be
 
 
 def matrix(column: pd.Series) -> np.ndarray:
@@ -45,11 +47,12 @@ def block_join(
     queries: DataFrame, points: DataFrame, kernel: Kernel, schema: str, reach: float | None = None, k: int | None = None,
     broadcast_points: int = BROADCAST_POINTS, block: int = BLOCK, pivots: int = PIVOTS,
     about: dict[str, Column] | None = None, choose: Callable | None = None, fold: Callable | None = None, whole_groups: bool = False,
+    bound: Callable | None = None,
 ) -> DataFrame:
     """Apply ``kernel(queries, points)`` to all block pairs that may lie within reach.
 
-    A block has at most ``block`` rows; with ``whole_groups`` the kernel takes all near
-    points of a task at once and sees to its own memory. ``fold`` reduces what the
+    A block has at most ``block`` rows; with ``whole_groups`` the kernel takes all
+    rows of a task at once (with ``choose`` all near points of a cell) and sees to its own memory. ``fold`` reduces what the
     blocks of one task returned for a query cell.
 
     Both sides have columns ``id`` and ``v`` (array of doubles), points may carry
@@ -57,12 +60,13 @@ def block_join(
     a proven bound on the distance to its k-th nearest point. Where neither says
     which cells matter, ``choose(query cells, point cells, distances of pivots)``
     gives the pairs; the cells have their number, their rows ``rows``, their radius
-    ``r`` and the aggregates ``about``.
+    ``r`` and the aggregates ``about``. With ``bound(queries, some points)``, a proven reach of every
+    single query, a query only goes to groups with a cell in its own reach and carries it as ``limit``.
     """
     spark = queries.sparkSession
     # The width of a row is taken as that of its vector; points may carry one more array of that width.
-    size = points.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size("v")), F.lit(0)).alias("width")).first() if broadcast_points else None
-    if size and size["n"] <= broadcast_points and size["n"] * (16 * size["width"] + 64) <= BROADCAST_BYTES:
+    size = points.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size("v")), F.lit(0)).alias("width")).first() if broadcast_points or bound else None
+    if broadcast_points and size["n"] <= broadcast_points and size["n"] * (16 * size["width"] + 64) <= BROADCAST_BYTES:
         shared = spark.sparkContext.broadcast(points.toPandas())
 
         def whole(batches):
@@ -74,7 +78,9 @@ def block_join(
 
         return queries.mapInPandas(whole, schema)
 
-    centres = matrix(points.orderBy(stable_order(F.col("id")), "id").limit(pivots).toPandas()["v"])
+    some = max(pivots, min(SAMPLE, SAMPLE_BYTES // (16 * size["width"] + 64))) if bound else pivots
+    sample = points.orderBy(stable_order(F.col("id")), "id").limit(some).select("id", "v").toPandas()
+    centres = matrix(sample["v"][:pivots])
     held = spark.sparkContext.broadcast(centres)
 
     def assign(batches):
@@ -102,19 +108,27 @@ def block_join(
     met = {(g, h) for i, j in pairs for g in range(q_first[i], q_first[i] + q_parts[i]) for h in range(p_first[j], p_first[j] + p_parts[j])}
     held_near = spark.sparkContext.broadcast({i: np.array(sorted(js)) for i, js in near.items()})
 
-    def dealt(df: DataFrame, first: dict[int, int], parts: dict[int, int], own: str, other: str, with_: dict[int, list[int]]) -> DataFrame:
-        """Every row once for each group of the other side that a cell near its own belongs to."""
+    def dealt(df: DataFrame, first: dict[int, int], parts: dict[int, int], own: str, other: str | None, with_: dict[int, set[int]]) -> DataFrame:
+        """Every row once for each group of the other side that a cell near its own belongs to; without ``other`` once, with its own group."""
         rows = [(c, first[c], n, sorted(with_.get(c, ()))) for c, n in parts.items()]
-        plan = spark.createDataFrame(rows, f"_c int, _first int, _n int, {other} array<int>")  # a row for each cell
+        plan = spark.createDataFrame(rows, "_c int, _first int, _n int, _with array<int>")  # a row for each cell
         spread = df.join(F.broadcast(plan), F.col("cell") == F.col("_c")).withColumn(own, F.col("_first") + F.pmod(F.xxhash64("id"), F.col("_n")).cast("int"))
-        return spread.withColumn(other, F.explode(other)).drop("_c", "_first", "_n", "gap")
+        return (spread.withColumn(other, F.explode("_with")) if other else spread).drop("_c", "_first", "_n", "_with", "gap")
 
     q_with: dict[int, set[int]] = {}
     p_with: dict[int, set[int]] = {}
-    for i, j in pairs:
-        q_with.setdefault(i, set()).update(range(p_first[j], p_first[j] + p_parts[j]))
-        p_with.setdefault(j, set()).update(range(q_first[i], q_first[i] + q_parts[i]))
-    left, right = dealt(q, q_first, q_parts, "qg", "pg", q_with), dealt(p, p_first, p_parts, "pg", "qg", p_with)
+    if bound:
+        left = cut_lineage(_in_reach(dealt(q, q_first, q_parts, "qg", None, {}), sample, centres, p_cells, p_first, p_parts, bound))
+        for g, j in left.select("qg", F.explode("near").alias("near")).distinct().collect():  # at most the groups times the cells
+            p_with.setdefault(j, set()).add(g)
+        met = {(g, h) for j, gs in p_with.items() for g in gs for h in range(p_first[j], p_first[j] + p_parts[j])}
+        left = left.withColumn("pg", F.explode("pg")).drop("near")
+    else:
+        for i, j in pairs:
+            q_with.setdefault(i, set()).update(range(p_first[j], p_first[j] + p_parts[j]))
+            p_with.setdefault(j, set()).update(range(q_first[i], q_first[i] + q_parts[i]))
+        left = dealt(q, q_first, q_parts, "qg", "pg", q_with)
+    right = dealt(p, p_first, p_parts, "pg", "qg", p_with)
     # Own key names on the second side keep two uses of the same table apart.
     right = right.withColumnsRenamed({c: f"{c}_" for c in ("qg", "pg")})
     right = right.repartition(max(1, len(met)), "qg_", "pg_")  # a task for about each pair: partitions that are put together by size would run in a row
@@ -122,6 +136,8 @@ def block_join(
 
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         found = []
+        if whole_groups and not choose and len(a) and len(b):
+            return kernel(a, b)
         a = a.sort_values("cell", kind="stable")
         cell = b["cell"].to_numpy()
         for c, rows in a.groupby("cell", sort=False):
@@ -142,6 +158,28 @@ def block_join(
     return left.groupBy("qg", "pg").cogroup(right.groupBy("qg_", "pg_")).applyInPandas(run, schema)
 
 
+def _in_reach(queries, sample, centres, cells, first, parts, bound) -> DataFrame:
+    """``queries`` with ``limit``, their cells within it (``near``) and the groups of these (``pg``)."""
+    ids, r = cells["cell"].to_numpy().astype("int32"), cells["r"].to_numpy(dtype=float)
+    groups = np.zeros((len(ids), max((first[c] + parts[c] for c in first), default=0)), dtype="int32")
+    for at, c in enumerate(ids):
+        groups[at, first[c] : first[c] + parts[c]] = 1
+    held = queries.sparkSession.sparkContext.broadcast((sample, centres, ids, r, groups))
+
+    def limited(batches):
+        sample, centres, ids, r, groups = held.value
+        for batch in batches:
+            if not len(batch):
+                continue
+            v, limit = matrix(batch["v"]), bound(batch, sample)
+            gap = distances(v, centres[ids]) - r[None, :]
+            near = ~(gap > (limit + _slack(v, centres))[:, None]) & np.isfinite(v).all(1)[:, None]  # a point nowhere has no neighbours
+            yield batch.assign(limit=limit, near=[ids[x] for x in near], pg=[np.flatnonzero(x).astype("int32") for x in near.astype("int32") @ groups])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in queries.schema.fields)
+    return queries.mapInPandas(limited, f"{fields}, limit double, near array<int>, pg array<int>")
+
+
 def _groups(cells: pd.DataFrame, between: np.ndarray, block: int, width: int) -> tuple[dict[int, int], dict[int, int], int]:
     """(first group, number of groups) of every cell, and the number of all groups.
 
@@ -222,8 +260,11 @@ def near_leaves(va: np.ndarray, vb: np.ndarray, reach: float) -> Iterator[tuple[
         yield rows, [leaves[i] for i in order[: np.searchsorted(bound[order], reach + slack, "right")]]
 
 
-def _search(va: np.ndarray, vb: np.ndarray, k: int, own: np.ndarray | None, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(rows of a, rows of b, distances): the k nearest of every row, ties by row of b; leaves whose box is out of reach are not read."""
+def _search(va: np.ndarray, vb: np.ndarray, k: int, own: np.ndarray | None, ids: np.ndarray, limit: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows of a, rows of b, distances): the k nearest of every row, ties by row of b; leaves whose box is out of reach are not read.
+
+    ``limit`` bounds each row's reach; what lies beyond it may be left out.
+    """
     if not len(va) or not len(vb):
         return np.zeros(0, int), np.zeros(0, int), np.zeros(0)
     leaves = _leaves(vb, LEAF)
@@ -237,7 +278,8 @@ def _search(va: np.ndarray, vb: np.ndarray, k: int, own: np.ndarray | None, ids:
             bound = np.nan_to_num(np.sqrt((gap * gap).sum(1)), nan=0.0, posinf=np.inf)
         best, at = np.full((len(q), k), np.inf), np.full((len(q), k), len(vb))
         order, i, step = np.argsort(bound, kind="stable"), 0, 2
-        while i < len(order) and not bound[order[i]] > best[:, -1].max() + slack:
+        most = np.inf if limit is None else limit[rows]
+        while i < len(order) and not bound[order[i]] > np.minimum(best[:, -1], most).max() + slack:
             some = np.concatenate([leaves[x] for x in order[i : i + step]])
             i, step = i + step, min(2 * step, 8)
             with np.errstate(invalid="ignore"):
@@ -269,15 +311,22 @@ def nearest(
     def kernel(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         b = b.sort_values("id").reset_index(drop=True)
         ids, mine = b["id"].to_numpy(), a["id"].to_numpy()
-        rows, cols, d = _search(matrix(a["v"]), matrix(b["v"]), k, mine if exclude_self else None, ids)
+        rows, cols, d = _search(matrix(a["v"]), matrix(b["v"]), k, mine if exclude_self else None, ids, a["limit"].to_numpy() if "limit" in a else None)
         out = pd.DataFrame({"id": mine[rows], "other": ids[cols], "distance": d})
         for c in extra:
             out[c] = b[c].to_numpy()[cols]
         return out
 
+    def bound(a: pd.DataFrame, some: pd.DataFrame) -> np.ndarray:
+        """Distance to the k-th nearest of some points: the k nearest of all are no farther."""
+        rows, _, d = _search(matrix(a["v"]), matrix(some["v"]), k, a["id"].to_numpy() if exclude_self else None, some["id"].to_numpy())
+        limit = np.zeros(len(a))
+        np.maximum.at(limit, rows, d)
+        return np.where(np.bincount(rows, minlength=len(a)) >= k, limit, np.inf)
+
     fields = "".join(f", {c} {t}" for c, t in extra.items())
     id_type = dict(points.dtypes)["id"]
-    found = block_join(queries.select("id", "v"), points, kernel, f"id {id_type}, other {id_type}, distance double{fields}", k=take, whole_groups=True, **settings)
+    found = block_join(queries.select("id", "v"), points, kernel, f"id {id_type}, other {id_type}, distance double{fields}", k=take, whole_groups=True, bound=bound, **settings)
     w = Window.partitionBy("id").orderBy("distance", "other")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

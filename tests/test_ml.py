@@ -162,6 +162,27 @@ def test_dense_cells_are_not_compared(spark, monkeypatch):
         assert asked[0] < 300  # points of cells that hold five need no count
 
 
+def test_queries_go_only_to_groups_in_their_reach(spark, monkeypatch):
+    random.seed(9)
+    rows = [(i % 590, [round(random.uniform(0, 100), 1), float(i % 5 == 0) * random.choice([0.0, 5.0])]) for i in range(600)] + [(700, [float("nan"), 1.0])]
+    df = spark.createDataFrame(rows, "id bigint, v array<double>")
+    v, ids = np.array([r[1] for r in rows]), np.array([r[0] for r in rows])
+    d = np.round(neighbors.distances(v, v), 9)
+    limits, reach = [], neighbors._in_reach
+    monkeypatch.setattr(neighbors, "_in_reach", lambda *a: limits.append(reach(*a).select("pg").collect()) or reach(*a))
+    monkeypatch.setattr(neighbors, "SAMPLE", 200)
+    for own in (True, False):
+        got = {}
+        for r in neighbors.nearest(df, df, 3, own, broadcast_points=0, block=30, pivots=20).collect():
+            got.setdefault(r["id"], []).append(r["distance"])
+        for i in set(ids) - {700}:
+            near = sorted(x for q in np.flatnonzero(ids == i) for x in d[q][np.isfinite(d[q]) & ~(own & (ids == i))])
+            if (ids == i).sum() == 1:
+                assert np.allclose(sorted(got[i]), near[:3])
+        assert 700 not in got
+    assert all(np.mean([len(r["pg"]) for r in found]) < max(g for r in found for g in r["pg"]) / 3 for found in limits)
+
+
 def test_near_leaves_leave_out_what_is_far():
     v = np.array([[float(i % 100), 0.0] for i in range(3000)])
     read = 0
