@@ -9,6 +9,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from grainfold.llm import anchors, bwt, decontaminate, html_text, langid, licenses, minhash, packing, quality, suffix_dedup, toxicity, urls, words
@@ -422,6 +423,15 @@ def test_transform_and_prefixes_equal_a_sort(seed):
     assert [int(t) - 1 for t in transform] == [strings[s][o - 1] if o else -1 for s, o in zip(string, offset)]
 
 
+def test_tables_of_powers_stay_where_they_were_made():
+    buffer = np.arange(1 << 20, dtype=np.uint64).astype(np.uint8)
+    here = words.Rolling(buffer)  # the driver has the tables now
+    sent = cloudpickle.dumps(words.Rolling)
+    assert len(sent) < 100_000
+    place = np.array([0, 7, 1000])
+    assert (cloudpickle.loads(sent)(buffer).of(place, place + 50) == here.of(place, place + 50)).all()
+
+
 def test_equal_windows_have_one_anchor():
     r = random.Random(2)
     same = bytes(r.choice(b"abcd ") for _ in range(300))
