@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import os
 import random
 import re
 import zlib
@@ -423,6 +424,17 @@ def test_transform_and_prefixes_equal_a_sort(seed):
     assert [int(t) - 1 for t in transform] == [strings[s][o - 1] if o else -1 for s, o in zip(string, offset)]
 
 
+def test_transform_is_rewritten_in_its_files(monkeypatch):
+    opened = []
+    monkeypatch.setattr(bwt, "open", lambda path, mode: opened.append(mode) or open(path, mode), raising=False)
+    files = bwt._Files()
+    for values in (b"abcdef", b"xyz", b"", b"lmnopqrst"):
+        files.write("transform", np.frombuffer(values, np.uint8))
+        assert files.read("transform").tobytes() == values
+    files.close()
+    assert opened == ["w+b"] and not os.path.exists(files.folder.name)
+
+
 def test_tables_of_powers_stay_where_they_were_made():
     buffer = np.arange(1 << 20, dtype=np.uint64).astype(np.uint8)
     here = words.Rolling(buffer)  # the driver has the tables now
